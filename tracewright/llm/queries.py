@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewright.llm._common import table
 from tracewright.llm.best_fit_packing import pack_documents
 from tracewright.llm.exact_dedup import exact_dedup
+from tracewright.llm.language_id import language_id
+from tracewright.llm.license_scan import license_scan
+from tracewright.llm.license_scan import oracle as license_oracle
+from tracewright.llm.line_dedup import line_dedup_report
+from tracewright.llm.ngram_jaccard_join import ngram_jaccard_join
+from tracewright.llm.quality_classifier import classify_quality
 from tracewright.llm.secret_scan import scan_secrets
 from tracewright.llm.sentencepiece_codec import sentencepiece_digests
+from tracewright.llm.topk_search import topk_search
 
 
 def tokenizer_file(name: str) -> str:
@@ -19,10 +26,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,15 +46,40 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op5_secret_scan": op5_secret_scan,
-    "op8_sentencepiece_codec": op8_sentencepiece_codec,
+    q.__name__: q
+    for q in (
+        op1_ngram_jaccard_join,
+        op2_best_fit_packing,
+        op3_language_id,
+        op4_exact_dedup,
+        op5_secret_scan,
+        op6_license_scan,
+        op7_quality_classifier,
+        op8_sentencepiece_codec,
+        op9_line_dedup,
+        op10_topk_search,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -48,4 +88,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, s AS text_sha256
         FROM d WINDOW w AS (PARTITION BY s)""",
+    "op6_license_scan": license_oracle(),
+    "op9_line_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+        b AS (SELECT line, min({'d': doc_id, 'i': i}) AS first FROM l WHERE trim(line) <> ''
+              GROUP BY line HAVING count(DISTINCT site) >= 10),
+        f AS (SELECT l.doc_id, l.i, l.line, b.line IS NOT NULL AND {'d': l.doc_id, 'i': l.i} <> b.first AS gone
+              FROM l LEFT JOIN b ON l.line = b.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_sha256
+        FROM f GROUP BY doc_id""",
+    "op10_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
