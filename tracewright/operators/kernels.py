@@ -55,27 +55,31 @@ def schedule(tasks: dict[str, int], before: dict[str, list[str]], needs: dict[st
     return out
 
 
+def _own(deps: DataFrame) -> DataFrame:
+    """Dependencies under names of their own; they often come from the very frame of the tasks."""
+    return deps.select(F.col("run_id").alias("d_run"), F.col("task_key").alias("d_task"), F.col("pred_key").alias("d_pred"))
+
+
 def replay(tasks: DataFrame, deps: DataFrame, scenarios: DataFrame) -> DataFrame:
     """(run_id, scenario, makespan_us, n_tasks): every run under every scenario.
 
     tasks: (run_id, task_key, dur_us, resources); deps: (run_id, task_key, pred_key);
     scenarios: (scenario, rule, capacity map<string,long>), few rows.
     """
-    grid = tasks.select("run_id").distinct().join(F.broadcast(scenarios))
-    parts = tasks.join(grid, "run_id")
+    parts = tasks.join(F.broadcast(scenarios))  # a few scenarios: every run once for each
 
     def one(key, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if t.empty:
             return pd.DataFrame([], columns=["run_id", "scenario", "makespan_us", "n_tasks"])
         before = defaultdict(list)
-        for x, p in zip(d["task_key"], d["pred_key"], strict=True):
+        for x, p in zip(d["d_task"], d["d_pred"], strict=True):
             before[x].append(p)
         needs = {k: list(r) for k, r in zip(t["task_key"], t["resources"], strict=True)}
         out = schedule(dict(zip(t["task_key"], t["dur_us"].tolist(), strict=True)), before, needs, dict(t["capacity"].iloc[0]), t["rule"].iloc[0])
         return pd.DataFrame([(*key, max((f for _, f in out.values()), default=0), len(out))], columns=["run_id", "scenario", "makespan_us", "n_tasks"])
 
     left = parts.select("run_id", "scenario", "task_key", "dur_us", "resources", "rule", "capacity").groupBy("run_id", "scenario")
-    right = deps.join(grid.select("run_id", "scenario"), "run_id").select("run_id", "scenario", "task_key", "pred_key").groupBy("run_id", "scenario")
+    right = _own(deps).join(F.broadcast(scenarios.select(F.col("scenario").alias("d_scenario")))).groupBy("d_run", "d_scenario")
     return left.cogroup(right).applyInPandas(one, "run_id long, scenario long, makespan_us long, n_tasks long")
 
 
@@ -112,7 +116,7 @@ def blame_chains(tasks: DataFrame, deps: DataFrame) -> DataFrame:
             return pd.DataFrame([], columns=["run_id", "category", "dur_us"])
         start, finish = (dict(zip(t["task_key"], t[c].tolist(), strict=True)) for c in ("start_us", "finish_us"))
         before = defaultdict(list)
-        for x, p in zip(d["task_key"], d["pred_key"], strict=True):
+        for x, p in zip(d["d_task"], d["d_pred"], strict=True):
             if p in start and x in start and finish[p] <= start[x]:
                 before[x].append(p)
         low, at = min(start.values()), max(finish.values())
@@ -135,7 +139,7 @@ def blame_chains(tasks: DataFrame, deps: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], c, v) for c, v in sorted(spent.items())], columns=["run_id", "category", "dur_us"])
 
     left = tasks.select("run_id", "task_key", "start_us", "finish_us").groupBy("run_id")
-    return left.cogroup(deps.select("run_id", "task_key", "pred_key").groupBy("run_id")).applyInPandas(one, "run_id long, category string, dur_us long")
+    return left.cogroup(_own(deps).groupBy("d_run")).applyInPandas(one, "run_id long, category string, dur_us long")
 
 
 def criticality(nodes: DataFrame, edges: DataFrame, samples: int = 200, spread: float = 0.1, seed: int = 42) -> DataFrame:

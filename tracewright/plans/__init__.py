@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import tasks
+from tracewright.plans import graphs, tasks
 
-FAMILIES = (tasks,)
+FAMILIES = (tasks, graphs)
 
 
 def queries() -> dict:

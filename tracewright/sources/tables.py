@@ -38,9 +38,9 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph for each run over the elements of ``spans``: each depends on the last and the one before it."""
+    """A graph for each run over the elements of ``spans``: each depends on the second and the third before it."""
     users = read(spark, sf_dir, "events").select("user_id").distinct()
-    pairs = [users.select(F.col("user_id").alias("p"), (F.col("user_id") + step).alias("s")) for step in (4, 8)]
+    pairs = [users.select(F.col("user_id").alias("p"), (F.col("user_id") + step).alias("s")) for step in (8, 12)]
     both = pairs[0].unionAll(pairs[1]).join(users.select(F.col("user_id").alias("s")), "s")
     kind = F.when(F.col("p") % 20 == 8, "runtime").otherwise("build")
     return both.select((F.col("p") % 4).alias("run_id"), F.concat(F.lit("u"), "p").alias("predecessor"), F.concat(F.lit("u"), "s").alias("successor"), kind.alias("dependency_type"))
@@ -98,7 +98,7 @@ SQL = {
     "run_edges": """users AS (SELECT DISTINCT user_id FROM events),
         run_edges AS (SELECT a.user_id % 4 AS run_id, 'u' || a.user_id AS predecessor, 'u' || b.user_id AS successor,
         CASE WHEN a.user_id % 20 = 8 THEN 'runtime' ELSE 'build' END AS dependency_type
-        FROM users a JOIN users b ON b.user_id IN (a.user_id + 4, a.user_id + 8))""",
+        FROM users a JOIN users b ON b.user_id IN (a.user_id + 8, a.user_id + 12))""",
     "run_elements": """run_elements AS (SELECT run_id, element_uid AS uid, max(dur_us) AS dur_us, CAST(sum(dur_us) AS BIGINT) AS dur_sum_us,
         CAST(substr(element_uid, 2) AS BIGINT) % 10 = 0 AS requested_target,
         CASE WHEN CAST(substr(element_uid, 2) AS BIGINT) % 7 = 0 THEN 'stack' ELSE 'manual' END AS element_kind
