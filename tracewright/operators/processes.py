@@ -70,8 +70,8 @@ def merged_streams(hook: DataFrame, spine: DataFrame, tolerance_us: int = 1_000_
         rows += [(*key, h["start_us"][i], None, h["cpu_us"][i], "hook") for i in sorted(free)]
         return pd.DataFrame(rows, columns=["scope", "pid", "hook_us", "spine_us", "cpu_us", "coverage"]).astype({"hook_us": "Int64", "spine_us": "Int64", "cpu_us": "Int64"})
 
-    cols = ["scope", "pid", "start_us", "cpu_us"]
-    return hook.select(*cols).groupBy("scope", "pid").cogroup(spine.select(*cols).groupBy("scope", "pid")).applyInPandas(one, "scope string, pid long, hook_us long, spine_us long, cpu_us long, coverage string")
+    named = lambda df, x: df.select(F.col("scope").alias(f"{x}_scope"), F.col("pid").alias(f"{x}_pid"), F.col("start_us").alias("start_us"), F.col("cpu_us").alias("cpu_us"))
+    return named(hook, "h").groupBy("h_scope", "h_pid").cogroup(named(spine, "s").groupBy("s_scope", "s_pid")).applyInPandas(one, "scope string, pid long, hook_us long, spine_us long, cpu_us long, coverage string")
 
 
 def correlated(invocations: DataFrame, builds: DataFrame, width: int = 600_000_000) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import graphs, tasks
+from tracewright.plans import graphs, logs, tasks
 
-FAMILIES = (tasks, graphs)
+FAMILIES = (tasks, graphs, logs)
 
 
 def queries() -> dict:
