@@ -70,8 +70,21 @@ def merged_streams(hook: DataFrame, spine: DataFrame, tolerance_us: int = 1_000_
         rows += [(*key, h["start_us"][i], None, h["cpu_us"][i], "hook") for i in sorted(free)]
         return pd.DataFrame(rows, columns=["scope", "pid", "hook_us", "spine_us", "cpu_us", "coverage"]).astype({"hook_us": "Int64", "spine_us": "Int64", "cpu_us": "Int64"})
 
-    named = lambda df, x: df.select(F.col("scope").alias(f"{x}_scope"), F.col("pid").alias(f"{x}_pid"), F.col("start_us").alias("start_us"), F.col("cpu_us").alias("cpu_us"))
-    return named(hook, "h").groupBy("h_scope", "h_pid").cogroup(named(spine, "s").groupBy("s_scope", "s_pid")).applyInPandas(one, "scope string, pid long, hook_us long, spine_us long, cpu_us long, coverage string")
+    side = lambda df, x: df.select("scope", "pid", F.col("start_us").alias(f"{x}_us"), F.col("cpu_us").alias(f"{x}_cpu"))
+    h, s = side(hook, "hook"), side(spine, "spine")
+    reach = s.withColumns({"s0": F.col("spine_us") - tolerance_us, "s1": F.col("spine_us") + tolerance_us + 1})
+    pairs = point_join(h, reach, ["scope", "pid"], "hook_us", ("s0", "s1"), 4 * tolerance_us).drop("s0", "s1")
+    several = lambda c: F.count("*").over(Window.partitionBy("scope", "pid", c)) > 1
+    contested = pairs.withColumn("c", several("hook_us") | several("spine_us")).filter("c").select("scope", "pid").distinct()
+    # nearly all records meet one partner at most: only the processes where some do not are matched one by one
+    own = lambda df: df.join(contested, ["scope", "pid"], "left_anti")
+    null = F.lit(None).cast("long")
+    plain = own(pairs).select("scope", "pid", "hook_us", "spine_us", F.coalesce("hook_cpu", "spine_cpu").alias("cpu_us"), F.lit("both").alias("coverage"))
+    lone_h = own(h).join(pairs.select("scope", "pid", "hook_us"), ["scope", "pid", "hook_us"], "left_anti").select("scope", "pid", "hook_us", null.alias("spine_us"), F.col("hook_cpu").alias("cpu_us"), F.lit("hook").alias("coverage"))
+    lone_s = own(s).join(pairs.select("scope", "pid", "spine_us"), ["scope", "pid", "spine_us"], "left_anti").select("scope", "pid", null.alias("hook_us"), "spine_us", F.col("spine_cpu").alias("cpu_us"), F.lit("spine").alias("coverage"))
+    named = lambda df, x: df.join(contested, ["scope", "pid"], "left_semi").select(F.col("scope").alias(f"{x}_scope"), F.col("pid").alias(f"{x}_pid"), F.col("start_us").alias("start_us"), F.col("cpu_us").alias("cpu_us"))
+    matched = named(hook, "h").groupBy("h_scope", "h_pid").cogroup(named(spine, "s").groupBy("s_scope", "s_pid")).applyInPandas(one, "scope string, pid long, hook_us long, spine_us long, cpu_us long, coverage string")
+    return plain.unionByName(lone_h).unionByName(lone_s).unionByName(matched)
 
 
 def correlated(invocations: DataFrame, builds: DataFrame, width: int = 600_000_000) -> DataFrame:
