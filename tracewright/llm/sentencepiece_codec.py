@@ -67,6 +67,7 @@ class Codec:
         self.bytes_of = [b" \xe2\x81\x87 " if k == _UNKNOWN else b"" if k == _CONTROL else bytes([int(p[1:-1], 16)]) if k == _BYTE else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         self.spelled = [str(i) for i in range(self.size)]
         self.piece_text = ["" if k == _BYTE else b.decode("utf-8") for b, k in zip(self.bytes_of, kinds, strict=True)]
+        self.unknown = [k == _UNKNOWN for k in kinds]
         self.is_byte = [k == _BYTE for k in kinds]
         self.byte_id = {self.bytes_of[i][0]: i for i in range(self.size) if kinds[i] == _BYTE}
         self.words: dict[str, tuple[int, str, str]] = {}
@@ -232,7 +233,8 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes: without the space that stands for the start of the text."""
-        return self.text_of(ids).removeprefix(" ")
+        text = self.text_of(ids)
+        return text[1:] if ids and self.piece_text[ids[0]].startswith(" ") and not self.unknown[ids[0]] else text
 
 
 class _Both:
