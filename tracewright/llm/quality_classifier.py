@@ -110,7 +110,7 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.1) -> Discriminant:
+def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.02) -> Discriminant:
     """From rows (label 0/1, x); only sums leave the executors, a few hundred numbers."""
     d = N_STATISTICS
 
@@ -141,7 +141,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return map_batches(id_text(docs, id_col, text_col), _statistics_batch, "doc_id long, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+def train(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
     """Learn from all labelled documents that are not held out."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("label_id")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -161,7 +161,7 @@ def score_quality(docs: DataFrame, model: Discriminant, threshold: float = 0.7,
     return map_batches(docs, run, ", ".join([*kinds, "score double", "predicted int"]))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, shrinkage: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, shrinkage: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row; statistics are computed once."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     stats = cut(document_statistics(rows))
