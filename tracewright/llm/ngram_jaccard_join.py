@@ -36,7 +36,9 @@ WORDS = 5
 PERCENT = 80
 #: Share of a set's tokens that the filter of step 2 looks at beyond the plain prefix.
 EXTRA = 0.1
-FRAGMENTS = 8
+#: Where the fragments of the global order end: at tokens of so many sets; one more takes the rest.
+TOPS = (2, 4, 8, 16, 32, 64, 128)
+FRAGMENTS = len(TOPS) + 1
 _SLICE = 1 << 21  # bytes of text handled at once
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -150,78 +152,87 @@ def memberships(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, k: int, taken) -> DataFrame:
-    """(s, n, token) of distinct sets; ``taken(tokens)`` says which tokens. Sets repeat in different tasks only."""
+    """(s, token) of distinct sets; ``taken(tokens)`` says which tokens. Sets repeat in different tasks only."""
 
     def make(part, seen):
-        keys, sizes, parts = [], [], []
+        keys, parts = [], []
         for tokens in shingle_sets(part.column("text").to_pylist(), k):
             if len(tokens) and (key := set_key(tokens)) not in seen:
                 seen.add(key)
                 keys.append(key)
-                sizes.append(len(tokens))
                 parts.append(taken(tokens))
         if keys:
             each = [len(p) for p in parts]
-            yield [pa.array(np.repeat(keys, each), pa.int64()), pa.array(np.repeat(sizes, each), pa.int64()), pa.array(np.concatenate(parts).view(np.int64))]
+            yield [pa.array(np.repeat(keys, each), pa.int64()), pa.array(np.concatenate(parts).view(np.int64))]
 
-    return _batches(docs, make, "s long, n long, token long", ["s", "n", "token"])
+    return _batches(docs, make, "s long, token long", ["s", "token"])
 
 
-def surviving_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
+def _spread(tokens: DataFrame, *columns: Column) -> DataFrame:
+    """``tokens`` with window columns per token. The window spills; and as a token is a small
+    part of the rows of each set that holds it, even one in a third of all sets is no hot key."""
+    return tokens.select("s", "token", *columns)
+
+
+def surviving_sets(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
     """(s): the sets that step 2 leaves, exact in that no linked set goes."""
     looked_at = _tokens(docs, k, lambda tokens: tokens[: filter_sizes(len(tokens), percent, extra)[0]])
-    # a token of two different sets: smallest and largest key differ (the window spills; a
-    # token is a small part of the rows of each set that holds it, so none is hot)
     of_token = Window.partitionBy("token")
-    ends = looked_at.withColumn("lo", F.min("s").over(of_token)).withColumn("hi", F.max("s").over(of_token))
-    shared = ends.filter("lo != hi").groupBy("s", "n").agg(F.count("*").alias("shared"))
+    # a token of two different sets: smallest and largest key differ
+    ends = _spread(looked_at, F.min("s").over(of_token).alias("lo"), F.max("s").over(of_token).alias("hi"))
+    shared = ends.filter("lo != hi").groupBy("s").agg(F.count("*").alias("shared")).join(_sizes(members), "s")
     least = F.ceil(F.col("n") * percent / 100)
     needed = F.greatest(F.lit(1), F.least(F.floor(F.col("n") * extra), F.floor(least * extra)))
     return shared.filter(F.col("shared") >= needed - 1e-9).select("s")
 
 
-def _band(df: Column) -> Column:
-    """Fragment of a token: a range of the global order (frequency, token)."""
-    return F.least(F.lit(FRAGMENTS - 1), F.floor(F.log2(df - 1))).cast("int")
+def _sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("s").agg(F.min("n").alias("n"))
 
 
 def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(s, n, own, central, tokens array<struct<df, token>>): tokens of two sets or more, rarest first.
+    """(s, n, own, central, tokens array<long>, ends array<int>): tokens of two sets or more, rarest first.
 
-    ``own`` counts the tokens of this set alone; they come first in the global order.
+    ``own`` counts the tokens of this set alone, which come first in the global order;
+    ``ends`` says where each fragment of ``tokens`` ends.
     """
     keyed = members.join(F.broadcast(survivors) if small_enough(survivors, 16) else survivors, "s", "left_semi")
     wanted = keyed.groupBy("s").agg(F.min("doc_id").alias("wanted_id")).select("wanted_id").distinct()
     if small_enough(wanted, 16):
         wanted = F.broadcast(wanted)
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    tokens = _tokens(rows, k, lambda x: x).distinct()
-    spread = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    common = tokens.join(spread, "token")
-    sets = common.groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.sum(F.log2("df")).alias("weight"))
-    least = F.ceil(F.col("n") * percent / 100).cast("int")
-    sets = sets.filter(F.size("tokens") >= least)
-    return sets.select("s", "n", (F.col("n") - F.size("tokens")).cast("int").alias("own"), (F.col("weight") / F.col("n")).alias("central"), "tokens")
+    common = _spread(_tokens(rows, k, lambda x: x), F.count("*").over(Window.partitionBy("token")).cast("int").alias("df")).filter("df > 1")
+    sets = common.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("x")).join(_sizes(members), "s")
+    sets = sets.filter(F.size("x") >= F.ceil(F.col("n") * percent / 100).cast("int"))
+    ends = F.array(*[F.size(F.filter("x", lambda t, top=top: t["df"] <= top)) for top in TOPS], F.size("x"))
+    weight = F.aggregate("x", F.lit(0.0), lambda acc, t: acc + F.log2(t["df"]))
+    return sets.select("s", "n", (F.col("n") - F.size("x")).cast("int").alias("own"), (weight / F.col("n")).alias("central"), F.col("x.token").alias("tokens"), ends.alias("ends"))
 
 
 def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(token, s, n, at, central): posting of each prefix token, ``at`` its place in the global order of its set."""
     size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("own")).cast("int")
     some = sets.withColumn("size", size).filter("size > 0")
-    return some.select("s", "n", "own", "central", F.posexplode(F.slice("tokens", 1, F.col("size"))).alias("i", "t")).select(F.col("t.token").alias("token"), "s", "n", (F.col("own") + F.col("i")).alias("at"), "central")
+    return some.select("s", "n", "own", "central", F.posexplode(F.slice("tokens", 1, F.col("size"))).alias("i", "token")).select("token", "s", "n", (F.col("own") + F.col("i")).alias("at"), "central")
 
 
 def segments(sets: DataFrame) -> DataFrame:
-    """(s, n, fragment, part array<long>): the vertical partitions."""
-    cut_up = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.struct(f.alias("fragment"), F.transform(F.filter("tokens", lambda t: _band(t["df"]) == f), lambda t: t["token"]).alias("part")))
-    return sets.select("s", "n", F.explode(cut_up).alias("x")).select("s", "n", "x.fragment", "x.part").filter(F.size("part") > 0)
+    """(s, fragment, part array<long>): the vertical partitions."""
+    begin = lambda f: F.when(f == 0, F.lit(0)).otherwise(F.get(F.col("ends"), f - 1))
+    cut_up = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.struct(f.alias("fragment"), F.slice(F.col("tokens"), begin(f) + 1, F.get(F.col("ends"), f) - begin(f)).alias("part")))
+    return sets.select("s", F.explode(cut_up).alias("x")).select("s", "x.fragment", "x.part").filter(F.size("part") > 0)
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, na, b, nb), the linked ones: overlaps of the fragments, counted apart and summed."""
+    pairs = cut(pairs)
+    few = small_enough(pairs, 40)
+    met = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    parts = parts.join(F.broadcast(met) if few else met, "s", "left_semi")  # most sets meet no one
     left = parts.select(F.col("s").alias("a"), "fragment", F.col("part").alias("pa"))
     right = parts.select(F.col("s").alias("b"), "fragment", F.col("part").alias("pb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
+    met_left = left.join(F.broadcast(pairs) if few else pairs, "a")
+    partial = met_left.join(right, ["b", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
     summed = partial.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
     return summed.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
@@ -284,7 +295,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id), one row per input row."""
     rows = id_text(docs, id_col, text_col)
     members = cut(memberships(rows, k))
-    survivors = cut(surviving_sets(rows, k, percent, extra))
+    survivors = cut(surviving_sets(rows, members, k, percent, extra))
     sets = cut(ordered_sets(rows, members, survivors, k, percent))
     roots = components(links(sets, percent))
     per_set = members.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
