@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import graphs, logs, tasks
+from tracewright.plans import graphs, logs, tasks, usage
 
-FAMILIES = (tasks, graphs, logs)
+FAMILIES = (tasks, graphs, logs, usage)
 
 
 def queries() -> dict:
