@@ -427,3 +427,12 @@ def test_arrow_slices_bound_memory(spark):
 
     seen = map_batches(spark.range(10_000), lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]), "n long", rows=700)
     assert seen.agg(F.max("n")).first()[0] <= 700 and seen.agg(F.sum("n")).first()[0] == 10_000
+
+
+def test_long_runs_are_linear():
+    import time
+
+    for text in ("%" + "a" * 400_000, "x\\y " + "b" * 400_000, "%41" * 50_000, "password" + " " * 200_000):
+        began = time.perf_counter()
+        SS.scan(text)
+        assert time.perf_counter() - began < 20

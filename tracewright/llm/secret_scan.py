@@ -7,9 +7,8 @@ A layer that was already seen for its document is not visited twice, so the work
 ends; findings of a layer are mapped back to code points of the original text.
 
 Defined results: null text is empty (no spans); empty tables give empty results; other
-columns are ignored; spans found twice at one place count once; layers larger than
-``MAX_LAYER`` characters after decompression are scanned up to the size that the
-compressed region itself can explain (a decompression bomb ends with ``MAX_RATIO``).
+columns are ignored; spans found twice at one place count once. A compressed region may
+grow to ``MAX_RATIO`` times its size, more than its format can reach, so nothing is cut.
 """
 
 from __future__ import annotations
@@ -30,8 +29,7 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-_ESCAPED = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
+_TOKEN = re.compile(r"\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
@@ -110,12 +108,12 @@ def _base64(region: str) -> str:
 
 def _layers(text: str):
     """(start, end, decoded text, positions or None) of each encoded region of one layer."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            yield m.start(), m.end(), *_percent(m[0])
-    if "\\" in text:
-        for m in _ESCAPED.finditer(text):
-            yield m.start(), m.end(), *_unescape(m[0])
+    if "%" in text or "\\" in text:
+        for m in _TOKEN.finditer(text):
+            if "%" in m[0] and _PERCENT.search(m[0]):
+                yield m.start(), m.end(), *_percent(m[0])
+            if "\\" in m[0] and _UNICODE.search(m[0]):
+                yield m.start(), m.end(), *_unescape(m[0])
     for m in _BASE64.finditer(text):
         if decoded := _base64(m[0]):
             yield m.start(), m.end(), decoded, None
