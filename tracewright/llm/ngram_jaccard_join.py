@@ -190,6 +190,11 @@ def _sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("s").agg(F.min("n").alias("n"))
 
 
+def _up_to(top: int) -> Column:
+    # a second parameter of the lambda, even one with a default, would be given the place in the array
+    return F.size(F.filter("x", lambda t: t["df"] <= top))
+
+
 def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(s, n, own, central, tokens array<long>, ends array<int>): tokens of two sets or more, rarest first.
 
@@ -204,7 +209,7 @@ def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: i
     common = _spread(_tokens(rows, k, lambda x: x), F.count("*").over(Window.partitionBy("token")).cast("int").alias("df")).filter("df > 1")
     sets = common.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("x")).join(_sizes(members), "s")
     sets = sets.filter(F.size("x") >= F.ceil(F.col("n") * percent / 100).cast("int"))
-    ends = F.array(*[F.size(F.filter("x", lambda t, top=top: t["df"] <= top)) for top in TOPS], F.size("x"))
+    ends = F.array(*[_up_to(top) for top in TOPS], F.size("x"))
     weight = F.aggregate("x", F.lit(0.0), lambda acc, t: acc + F.log2(t["df"]))
     return sets.select("s", "n", (F.col("n") - F.size("x")).cast("int").alias("own"), (weight / F.col("n")).alias("central"), F.col("x.token").alias("tokens"), ends.alias("ends"))
 
