@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm._common import cut, id_text, small_enough
@@ -168,19 +168,13 @@ def _tokens(docs: DataFrame, k: int, taken) -> DataFrame:
     return _batches(docs, make, "s long, token long", ["s", "token"])
 
 
-def _spread(tokens: DataFrame, *columns: Column) -> DataFrame:
-    """``tokens`` with window columns per token. The window spills; and as a token is a small
-    part of the rows of each set that holds it, even one in a third of all sets is no hot key."""
-    return tokens.select("s", "token", *columns)
-
-
 def surviving_sets(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
     """(s): the sets that step 2 leaves, exact in that no linked set goes."""
     looked_at = _tokens(docs, k, lambda tokens: tokens[: filter_sizes(len(tokens), percent, extra)[0]])
-    of_token = Window.partitionBy("token")
-    # a token of two different sets: smallest and largest key differ
-    ends = _spread(looked_at, F.min("s").over(of_token).alias("lo"), F.max("s").over(of_token).alias("hi"))
-    shared = ends.filter("lo != hi").groupBy("s").agg(F.count("*").alias("shared")).join(_sizes(members), "s")
+    # a token of two different sets: smallest and largest key differ. Aggregated before the
+    # shuffle, a token in a third of all sets is a row a task; the join splits its rows (AQE)
+    several = looked_at.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo != hi").select("token")
+    shared = looked_at.join(several, "token", "left_semi").groupBy("s").agg(F.count("*").alias("shared")).join(_sizes(members), "s")
     least = F.ceil(F.col("n") * percent / 100)
     needed = F.greatest(F.lit(1), F.least(F.floor(F.col("n") * extra), F.floor(least * extra)))
     return shared.filter(F.col("shared") >= needed - 1e-9).select("s")
@@ -206,7 +200,8 @@ def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: i
     if small_enough(wanted, 16):
         wanted = F.broadcast(wanted)
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    common = _spread(_tokens(rows, k, lambda x: x), F.count("*").over(Window.partitionBy("token")).cast("int").alias("df")).filter("df > 1")
+    every = _tokens(rows, k, lambda x: x)
+    common = every.join(every.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"), "token")
     sets = common.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("x")).join(_sizes(members), "s")
     sets = sets.filter(F.size("x") >= F.ceil(F.col("n") * percent / 100).cast("int"))
     ends = F.array(*[_up_to(top) for top in TOPS], F.size("x"))
