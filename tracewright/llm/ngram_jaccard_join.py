@@ -141,18 +141,27 @@ def _batches(docs: DataFrame, make, schema: str, names: list[str], slice_rows: i
     return docs.mapInArrow(run, schema)
 
 
-def memberships(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n, s): set size and set key of every document."""
+def memberships(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
+    """(doc_id, n, s, looked_at array<long>): size, key and first tokens (step 2) of every document's set.
+
+    Within a task only the first of equal sets carries its tokens.
+    """
 
     def make(part, seen):
         sets = shingle_sets(part.column("text").to_pylist(), k)
-        yield [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.int64())]
+        keys = [set_key(x) for x in sets]
+        first = []
+        for key, tokens in zip(keys, sets, strict=True):
+            fresh = len(tokens) > 0 and key not in seen
+            seen.add(key)
+            first.append(tokens[: filter_sizes(len(tokens), percent, extra)[0]].view(np.int64) if fresh else None)
+        yield [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
 
-    return _batches(docs, make, "doc_id long, n long, s long", ["doc_id", "n", "s"])
+    return _batches(docs, make, "doc_id long, n long, s long, looked_at array<long>", ["doc_id", "n", "s", "looked_at"])
 
 
-def _tokens(docs: DataFrame, k: int, taken) -> DataFrame:
-    """(s, token) of distinct sets; ``taken(tokens)`` says which tokens. Sets repeat in different tasks only."""
+def _tokens(docs: DataFrame, k: int) -> DataFrame:
+    """(s, token) of distinct sets. Sets repeat in different tasks only."""
 
     def make(part, seen):
         keys, parts = [], []
@@ -160,7 +169,7 @@ def _tokens(docs: DataFrame, k: int, taken) -> DataFrame:
             if len(tokens) and (key := set_key(tokens)) not in seen:
                 seen.add(key)
                 keys.append(key)
-                parts.append(taken(tokens))
+                parts.append(tokens)
         if keys:
             each = [len(p) for p in parts]
             yield [pa.array(np.repeat(keys, each), pa.int64()), pa.array(np.concatenate(parts).view(np.int64))]
@@ -168,9 +177,9 @@ def _tokens(docs: DataFrame, k: int, taken) -> DataFrame:
     return _batches(docs, make, "s long, token long", ["s", "token"])
 
 
-def surviving_sets(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
+def surviving_sets(members: DataFrame, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
     """(s): the sets that step 2 leaves, exact in that no linked set goes."""
-    looked_at = _tokens(docs, k, lambda tokens: tokens[: filter_sizes(len(tokens), percent, extra)[0]])
+    looked_at = members.select("s", F.explode("looked_at").alias("token"))
     # a token of two different sets: smallest and largest key differ. Aggregated before the
     # shuffle, a token in a third of all sets is a row a task; the join splits its rows (AQE)
     several = looked_at.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo != hi").select("token")
@@ -200,7 +209,7 @@ def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: i
     if small_enough(wanted, 16):
         wanted = F.broadcast(wanted)
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    every = _tokens(rows, k, lambda x: x)
+    every = _tokens(rows, k)
     common = every.join(every.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"), "token")
     sets = common.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("x")).join(_sizes(members), "s")
     sets = sets.filter(F.size("x") >= F.ceil(F.col("n") * percent / 100).cast("int"))
@@ -294,8 +303,9 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
 def ngram_jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA, salts: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     rows = id_text(docs, id_col, text_col)
-    members = cut(memberships(rows, k))
-    survivors = cut(surviving_sets(rows, members, k, percent, extra))
+    members = cut(memberships(rows, k, percent, extra))
+    survivors = cut(surviving_sets(members, percent, extra))
+    members = members.drop("looked_at")
     sets = cut(ordered_sets(rows, members, survivors, k, percent))
     roots = components(links(sets, percent))
     per_set = members.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
