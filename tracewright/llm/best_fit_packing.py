@@ -140,8 +140,9 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 def pack(pieces: DataFrame, size: int = 2048, shard_rows: int = 32_768) -> DataFrame:
     """``pieces`` (with ``length``) plus sequence_id and offset.
 
-    Needs the number of pieces, so ``pieces`` should be materialised. Dealing by a hash
-    of id and piece gives every shard about the same mixture, whatever the skew.
+    Needs the number of pieces, and row numbers that are the same whenever a task runs
+    again, so ``pieces`` should be materialised. Dealing by a hash of id, piece and row
+    number gives every shard about the same mixture, even where one id repeats.
     """
     shards = max(1, -(-pieces.count() // shard_rows))
 
@@ -150,7 +151,7 @@ def pack(pieces: DataFrame, size: int = 2048, shard_rows: int = 32_768) -> DataF
         bins, offsets = best_fit_decreasing(pdf["length"].to_numpy(np.int64), size)
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy(np.int64) << 32) + bins, offset=offsets).drop(columns="shard")
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("shard").applyInPandas(one, schema)
 
