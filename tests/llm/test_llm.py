@@ -436,3 +436,26 @@ def test_long_runs_are_linear():
         began = time.perf_counter()
         SS.scan(text)
         assert time.perf_counter() - began < 20
+
+
+def test_the_same_encoded_secret_at_two_places():
+    code = base64.b64encode(b"password=abcdef12345").decode()
+    text = f"first {code} then {code} end"
+    every = SS.scan(text)[1]
+    assert {(s, e) for s, e, _ in every} >= {(6, 6 + len(code)), (12 + len(code), 12 + 2 * len(code))}
+    assert SS.redact(text, every) == "first [secret] then [secret] end"
+
+
+def test_compressed_inside_compressed():
+    twice = gzip.compress(zlib.compress(b"token=abcdef12345 " * 40))
+    text = f"x {base64.b64encode(twice).decode()} y"
+    assert [k for _, _, k in SS.scan(text)[1]].count(0) == 1 and SS.scan(text)[0] == []
+    bomb = zlib.compress(zlib.compress(b"0" * 50_000_000, 9), 9)
+    assert SS.scan(base64.b64encode(bomb).decode())[2] <= 1
+
+
+def test_pieces_of_one_repeated_id_are_dealt_over_shards(spark):
+    pieces = spark.range(4000).selectExpr("CAST(NULL AS LONG) doc_id", "0 piece", "CAST(100 AS LONG) length")
+    rows = B.pack(pieces, 2048, shard_rows=1000).collect()
+    shards = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 4000 and len(shards) == 4 and max(shards.values()) < 1300

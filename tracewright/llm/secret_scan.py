@@ -3,12 +3,13 @@
 Every text is scanned for the base kinds. Then encoded regions (URL escapes, unicode
 escapes, base64, and gzip/zlib bytes inside base64) are unwrapped one after another
 from a worklist; each decoded layer is scanned again and may add further regions.
-A layer that was already seen for its document is not visited twice, so the worklist
-ends; findings of a layer are mapped back to code points of the original text.
+A layer that was already seen at the same place of its document is not visited twice, so
+the worklist ends; the same encoded text at another place is a finding of its own. Findings of a layer are mapped back to code points of the original text.
 
 Defined results: null text is empty (no spans); empty tables give empty results; other
 columns are ignored; spans found twice at one place count once. A compressed region may
-grow to ``MAX_RATIO`` times its size, more than its format can reach, so nothing is cut.
+grow to ``MAX_RATIO`` times its size, more than its format can reach, so nothing is cut;
+compressed bytes inside compressed bytes together grow no further than that.
 """
 
 from __future__ import annotations
@@ -76,10 +77,10 @@ def _unescape(region: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def _inflate(raw: bytes) -> bytes:
+def _inflate(raw: bytes, most: int) -> bytes:
     for bits in (47, -15) if raw[:1] != b"\x78" and raw[:2] != b"\x1f\x8b" else (47,):
         try:
-            out = zlib.decompressobj(bits).decompress(raw, MAX_RATIO * len(raw))
+            out = zlib.decompressobj(bits).decompress(raw, most)
             if out:
                 return out
         except zlib.error:
@@ -87,6 +88,18 @@ def _inflate(raw: bytes) -> bytes:
     return b""
 
 
+def _inflate_all(raw: bytes) -> bytes:
+    """Compressed layers one inside another; nothing where they form a cycle."""
+    most, seen = MAX_RATIO * len(raw), {raw}
+    while raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b":
+        inner = _inflate(raw, most)
+        if not inner or inner in seen:
+            return b"" if inner else raw
+        seen.add(inner)
+        raw = inner
+    return raw
+
+
 def _printable(raw: bytes) -> str:
     try:
         text = raw.decode("utf-8")
@@ -103,7 +116,7 @@ def _base64(region: str) -> str:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return ""
-    return _printable(raw) or (_printable(_inflate(raw)) if raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b" else "")
+    return _printable(raw) or (_printable(_inflate_all(raw)) if raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b" else "")
 
 
 def _layers(text: str):
@@ -122,19 +135,20 @@ def _layers(text: str):
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (both sorted by start, then kind), and the number of decoded layers."""
     base = base_spans(text)
-    found, seen, layers = set(base), {text}, 0
+    found, layers = set(base), 0
+    seen: set[tuple[int, int, str]] = set()
     work: list[tuple[str, list[tuple[int, int]] | None, tuple[int, int]]] = [(text, None, (0, len(text)))]
     while work:
         layer, places, whole = work.pop()
         for start, end, decoded, at in _layers(layer):
-            if decoded in seen or not decoded:
-                continue
-            seen.add(decoded)
-            layers += 1
             if places is not None:
                 region = (places[start][0], places[end - 1][1])
             else:
                 region = (start, end) if layer is text else whole
+            if not decoded or decoded == text or (*region, decoded) in seen:
+                continue
+            seen.add((*region, decoded))
+            layers += 1
             if at is None:  # no position inside the region has a meaning outside
                 child = None
             elif places is not None:
