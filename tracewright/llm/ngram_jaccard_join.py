@@ -305,7 +305,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     rows = id_text(docs, id_col, text_col)
     members = cut(memberships(rows, k, percent, extra))
     survivors = cut(surviving_sets(members, percent, extra))
-    members = members.drop("looked_at")
+    members = cut(members.drop("looked_at"))  # the tokens' checkpoint is not referenced any more and can be cleaned
     sets = cut(ordered_sets(rows, members, survivors, k, percent))
     roots = components(links(sets, percent))
     per_set = members.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
