@@ -360,6 +360,13 @@ def test_percent_positions():
     assert SS.scan("%2525252541" * 3)[2] >= 2 and SS.scan("plain words only")[2] == 0
 
 
+@pytest.mark.parametrize("text", ["see password = %68unter2secret end", 'see {"password": "\\u0068unter2secret"} end', "see password%20= hunter2secret end", "see %70assword : \\x68unter2secret end"])
+def test_escapes_beside_their_keyword(text):
+    base, every, _ = SS.scan(text)
+    assert base == [] and [k for _, _, k in every] == [0]
+    assert "unter2secret" not in SS.redact(text, every) and SS.redact(text, every).startswith("see ") and SS.redact(text, every).endswith(" end")
+
+
 def test_redaction(spark, hard):
     out = SS.redact_secrets(table(spark, [(1, "x password=abcdef123 y", "en", "a"), (2, None, "en", "a")]))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "x [secret] y", 2: None}

@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
-Every text is scanned for the base kinds. Then encoded regions (URL escapes, unicode
-escapes, base64, and gzip/zlib bytes inside base64) are unwrapped one after another
-from a worklist; each decoded layer is scanned again and may add further regions.
+Every text is scanned for the base kinds. Then all URL escapes of it, all unicode escapes,
+and each encoded region (base64, and gzip/zlib bytes inside base64) are unwrapped one after
+another from a worklist; each decoded layer is scanned again in full and may add further ones.
 A layer that was already seen at the same place of its document is not visited twice, so
 the worklist ends; the same encoded text at another place is a finding of its own. Findings of a layer are mapped back to code points of the original text.
 
@@ -19,6 +19,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,6 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_TOKEN = re.compile(r"\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
@@ -47,34 +47,60 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def _percent(region: str) -> tuple[str, list[int]]:
-    """The decoded region, and for each of its characters where its source begins (one more at the end)."""
-    out, at, last = [], [], 0
-    for m in _PERCENT.finditer(region):
-        out.append(region[last : m.start()])
-        at.extend(range(last, m.start()))
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        text, i = raw.decode("utf-8", "replace"), 0
-        for c in text:
-            at.append(m.start() + 3 * min(i, len(raw) - 1))
-            i += 1 if c == "�" else len(c.encode("utf-8"))
-        out.append(text)
+class _Places:
+    """Where the characters of a decoded layer stand in the layer that it was decoded from."""
+
+    def __init__(self) -> None:
+        self.at: list[int] = []  # where each piece begins in the decoded layer,
+        self.begin: list[int] = []  # where in the other one,
+        self.end: list[int] = []  # and where it ends there; -1: copied as it is
+        self.text: list[str] = []
+        self.size = 0
+
+    def add(self, text: str, begin: int, end: int = -1) -> None:
+        if text:
+            self.at.append(self.size)
+            self.begin.append(begin)
+            self.end.append(end)
+            self.text.append(text)
+            self.size += len(text)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
+        return (
+            self.begin[i] + (start - self.at[i] if self.end[i] < 0 else 0),
+            self.begin[j] + end - self.at[j] if self.end[j] < 0 else self.end[j],
+        )
+
+    def done(self) -> tuple[str, _Places]:
+        text, self.text = "".join(self.text), []
+        return text, self
+
+
+def _percent(layer: str) -> tuple[str, _Places]:
+    """The layer with all its URL escapes decoded, and where its characters were."""
+    out, last = _Places(), 0
+    for m in _PERCENT.finditer(layer):
+        out.add(layer[last : m.start()], last)
+        at = m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            size = 3 if "\udc80" <= c <= "\udcff" else 3 * len(c.encode("utf-8"))
+            out.add(c, at, at + size)
+            at += size
         last = m.end()
-    out.append(region[last:])
-    at.extend(range(last, len(region) + 1))
-    return "".join(out), at
+    out.add(layer[last:], last)
+    return out.done()
 
 
-def _unescape(region: str) -> tuple[str, list[int]]:
-    out, at, last = [], [], 0
-    for m in _UNICODE.finditer(region):
-        out.append(region[last : m.start()])
-        at.extend(range(last, m.start() + 1))
-        out.append(chr(int(m[1] or m[2], 16)))
+def _unescape(layer: str) -> tuple[str, _Places]:
+    """The same for Unicode escapes."""
+    out, last = _Places(), 0
+    for m in _UNICODE.finditer(layer):
+        out.add(layer[last : m.start()], last)
+        out.add(chr(int(m[1] or m[2], 16)), m.start(), m.end())
         last = m.end()
-    out.append(region[last:])
-    at.extend(range(last, len(region) + 1))
-    return "".join(out), at
+    out.add(layer[last:], last)
+    return out.done()
 
 
 def _inflate(raw: bytes, most: int) -> bytes:
@@ -120,46 +146,59 @@ def _base64(region: str) -> str:
 
 
 def _layers(text: str):
-    """(start, end, decoded text, positions or None) of each encoded region of one layer."""
-    if "%" in text or "\\" in text:
-        for m in _TOKEN.finditer(text):
-            if "%" in m[0] and _PERCENT.search(m[0]):
-                yield m.start(), m.end(), *_percent(m[0])
-            if "\\" in m[0] and _UNICODE.search(m[0]):
-                yield m.start(), m.end(), *_unescape(m[0])
+    """(start, end, decoded text, places or None) of each encoded region of one layer.
+
+    Escapes are decoded in the whole layer at once: what stands around them counts.
+    """
+    if "%" in text and _PERCENT.search(text):
+        yield 0, len(text), *_percent(text)
+    if "\\" in text and _UNICODE.search(text):
+        yield 0, len(text), *_unescape(text)
     for m in _BASE64.finditer(text):
         if decoded := _base64(m[0]):
             yield m.start(), m.end(), decoded, None
 
 
+def _decoded_spans(text: str) -> list[tuple[int, int, int]]:
+    """``base_spans``, and those that begin inside a match with too short a value."""
+    found, at = base_spans(text), 0
+    while m := _ASSIGN.search(text, at):
+        long = m.end(1) - m.start(1) >= 6
+        if long:
+            found.append((m.start(), m.end(), 0))
+        at = m.end() if long else m.start(1)
+    return found
+
+
+def _outside(chain: tuple | None, start: int, end: int) -> tuple[int, int]:
+    while chain:
+        start, end = chain[0].span(start, end)
+        chain = chain[1]
+    return start, end
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (both sorted by start, then kind), and the number of decoded layers."""
     base = base_spans(text)
     found, layers = set(base), 0
-    seen: set[tuple[int, int, str]] = set()
-    work: list[tuple[str, list[tuple[int, int]] | None, tuple[int, int]]] = [(text, None, (0, len(text)))]
+    seen: set[tuple[int, int, bytes]] = set()
+    # a layer, its chain of places, and where none of them has a meaning outside, its region
+    work: list[tuple[str, tuple | None, tuple[int, int] | None]] = [(text, None, None)]
     while work:
-        layer, places, whole = work.pop()
-        for start, end, decoded, at in _layers(layer):
-            if places is not None:
-                region = (places[start][0], places[end - 1][1])
-            else:
-                region = (start, end) if layer is text else whole
-            if not decoded or decoded == text or (*region, decoded) in seen:
+        layer, chain, whole = work.pop()
+        for start, end, decoded, places in _layers(layer):
+            if not decoded or decoded == text:
+                continue
+            region = whole or _outside(chain, start, end)
+            key = (*region, hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).digest())
+            if key in seen:
                 continue
-            seen.add((*region, decoded))
+            seen.add(key)
             layers += 1
-            if at is None:  # no position inside the region has a meaning outside
-                child = None
-            elif places is not None:
-                child = [(places[start + at[i]][0], places[start + max(at[i + 1] - 1, at[i])][1]) for i in range(len(decoded))]
-            elif layer is text:
-                child = [(start + at[i], start + max(at[i + 1], at[i] + 1)) for i in range(len(decoded))]
-            else:
-                child = None
-            for s, e, kind in base_spans(decoded):
-                found.add((child[s][0], child[e - 1][1], kind) if child else (*region, kind))
-            work.append((decoded, child, region))
+            inner = (places, chain) if places is not None and whole is None else None
+            for s, e, kind in _decoded_spans(decoded):
+                found.add((*(_outside(inner, s, e) if inner else region), kind))
+            work.append((decoded, inner, None if inner else region))
     return base, sorted(found, key=lambda s: (s[0], s[2], s[1])), layers
 
 
