@@ -367,6 +367,29 @@ def test_escapes_beside_their_keyword(text):
     assert "unter2secret" not in SS.redact(text, every) and SS.redact(text, every).startswith("see ") and SS.redact(text, every).endswith(" end")
 
 
+def wrapped(code, width, end="\n"):
+    return end.join(code[i : i + width] for i in range(0, len(code), width))
+
+
+CODE = base64.b64encode(b"token=abcdef123456").decode()
+URLSAFE = base64.urlsafe_b64encode("é?>~token=abcdef123456".encode()).decode()
+NOISE = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(60)]
+LETTERS = "".join(chr(97 + int(c, 16)) + "zyxw"[int(c, 16) % 4] for x in NOISE for c in x)  # no hex run
+PACKED = base64.b64encode(gzip.compress(f"{LETTERS} token=abcdef123456 end".encode())).decode()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"https://h/cb/{CODE}", f"data_{CODE}", f"a-b-c_{CODE}", f"x/{CODE.rstrip('=')}/tail-of-path", f"data_{URLSAFE}", f"x+y/{URLSAFE}", f"https://h/cb/{PACKED}", f"see\n{wrapped(PACKED, 76)}\nend", f"key: {wrapped(PACKED, 64, chr(13) + chr(10))}"]
+    + [f"see\n{wrapped(base64.b64encode((b'some words, ' * 9)[:n] + b'token=abcdef123456 and more').decode(), w)}\nend" for w in (64, 76) for n in (40, 41, 42, 47)],
+)
+def test_base64_in_paths_and_lines(text):
+    base, every, _ = SS.scan(text)
+    assert base == [] and {k for _, _, k in every} == {0}
+    hidden = SS.redact(text, every)
+    assert SS.scan(hidden)[1] == [] and hidden[0] == text[0] and (not text.endswith("end") or hidden.endswith("end"))
+
+
 def test_redaction(spark, hard):
     out = SS.redact_secrets(table(spark, [(1, "x password=abcdef123 y", "en", "a"), (2, None, "en", "a")]))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "x [secret] y", 2: None}

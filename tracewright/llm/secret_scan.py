@@ -14,7 +14,6 @@ compressed bytes inside compressed bytes together grow no further than that.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -32,6 +31,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+_STANDARD = str.maketrans("-_", "+/")
+_HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_STRETCH = re.compile(rb"(?>[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
+#: Bytes of the shortest secret ("token=" and six more), and of the shortest base64 run.
+LEAST = 12
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 #: Decompressed bytes allowed for each compressed byte.
@@ -134,15 +139,54 @@ def _printable(raw: bytes) -> str:
     return text if sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.95 * len(text) else ""
 
 
-def _base64(region: str) -> str:
-    body = region.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return ""
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return ""
-    return _printable(raw) or (_printable(_inflate_all(raw)) if raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b" else "")
+def _blocks(text: str):
+    """(characters, places, end) of each run of base64 characters; lines that go on at the same width are joined."""
+    at = 0
+    while m := _BASE64.search(text, at):
+        at, body, out, width = m.end(), m[0].rstrip("="), _Places(), 0
+        out.add(body, m.start())
+        last = len(body) < len(m[0])
+        while not last and (n := _NEXT_LINE.match(text, at)):
+            if not width:
+                line = text.rfind("\n", 0, at) + 1
+                alone = not text[line : m.start()].strip()  # else the first line holds other text before its run
+                most, width = (len(body), len(body)) if alone else (at - line, len(n[1].rstrip("=")))
+            body = n[1].rstrip("=")
+            if len(body) > most:
+                break
+            out.add(body, n.start(1))
+            at, last = n.end(), len(body) < len(n[1]) or len(body) < width  # padded or short
+            most = width
+        yield *out.done(), at
+
+
+def _unwrapped(body: str, places: _Places, end: int):
+    """(start, end, decoded text) of what a run of base64 characters holds, at whatever character it begins.
+
+    A group of four decodes alone, so the four alignments hold every text that is encoded
+    in a part of the run, after a path, a dash or an underscore, in either alphabet.
+    """
+    body = body.translate(_STANDARD)
+    for shift in range(4):
+        chars = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+        raw = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
+
+        def region(first: int, last: int, shift: int = shift) -> tuple[int, int]:
+            start, stop = shift + first // 3 * 4, min(shift + -(-last // 3) * 4, len(body))
+            start, stop = places.span(start, stop)[0], end if stop == len(body) else places.span(start, stop)[1]
+            return start, stop
+
+        if shift == 0 and len(body) % 4 != 1 and (text := _printable(raw)):
+            yield *region(0, len(raw)), text
+        else:
+            for m in _STRETCH.finditer(raw):
+                if m.end() - m.start() >= LEAST:
+                    yield *region(m.start(), m.end()), m[0].decode("utf-8", "replace")
+        for m in _HEADER.finditer(raw):
+            packed = raw[m.start() :]
+            inner = _inflate_all(packed)
+            if inner != packed and (text := _printable(inner)):
+                yield *region(m.start(), len(raw)), text
 
 
 def _layers(text: str):
@@ -154,9 +198,9 @@ def _layers(text: str):
         yield 0, len(text), *_percent(text)
     if "\\" in text and _UNICODE.search(text):
         yield 0, len(text), *_unescape(text)
-    for m in _BASE64.finditer(text):
-        if decoded := _base64(m[0]):
-            yield m.start(), m.end(), decoded, None
+    for block in _blocks(text):
+        for start, end, decoded in _unwrapped(*block):
+            yield start, end, decoded, None
 
 
 def _decoded_spans(text: str) -> list[tuple[int, int, int]]:
