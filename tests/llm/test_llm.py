@@ -484,6 +484,17 @@ def test_compressed_inside_compressed():
     assert SS.scan(base64.b64encode(bomb).decode())[2] <= 1
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [gzip.compress(b"some plain words") + gzip.compress(b"token=abcdef12345"), zlib.compress(b"plain words, tok") + zlib.compress(b"en=abcdef12345"), gzip.compress(zlib.compress(b"plain words ") + gzip.compress(b"token=abcdef12345"))]
+    + [zlib.compress(zlib.compress(b"plain words " * n + b" token=abcdef12345 " + b"more words \xc3\xa9 " * 90_000, 9), 9) for n in (100, 87_380, 500_000)]
+    + [zlib.compress(b"x^2 + y^2 and token=abcdef12345"), zlib.compress(b"w " * 10**6 + base64.b64encode(gzip.compress(random.Random(1).randbytes(2_500_000) + b" token=abcdef12345 ")))],
+)
+def test_compressed_layers_are_whole(raw):
+    text = f"x {base64.b64encode(raw).decode()} y"
+    assert {(s, e) for s, e, k in SS.scan(text)[1] if k == 0} == {(2, len(text) - 2)}
+
+
 def test_pieces_of_one_repeated_id_are_dealt_over_shards(spark):
     pieces = spark.range(4000).selectExpr("CAST(NULL AS LONG) doc_id", "0 piece", "CAST(100 AS LONG) length")
     rows = B.pack(pieces, 2048, shard_rows=1000).collect()

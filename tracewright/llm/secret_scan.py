@@ -7,9 +7,11 @@ A layer that was already seen at the same place of its document is not visited t
 the worklist ends; the same encoded text at another place is a finding of its own. Findings of a layer are mapped back to code points of the original text.
 
 Defined results: null text is empty (no spans); empty tables give empty results; other
-columns are ignored; spans found twice at one place count once. A compressed region may
-grow to ``MAX_RATIO`` times its size, more than its format can reach, so nothing is cut;
-compressed bytes inside compressed bytes together grow no further than that.
+columns are ignored; spans found twice at one place count once. Compressed bytes are
+unpacked to their end, all members and all layers inside one another, in overlapping
+windows; inside them, only what is encoded in one run of more than ``HOLD`` bytes, or a
+secret of more than ``OVERLAP`` bytes whose keyword lies in an earlier window, is seen in
+parts. Bytes that unpack to themselves are given up.
 """
 
 from __future__ import annotations
@@ -34,13 +36,13 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 _STANDARD = str.maketrans("-_", "+/")
 _HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
-_STRETCH = re.compile(rb"(?>[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
-#: Bytes of the shortest secret ("token=" and six more), and of the shortest base64 run.
-LEAST = 12
+#: The shortest secret ("token=" and six more) has 12 characters; secrets and encoded regions are ASCII.
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-#: Decompressed bytes allowed for each compressed byte.
-MAX_RATIO = 1100
+#: Decompressed bytes scanned at once, how far windows of them overlap, and how long a run of base64 characters may make one.
+PART, OVERLAP, HOLD = 1 << 20, 1 << 16, 1 << 24
+_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,27 +110,85 @@ def _unescape(layer: str) -> tuple[str, _Places]:
     return out.done()
 
 
-def _inflate(raw: bytes, most: int) -> bytes:
-    for bits in (47, -15) if raw[:1] != b"\x78" and raw[:2] != b"\x1f\x8b" else (47,):
-        try:
-            out = zlib.decompressobj(bits).decompress(raw, most)
+def _contents(raw: memoryview, used: list[int]):
+    """Parts of what the compressed members that begin ``raw`` hold, one after another; compressed contents are unpacked as well.
+
+    ``used[0]`` becomes the number of bytes of ``raw`` in whole members. Each level hands
+    on at most ``PART`` bytes before it goes on, so memory is bounded by the levels.
+    """
+    machines: list = []  # of each level; None: what begins here is not known yet, False: not compressed
+    heads: list[bytes] = []  # first bytes of each level: kept for cycles, and where they turn out not to be compressed
+    for at in range(0, len(raw), 1 << 16):
+        work = [(0, bytes(raw[at : at + (1 << 16)]))]
+        fed = at + len(work[0][1])
+        while work:
+            k, data = work.pop()
+            if k == len(machines):
+                machines.append(None)
+                heads.append(b"")
+            if machines[k] is None:
+                heads[k] = data = heads[k] + data
+                if len(data) < 3:
+                    continue
+                packed = _HEADER.match(data)
+                if packed and (k > len(raw) or any(h[:4096] == data[:4096] for h in heads[:k])):
+                    return  # it holds itself, or goes on without end
+                machines[k] = zlib.decompressobj(47) if packed else False
+            if machines[k] is False:
+                if k == 0:
+                    return
+                yield data
+                continue
+            machine = machines[k]
+            try:
+                out = machine.decompress(data, PART)
+            except zlib.error:
+                if k == 0:
+                    return
+                yield from [data] if data is heads[k] else [heads[k], data]
+                machines[k] = False
+                continue
+            rest = machine.unconsumed_tail
+            if machine.eof:
+                rest = machine.unused_data.lstrip(b"\0")  # another member may follow
+                machines[k], heads[k] = None, b""
+                if k == 0:
+                    used[0] = fed - len(rest)
+            if rest or len(out) == PART:
+                work.append((k, rest))
             if out:
-                return out
-        except zlib.error:
+                work.append((k + 1, out))
+    used[0] = len(raw)
+    for machine, head in zip(machines[1:], heads[1:], strict=True):
+        if machine is not False:
+            yield head
+
+
+def _windows(parts):
+    """Texts of the parts, which overlap; a run of base64 characters is not cut below ``HOLD``."""
+    held, fresh = b"", False
+    for part in parts:
+        held, fresh = held + part, True
+        if len(held) < PART or len(held) < HOLD and not held[-OVERLAP:].rstrip(_RUN):
             continue
-    return b""
+        yield _texts(held)
+        held, fresh = held[-OVERLAP:], False
+    if fresh:
+        yield _texts(held)
+
 
+def _texts(raw: bytes) -> str:
+    return "\ufffd".join(m[0].decode("ascii") for m in _STRETCH.finditer(raw))
 
-def _inflate_all(raw: bytes) -> bytes:
-    """Compressed layers one inside another; nothing where they form a cycle."""
-    most, seen = MAX_RATIO * len(raw), {raw}
-    while raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b":
-        inner = _inflate(raw, most)
-        if not inner or inner in seen:
-            return b"" if inner else raw
-        seen.add(inner)
-        raw = inner
-    return raw
+
+def _unpacked(raw: bytes, region):
+    """(start, end, text) of all that compressed members in ``raw`` hold, window by window."""
+    at = 0
+    while m := _HEADER.search(raw, at):
+        used = [0]
+        for text in _windows(_contents(memoryview(raw)[m.start() :], used)):
+            yield *region(m.start(), len(raw)), text
+        at = m.start() + max(1, used[0])
 
 
 def _printable(raw: bytes) -> str:
@@ -161,7 +221,8 @@ def _blocks(text: str):
 
 
 def _unwrapped(body: str, places: _Places, end: int):
-    """(start, end, decoded text) of what a run of base64 characters holds, at whatever character it begins.
+    """(start, end, decoded text) of what a run of base64 characters holds, at whatever character it begins;
+    of compressed bytes, an iterator of the same.
 
     A group of four decodes alone, so the four alignments hold every text that is encoded
     in a part of the run, after a path, a dash or an underscore, in either alphabet.
@@ -180,17 +241,13 @@ def _unwrapped(body: str, places: _Places, end: int):
             yield *region(0, len(raw)), text
         else:
             for m in _STRETCH.finditer(raw):
-                if m.end() - m.start() >= LEAST:
-                    yield *region(m.start(), m.end()), m[0].decode("utf-8", "replace")
-        for m in _HEADER.finditer(raw):
-            packed = raw[m.start() :]
-            inner = _inflate_all(packed)
-            if inner != packed and (text := _printable(inner)):
-                yield *region(m.start(), len(raw)), text
+                yield *region(m.start(), m.end()), m[0].decode("ascii")
+        if _HEADER.search(raw):
+            yield _unpacked(raw, region)
 
 
 def _layers(text: str):
-    """(start, end, decoded text, places or None) of each encoded region of one layer.
+    """(start, end, decoded text, places or None) of each encoded region of one layer, or an iterator of the same.
 
     Escapes are decoded in the whole layer at once: what stands around them counts.
     """
@@ -199,14 +256,20 @@ def _layers(text: str):
     if "\\" in text and _UNICODE.search(text):
         yield 0, len(text), *_unescape(text)
     for block in _blocks(text):
-        for start, end, decoded in _unwrapped(*block):
-            yield start, end, decoded, None
+        for x in _unwrapped(*block):
+            yield (*x, None) if isinstance(x, tuple) else ((*y, None) for y in x)
 
 
 def _decoded_spans(text: str) -> list[tuple[int, int, int]]:
     """``base_spans``, and those that begin inside a match with too short a value."""
-    found, at = base_spans(text), 0
-    while m := _ASSIGN.search(text, at):
+    found, at = [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)] if "AKIA" in text else [], -1
+    found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+    for m in _ASSIGN.finditer(text):
+        if m.end(1) - m.start(1) >= 6:
+            found.append((m.start(), m.end(), 0))
+        elif at < 0:
+            at = m.start(1)
+    while at >= 0 and (m := _ASSIGN.search(text, at)):
         long = m.end(1) - m.start(1) >= 6
         if long:
             found.append((m.start(), m.end(), 0))
@@ -226,11 +289,17 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = base_spans(text)
     found, layers = set(base), 0
     seen: set[tuple[int, int, bytes]] = set()
-    # a layer, its chain of places, and where none of them has a meaning outside, its region
-    work: list[tuple[str, tuple | None, tuple[int, int] | None]] = [(text, None, None)]
+    counted: set[tuple[int, int]] = set()
+    # encoded regions still to come, the chain of places of their layer and, where none of them has
+    # a meaning outside, its region; windows of compressed bytes come one at a time
+    work: list[tuple] = [(_layers(text), None, None, False)]
     while work:
-        layer, chain, whole = work.pop()
-        for start, end, decoded, places in _layers(layer):
+        regions, chain, whole, packed = work.pop()
+        for x in regions:
+            if not isinstance(x, tuple):
+                work.append((x, chain, whole, True))
+                continue
+            start, end, decoded, places = x
             if not decoded or decoded == text:
                 continue
             region = whole or _outside(chain, start, end)
@@ -238,11 +307,17 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             if key in seen:
                 continue
             seen.add(key)
-            layers += 1
+            layers += not packed or region not in counted  # all windows are one layer
+            if packed:
+                counted.add(region)
             inner = (places, chain) if places is not None and whole is None else None
             for s, e, kind in _decoded_spans(decoded):
                 found.add((*(_outside(inner, s, e) if inner else region), kind))
-            work.append((decoded, inner, None if inner else region))
+            below = (_layers(decoded), inner, None if inner else region, False)
+            if packed:
+                work += [(regions, chain, whole, True), below]
+                break
+            work.append(below)
     return base, sorted(found, key=lambda s: (s[0], s[2], s[1])), layers
 
 
