@@ -303,6 +303,16 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEvalPython", "Python")
 
 
+def test_licenses_over_line_ends(spark):
+    import textwrap
+
+    for width in (20, 40, 76):
+        rows = [(i, "\n".join(["some words first", *(f" * {line}" for line in textwrap.wrap(text, width)), "and more"]), "en", "a") for i, (_, text) in enumerate(LS.TEMPLATES)]
+        got = {r.doc_id: r for r in LS.license_scan(table(spark, rows)).collect()}
+        for i, (label, _) in enumerate(LS.TEMPLATES):
+            assert label in got[i].labels.split(",") and got[i].score == 1
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_topk_against_brute_force(spark, seed):
     rng = np.random.default_rng(seed)

@@ -1,6 +1,7 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-Blocks are the lines of a text, templates a fixed list of notices; both are word sets. A
+Blocks are the lines of a text, and all runs of as many words as the longest template has,
+whatever lines they stand in; templates are a fixed list of notices; all are word sets. A
 block is found when it holds at least ``threshold`` of a template's words. Words are
 ordered by their frequency over all documents, rarest first. A found block must share a
 word of the template's prefix (prefix filter), must hold enough template words at all
@@ -82,6 +83,14 @@ def license_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     candidate = F.arrays_overlap("words", prefix_words)
     blocks = rows.filter(candidate).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
     blocks = blocks.withColumn("held", F.array_sort(F.transform(F.array_intersect(words_of(F.col("line")), vocabulary), lambda w: F.element_at(ranks, w))))
+    # notices that go over line ends: runs of words, from each template word on
+    most = max(len(text.split()) for _, text in TEMPLATES)
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), F.try_element_at(ranks, w).alias("rank"))), lambda x: x["rank"].isNotNull())
+    runs = rows.filter(candidate & F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("text_hash"), hits.alias("hits"))
+    near = lambda x, i: F.filter(F.slice(F.col("hits"), i + 1, most), lambda y: y["place"] < x["place"] + most)
+    runs = runs.select("doc_id", "text_hash", F.posexplode(F.transform("hits", near)).alias("block", "run"))
+    runs = runs.withColumn("held", F.array_sort(F.array_distinct("run.rank"))).drop("run")
+    blocks = blocks.drop("line").unionByName(runs.filter(F.arrays_overlap("held", F.array(*[F.lit(r) for r in sorted({r for _, r in prefix})]))))
     tokens = blocks.filter(F.size("held") >= min(need)).select("doc_id", "text_hash", "block", "held", F.posexplode("held").alias("at", "rank"))
     pairs = tokens.join(notices, "rank").filter(F.size("held") - F.col("at") >= F.col("need"))  # positional, and with it length
     share = F.size(F.array_intersect("held", "ranks")) / F.size("ranks")
