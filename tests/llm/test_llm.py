@@ -129,6 +129,15 @@ def test_one_of_each_group(spark, hard):
     assert kept.columns == hard.columns
 
 
+def test_groups_go_by_id_and_text(spark):
+    copy, near = "a text of some words that is copied now and then by others", "".join(f"n{i} " for i in range(90))
+    rows = [(None, copy), (1, copy), (None, "null and clean one"), (None, "null and clean two"), (7, copy), (7, "an unrelated text of that id"), (None, near), (None, near + "tail"), (9, near.upper().replace("N5 ", "Q5 ") + "x"), (9, "".join(f"m{i} " for i in range(90))), (9, "".join(f"m{i} " for i in range(90)) + "tail")]
+    kept = Counter((r.doc_id, (r.text or "")[:4]) for r in NJ.one_of_each_group(table(spark, [(i, t, "en", "a") for i, t in rows])).collect())
+    assert kept[1, "a te"] == 1 and kept[7, "a te"] == kept[None, "a te"] == 0
+    assert kept[None, "null"] == 2 and kept[7, "an u"] == 1 and kept[9, "m0 m"] == 1
+    assert kept[None, "n0 n"] + kept[9, "N0 N"] >= 1 and kept[None, "n0 n"] <= 1
+
+
 def test_very_long_texts_in_parts():
     text = " ".join(f"w{i % 1000}" for i in range(450_000))
     words = text.split()

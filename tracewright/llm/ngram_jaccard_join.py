@@ -144,8 +144,9 @@ def _batches(docs: DataFrame, make, schema: str, names: list[str], slice_rows: i
 def memberships(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
     """(doc_id, n, s, looked_at array<long>): size, key and first tokens (step 2) of every document's set.
 
-    Within a task only the first of equal sets carries its tokens.
+    Within a task only the first of equal sets carries its tokens. A ``text_hash`` of ``docs`` is kept.
     """
+    kept = [c for c in docs.columns if c == "text_hash"]
 
     def make(part, seen):
         sets = shingle_sets(part.column("text").to_pylist(), k)
@@ -155,9 +156,9 @@ def memberships(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra:
             fresh = len(tokens) > 0 and key not in seen
             seen.add(key)
             first.append(tokens[: filter_sizes(len(tokens), percent, extra)[0]].view(np.int64) if fresh else None)
-        yield [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+        yield [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(part.column(c) for c in kept)]
 
-    return _batches(docs, make, "doc_id long, n long, s long, looked_at array<long>", ["doc_id", "n", "s", "looked_at"])
+    return _batches(docs, make, ", ".join(["doc_id long, n long, s long, looked_at array<long>", *(f"{c} long" for c in kept)]), ["doc_id", "n", "s", "looked_at", *kept])
 
 
 def _tokens(docs: DataFrame, k: int) -> DataFrame:
@@ -300,36 +301,51 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "na", "b", "nb").distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA, salts: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per input row."""
-    rows = id_text(docs, id_col, text_col)
+def _grouped(rows: DataFrame, k: int, percent: int, extra: float) -> tuple[DataFrame, DataFrame]:
+    """Size and set of every row, and (s, root) of the sets that link with others."""
     members = cut(memberships(rows, k, percent, extra))
     survivors = cut(surviving_sets(members, percent, extra))
     members = cut(members.drop("looked_at"))  # the tokens' checkpoint is not referenced any more and can be cleaned
     sets = cut(ordered_sets(rows, members, survivors, k, percent))
-    roots = components(links(sets, percent))
-    per_set = members.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    return members, components(links(sets, percent))
+
+
+def _with_least(members: DataFrame, roots: DataFrame, value: Column, salts: int) -> DataFrame:
+    """``members`` with the least ``value`` of each component of several rows as ``least``, else null."""
+    per_set = members.filter("n > 0").groupBy("s").agg(F.min(value).alias("least"), F.count("*").alias("copies"))
     per_set = per_set.join(roots, "s", "left").filter("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "s"))
-    per_set = cut(per_set.select("s", "root", "least_id"))
-    named = per_set.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = per_set.join(named, "root").select("s", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(salts)).cast("int"))
-    joined = salted.join(named, ["s", "salt"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    per_set = cut(per_set.select("s", "root", F.col("least").alias("own")))
+    named = per_set.groupBy("root").agg(F.min("own").alias("least"))
+    named = per_set.join(named, "root").select("s", "least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = [F.coalesce("doc_id", F.lit(-1)), *(F.col(c) for c in members.columns if c == "text_hash")]
+    return members.withColumn("salt", F.pmod(F.xxhash64(*dealt), F.lit(salts)).cast("int")).join(named, ["s", "salt"], "left")
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA, salts: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per input row."""
+    joined = _with_least(*_grouped(id_text(docs, id_col, text_col), k, percent, extra), F.col("doc_id"), salts)
+    component = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id.
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id, null ids last.
 
-    Of rows that repeat an id with one text, one stays; documents without words all stay.
+    Documents are told apart by id and text, so those that share an id, or have none, fare
+    each by its own text; where ids are equal the text of the smallest hash stays. Of rows
+    that repeat an id with one text, one stays; other documents without words all stay.
     """
-    found = cut(ngram_jaccard_join(docs, id_col=id_col, text_col=text_col))
-    gone = found.filter("component_id != doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone_id")).distinct()
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("twice_id"))
-    gone, twice = (F.broadcast(x) if small_enough(x, 16) else x for x in (gone, twice))
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
-    repeats = F.col(id_col).eqNullSafe(F.col("twice_id"))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    members, roots = _grouped(rows, WORDS, PERCENT, EXTRA)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    found = _with_least(members, roots, first, salts)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.hash")))
+    gone = cut(found.filter(F.col("least").isNotNull() & other).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
+    twice = members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_hash").alias("twice_hash"))
+    gone, twice = (F.broadcast(x) if small_enough(x, 24) else x for x in (gone, twice))
+    named = docs.withColumn("__text", text_hash)
+    kept = named.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("__text") == F.col("gone_hash")), "left_anti")
+    repeats = F.col(id_col).eqNullSafe(F.col("twice_id")) & (F.col("__text") == F.col("twice_hash"))
     once, several = kept.join(twice, repeats, "left_anti"), kept.join(twice, repeats, "left_semi")
-    named = several.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return once.unionByName(named.dropDuplicates([id_col, "__text"]).drop("__text"))
+    return once.unionByName(several.dropDuplicates([id_col, "__text"])).drop("__text")
