@@ -1,22 +1,26 @@
 """Best-fit packing of token pieces into fixed-length sequences.
 
 Documents are tokenised in parallel; longer ones are cut, the first piece taking what
-is over. Pieces are dealt at random into shards of bounded size; each shard is packed by
+is over. Pieces are dealt by a hash into shards of bounded size; each shard is packed by
 best-fit decreasing, where a segment tree over remaining capacities gives the tightest
-open sequence in logarithmic time. A shard leaves about one sequence partly filled, so
-the number of sequences is that of one global packing but for about one in thousands.
-
-Defined results: null text is empty and packs as its end id alone; repeated rows are
-packed each; an empty table gives no rows; other columns are ignored.
+open sequence in logarithmic time. What a shard leaves in sequences that are not nearly
+full is packed again together with that of other shards, until one shard is left.
+
+Defined results: null text is empty and packs as its end id alone; an empty text likewise;
+null ids are kept, and ids of all 64 bits come back as they are; repeated rows are packed
+each; a very long text is cut like any other, and encoded as one, as the library does;
+pieces of equal length go by id and piece; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,12 @@ _TOKENIZERS: dict[str, Tokens] = {}
 
 
 class Tokens:
-    """Ids of a byte-level vocabulary file of the tokenizers library, without special tokens.
+    """Ids of a byte-level vocabulary file as the tokenizers library gives them with ``add_special_tokens=False``.
 
-    The same merges run in tiktoken, several times faster; a token's id is its rank. The
-    library itself encodes a few texts first, to make sure that the file is of this kind.
+    The same merges run in tiktoken, several times faster; a token's id is its rank. Texts
+    that hold an added token of the file go through the library itself, which finds such
+    tokens in the text. It also encodes a few texts first, to make sure that the file is of
+    this kind.
     """
 
     PROBES = ("Hello, world's end\n\n  x", "12 Äpfel und naïveté!\t", "...   ")
@@ -40,18 +46,24 @@ class Tokens:
         import tiktoken
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
+        self.own = own = Tokenizer.from_file(path)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t.content for t in own.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in own.get_vocab().items() if t not in special}
+        added = {t.content for t in own.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in own.get_vocab().items() if t not in added}
         self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
         for text in self.PROBES:
             if own.encode(text, add_special_tokens=False).ids != self.fast.encode_ordinary(text):
                 raise ValueError(f"{path} is no byte-level vocabulary with ids in the order of merges")
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False) for t in texts]
+        return [self._of(t) for t in texts]
+
+    def _of(self, text: str) -> np.ndarray:
+        if self.added and self.added.search(text):
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 def tokens(path: str) -> Tokens:
@@ -137,23 +149,46 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets
 
 
-def pack(pieces: DataFrame, size: int = 2048, shard_rows: int = 32_768) -> DataFrame:
-    """``pieces`` (with ``length``) plus sequence_id and offset.
-
-    Needs the number of pieces, and row numbers that are the same whenever a task runs
-    again, so ``pieces`` should be materialised. Dealing by a hash of id, piece and row
-    number gives every shard about the same mixture, even where one id repeats.
+def _pack_shard(shard: pa.Table, size: int) -> pa.Table:
+    """One shard with sequence_id, offset, and how much of its sequence is filled."""
+    order = pc.sort_indices(shard, sort_keys=[("doc_id", "ascending"), ("piece", "ascending")])
+    shard = shard.take(order)
+    lengths = shard.column("length").to_numpy().astype(np.int64)
+    bins, offsets = best_fit_decreasing(lengths, size)
+    filled = np.bincount(bins, weights=lengths).astype(np.int64)[bins]
+    first = shard.column("shard").to_numpy().astype(np.int64) << 32
+    out = shard.drop_columns(["shard"])
+    for name, values in (("sequence_id", first + bins), ("offset", offsets), ("filled", filled)):
+        out = out.append_column(name, pa.array(values, pa.int64()))
+    return out
+
+
+def pack(pieces: DataFrame, size: int = 2048, shard_rows: int = 32_768, nearly: float = 0.98) -> DataFrame:
+    """``pieces`` (with doc_id, piece and ``length``) plus sequence_id and offset.
+
+    Pieces of sequences filled to less than ``nearly`` of ``size`` are dealt and packed
+    anew, as long as that makes fewer shards. Needs the number of pieces, and row numbers
+    that are the same whenever a task runs again, so ``pieces`` should be materialised.
+    Dealing by a hash of id, piece and row number gives every shard about the same mixture,
+    even where one id repeats.
     """
+    given = pieces.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, filled long"
+    at, used, done, rows = 0, 0, None, pieces
     shards = max(1, -(-pieces.count() // shard_rows))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
-        bins, offsets = best_fit_decreasing(pdf["length"].to_numpy(np.int64), size)
-        return pdf.assign(sequence_id=(pdf["shard"].to_numpy(np.int64) << 32) + bins, offset=offsets).drop(columns="shard")
-
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInPandas(one, schema)
+    while True:
+        dealt = rows.withColumn("shard", F.lit(used) + F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(at)), F.lit(shards)))
+        packed = dealt.groupBy("shard").applyInArrow(lambda shard: _pack_shard(shard, size), schema)
+        if shards == 1:
+            return packed.drop("filled") if done is None else done.unionByName(packed.drop("filled"))
+        packed = cut(packed)
+        rest = packed.filter(F.col("filled") < int(nearly * size))
+        fewer = max(1, -(-rest.count() // shard_rows))
+        if fewer >= shards:
+            return packed.drop("filled") if done is None else done.unionByName(packed.drop("filled"))
+        full = packed.filter(F.col("filled") >= int(nearly * size)).drop("filled")
+        done = full if done is None else done.unionByName(full)
+        at, used, rows, shards = at + 1, used + shards, rest.select(*given), fewer
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
