@@ -1,12 +1,16 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on windows of a bounded
-sample of labelled texts. To predict, every whole text is cut into windows of ``WINDOW``
-bytes; a forward and a backward pass label every position, and the position
-probabilities are pooled to one distribution per document.
+The network is trained in numpy by backpropagation through time on windows of labelled
+texts: of the windows of all whole texts that may be learned from, a bounded number of each
+language, drawn by a hash (``SAMPLE_WINDOWS``). To predict, every whole text is cut into
+windows of ``WINDOW`` bytes; a forward and a backward pass label every position, and the
+position probabilities are pooled to one distribution per document.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for
-all texts where no row can be learned from; other columns are ignored.
+all texts where no row can be learned from; null ids are predicted, and learned from (they
+are not held out); rows that repeat each count; a very long text is read to its end;
+equally likely languages go to the first in order of their names; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,14 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm._common import held_out, map_batches
 
 WINDOW = 96
-#: Rows and bytes of each that training sees at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 4 * WINDOW
+#: Windows of each language that training sees at most.
+SAMPLE_WINDOWS = 2000
 _PAD = 256
 
 
@@ -70,13 +74,13 @@ def windows(raw: bytes) -> np.ndarray:
     return codes.reshape(n, WINDOW)
 
 
-def fit(texts: list[tuple[str, str]], hidden: int = 8, steps: int = 240, batch: int = 256, seed: int = 7) -> Network | None:
-    """From (text, language) pairs, by Adam on windows drawn equally from the languages."""
-    langs = sorted({lang for _, lang in texts})
+def fit(sample: list[tuple[np.ndarray, str]], hidden: int = 8, steps: int = 240, batch: int = 256, seed: int = 7) -> Network | None:
+    """From (window, language) pairs, by Adam on windows drawn equally from the languages."""
+    langs = sorted({lang for _, lang in sample})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
-    per = [np.concatenate([windows(t.encode("utf-8", "replace")) for t, lang in texts if lang == x and t] or [np.full((1, WINDOW), _PAD, np.int16)]) for x in langs]
+    per = [np.stack([w for w, lang in sample if lang == x]) for x in langs]
     k, h = len(langs), hidden
     w = {
         "inputs": rng.normal(0, 0.3, (2, 257, 3 * h)),
@@ -142,18 +146,37 @@ def _gradients(w: dict[str, np.ndarray], codes: np.ndarray, label: np.ndarray) -
     return grad
 
 
-def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most ``rows`` excerpts with their language, chosen by a hash of the id among all that may be learned from.
+def training_windows(docs: DataFrame, most: int = SAMPLE_WINDOWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[np.ndarray, str]]:
+    """(window, language): of each language the ``most`` windows with the smallest hashes, from all whole texts that may be learned from.
 
-    Only about three times as many excerpts as are wanted are compared, however large the table.
+    A first pass counts each language's windows; in the second one, only about three times
+    as many as are wanted leave the tasks, however large the table.
     """
-    at = F.greatest(F.lit(1), F.floor(F.length(text_col) / 2) - SAMPLE_BYTES // 2).cast("int")
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    place = F.xxhash64(F.col(id_col), F.lit("sample"))
-    share = min(1.0, 3 * rows / max(1, docs.count()))
-    below = known.filter(F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30)))
-    excerpts = below.select(place.alias("place"), F.col(id_col).alias("id"), F.col(text_col).substr(at, F.lit(SAMPLE_BYTES)).alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    return [(r["t"], r["lang"]) for r in excerpts.orderBy("place", "id", "t").limit(rows).collect()]
+    known = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & ~held_out(F.col(id_col)))
+    rows = known.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("place"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counted = rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).collect()
+    limit = {r["lang"]: np.uint64(min(2**64 - 1, 3 * most * 2**64 // r["n"])) for r in counted}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: tuple[list, list, list] = ([], [], [])
+        for place, text, lang in zip(*(batch.column(c).to_pylist() for c in ("place", "text", "lang")), strict=True):
+            raw = text.encode("utf-8", "replace")
+            hashes = _mix(np.uint64(place % 2**64) + np.arange(1, -(-len(raw) // WINDOW) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            if len(drawn := np.flatnonzero(hashes <= limit[lang])):
+                out[0].extend([lang] * len(drawn))
+                out[1].extend((hashes[drawn] >> np.uint64(1)).tolist())
+                out[2].extend(c.tobytes() for c in windows(raw)[drawn])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["lang", "place", "codes"])
+
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "codes"))
+    kept = map_batches(rows, run, "lang string, place long, codes binary", rows=500).withColumn("nth", nth).filter(F.col("nth") <= most).orderBy("lang", "nth")
+    return [(np.frombuffer(r["codes"], np.int16), r["lang"]) for r in kept.collect()]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def identify_languages(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
@@ -182,4 +205,4 @@ def identify_languages(docs: DataFrame, network: Network | None, id_col: str = "
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    return identify_languages(docs, fit(training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)), id_col, text_col)
+    return identify_languages(docs, fit(training_windows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)), id_col, text_col)

@@ -1,14 +1,18 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
-Statistics of every whole text are computed once. Counts, sums and sums of products per
+Statistics are taken of every whole text. Counts, sums and sums of products per
 class are added up over all labelled documents that may be learned from; shrinkage turns
 them into one covariance per class. A score is the logistic of the difference of the two
 Gaussian log densities (plus log priors), each from the Mahalanobis distance under a
 Cholesky factor that is computed once.
 
-Defined results: null text is empty and gets a score like any other; labels other than 0
+Defined results: null text is empty and gets a score like any other; a very long text is
+one text like any other (statistics are linear in it); null ids are scored and never
+learned from; rows that repeat an id each count and are scored each; labels other than 0
 and 1 are ignored; several labels of one document each count; where a class has no
-labelled document, every score is the share of label 1 (0.5 without any label).
+labelled document, every score is the share of label 1 (0.5 without any label); a score
+equal to the threshold is predicted 1; an empty table gives no rows; columns ``score`` and
+``predicted`` of the input are replaced by ``score_quality``, all others are left alone.
 """
 
 from __future__ import annotations
@@ -21,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import cut, held_out, map_batches
+from tracewright.llm._common import held_out, id_text, map_batches, small_enough
 
 _SYMBOLS = bytes(b for b in b"*#$%&@^~<>{}[]\\|=+_/")
 _DIGITS, _CAPITALS, _ENDS, _COMMAS = b"0123456789", bytes(range(65, 91)), b".!?", b",;:"
-_OTHERS = b"|"
-N_STATISTICS = 17
+N_STATISTICS = 16
 
 
 def statistics(text: str) -> list[float]:
@@ -45,7 +48,6 @@ def statistics(text: str) -> list[float]:
         np.sqrt(len(set(words)) / max(w, 1)),
         np.sqrt(sum(map(operator.eq, words, words[1:])) / max(w, 1)),
         np.sqrt(share(_SYMBOLS)),
-        np.sqrt(share(_OTHERS)),
         np.sqrt(share(_DIGITS)),
         np.sqrt(share(_CAPITALS)),
         np.sqrt(share(_ENDS)),
@@ -136,41 +138,35 @@ def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.02) -> Discrimina
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x array<double>)."""
-    from tracewright.llm._common import id_text
-
     return map_batches(id_text(docs, id_col, text_col), _statistics_batch, "doc_id long, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
-    """Learn from all labelled documents that are not held out."""
+    """Learn from all labelled documents that are not held out; only theirs are read by Python."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("label_id")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = cut(document_statistics(rows))
+    ids = known.select("label_id").distinct()
+    if small_enough(ids, 16):
+        ids = F.broadcast(ids)
+    rows = id_text(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("label_id"), "left_semi")
+    stats = document_statistics(rows)
     return fit_discriminant(stats.join(known, stats.doc_id == known.label_id), shrinkage)
 
 
 def score_quality(docs: DataFrame, model: Discriminant, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` added."""
+    """``docs`` with ``score`` and ``predicted`` added, or replaced."""
+    rows = docs.drop("score", "predicted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         score = model.score(np.array([statistics(t) for t in texts], np.float64).reshape(-1, N_STATISTICS))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return map_batches(docs, run, ", ".join([*kinds, "score double", "predicted int"]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return map_batches(rows, run, ", ".join([*kinds, "score double", "predicted int"]))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, shrinkage: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per input row; statistics are computed once."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = cut(document_statistics(rows))
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("label_id")))
-    model = fit_discriminant(stats.join(known, stats.doc_id == known.label_id), shrinkage)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.score(np.array(batch.column("x").to_pylist(), np.float64).reshape(-1, N_STATISTICS))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
-
-    scored = map_batches(stats, run, "doc_id long, score double, predicted int", rows=10_000)
+    """(doc_id, held_out, score, predicted), one row per input row."""
+    model = train(docs, labels, shrinkage, id_col, text_col)
+    scored = score_quality(id_text(docs, id_col, text_col), model, threshold)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
