@@ -408,13 +408,49 @@ def test_licenses(spark):
 def test_licenses_over_line_ends(spark):
     import textwrap
 
-    for width in (20, 40, 76):
-        rows = [(i, "\n".join(["some words first", *(f" * {line}" for line in textwrap.wrap(text, width)), "and more"]), "en", "a") for i, (_, text) in enumerate(LS.TEMPLATES)]
+    for width in (20, 76):
+        rows = [(i, "\n".join(["some words first", *(f" * {line}" for line in textwrap.wrap(text, width)), "and more"]), "en", "a") for i, (_, text) in enumerate(LS.NOTICES)]
         got = {r.doc_id: r for r in LS.license_scan(table(spark, rows)).collect()}
-        for i, (label, _) in enumerate(LS.TEMPLATES):
+        for i, (label, _) in enumerate(LS.NOTICES):
             assert label in got[i].labels.split(",") and got[i].score == 1
 
 
+def brute_labels(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    found, share = set(), 0.0
+    for label, notice in LS.TEMPLATES:
+        own = set(notice)
+        for i in range(len(words)):
+            n = len(own & set(words[i : i + LS.run_length(len(notice))]))
+            if n >= LS.needed(len(own), 0.8):
+                found.add(label)
+                share = max(share, n / len(own))
+    return found, share
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        _, notice = rng.choice(LS.TEMPLATES)
+        words = [w for w in notice if rng.random() > rng.choice((0, 0.1, 0.2, 0.3))]
+        for _ in range(rng.choice((0, 2, len(words) // 6, len(words) // 3))):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(("other", "Éx", "\u212aelvin", "the", "2024")))
+        rows.append((i, rng.choice(("", "Before. ", "\n")) + rng.choice((" ", "\n", ", ")).join(w.upper() if rng.random() < 0.1 else w for w in words) + rng.choice(("", ".", " after it")), "en", "a"))
+    for r in LS.license_scan(table(spark, rows)).collect():
+        found, share = brute_labels(rows[r.doc_id][1])
+        named = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == found | named, rows[r.doc_id]
+        assert r.score == pytest.approx(1.0 if named else share)
+        assert r.n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", rows[r.doc_id][1].lower()))
+
+
+def test_license_names_that_differ_by_a_word(spark):
+    rows = [(1, "Licensed under CC BY-SA 4.0.", "en", "a"), (2, "Licensed under CC BY-NC 4.0.", "en", "a"), (3, "released under the zlib license", "en", "a"), (None, None, None, None)]
+    got = {r.doc_id: r.labels for r in LS.license_scan(table(spark, rows)).collect()}
+    assert got == {1: "", 2: "cc-by-nc", 3: "", None: ""}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_topk_against_brute_force(spark, seed):
     rng = np.random.default_rng(seed)

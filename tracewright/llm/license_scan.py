@@ -1,49 +1,95 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-Blocks are the lines of a text, and all runs of as many words as the longest template has,
-whatever lines they stand in; templates are a fixed list of notices; all are word sets. A
-block is found when it holds at least ``threshold`` of a template's words. Words are
-ordered by their frequency over all documents, rarest first. A found block must share a
-word of the template's prefix (prefix filter), must hold enough template words at all
-(length filter), and enough of them must be left from the shared word on (positional
-filter); what passes is verified. The templates are a constant of a few dozen words, so
-their side is broadcast; documents without any prefix word leave before the join.
-
-Defined results: null text is empty; rows that repeat a document fare alike; other
-columns are ignored; an empty table gives an empty result.
+Blocks are runs of words, wherever lines end: for each template, all runs a quarter longer
+than it (so that foreign words may stand in between). Templates are a fixed list of notices,
+whole ones and single sentences; blocks and templates are word sets. A block is found when
+it holds at least ``threshold`` of a template's words; templates of fewer than ``WHOLE_BELOW``
+words, in which one word makes another license, must be there whole.
+
+One pass over the texts takes words, phrases, and the words of the templates that each text
+holds. Frequencies over all documents order the words of a template, rarest first. Then
+
+* length filter: a text, and then a run, must hold enough of a template's words;
+* prefix filter: a run must hold a word of the template's prefix;
+* positional filter: enough words must be left in the order from the rarest one held;
+* what passes is verified by counting distinct words.
+
+Templates are a constant of a few hundred words, so their side is broadcast.
+
+Defined results: null text is empty, and an empty text has no words; null ids are kept;
+rows that repeat a document fare alike, each with a row of its own; a very long text is
+read to its end; of equal shares the score is the same; other columns, whatever their
+names, are ignored; an empty table gives an empty result. The Kelvin sign is no ``k``.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from tracewright.llm._common import cut, small_enough
+
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose places count, with their labels.
 PHRASES = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
-#: Notices to look for, with their labels.
-TEMPLATES = (
+#: Notices to look for, with their labels; the words of public license texts.
+NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
     ("apache", "licensed under the apache license version 2 0"),
+    (
+        "apache",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 )
 
+#: Words of each notice, with its label.
+TEMPLATES = tuple((label, re.findall(r"[a-z0-9]+", text.lower())) for label, text in NOTICES)
+#: Templates of fewer different words must be there whole.
+WHOLE_BELOW = 15
+
+
+def needed(n: int, threshold: float) -> int:
+    """How many of the ``n`` different words of a template a block must hold."""
+    return n if n < WHOLE_BELOW else math.ceil(threshold * n - 1e-9)
+
+
+def run_length(n_words: int) -> int:
+    """How many words the blocks for a template of ``n_words`` words have."""
+    return n_words + n_words // 4
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case. Other letters change as well, but none of them into another letter of the words looked for."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e9")))  # the Kelvin sign would become a k
 
-def _places(words: Column, phrase: tuple[str, ...]) -> Column:
+
+def _places(words: Column, phrase: tuple[str, ...], lead: Column) -> Column:
     """Where the words of ``phrase`` stand one after another."""
     at = F.sequence(F.lit(0), F.size(words) - len(phrase))
 
@@ -53,88 +99,107 @@ def _places(words: Column, phrase: tuple[str, ...]) -> Column:
             same &= F.get(words, i + k) == w
         return same
 
-    return F.when(F.size(words) >= len(phrase), F.filter(at, begins)).otherwise(F.array().cast("array<int>"))
+    found = F.transform(F.filter(at, begins), lambda i: i - lead)
+    return F.when(F.size(words) >= len(phrase), found).otherwise(F.array().cast("array<int>"))
 
 
-def license_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per input row.
+def _scanned(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_words, places and labels of phrases, held, wanted, words), one row per input row.
 
-    ``score``: the largest share of a template found in a block, 1 where a phrase stands, else 0.
+    ``held``: the different words of templates in the text; ``wanted``: numbers of the
+    templates of which it holds enough; ``words`` only where there is one.
     """
-    spark = docs.sparkSession
-    templates = [(label, sorted(set(text.split()))) for label, text in TEMPLATES]
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, ws in templates for w in ws})])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("words", words_of(F.col("text")))
+    sets = [sorted(set(words)) for _, words in TEMPLATES]
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for ws in sets for w in ws})])
+    # some of any |template| - need + 1 words must be there; the longest ones are the quickest to miss
+    longest = F.array(*[F.lit(w) for w in sorted({w for ws in sets for w in sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - needed(len(ws), threshold) + 1]})])
+    enough = [F.when(F.size(F.array_intersect("held", F.array(*map(F.lit, ws)))) >= needed(len(ws), threshold), F.lit(t)) for t, ws in enumerate(sets)]
+    none = F.array().cast("array<int>")
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(lowered(F.coalesce(F.col(text_col), F.lit(""))), BETWEEN, -1).alias("words"))
+    # what stands before a first separator or after a last one may be empty
+    lead = (F.get("words", F.lit(0)) == "").cast("int")
+    last = ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
+    rows = rows.select("doc_id", "words", lead.alias("lead"), (F.size("words") - lead - last).cast("long").alias("n_words"), F.array_intersect("words", vocabulary).alias("held"))
+    named = [F.when(F.array_contains("held", "license"), _places(F.col("words"), phrase, F.col("lead"))).otherwise(none).alias(f"at_{label}") for label, phrase in PHRASES]
+    rows = rows.select("doc_id", "n_words", "held", "words", *named, F.when(F.arrays_overlap("held", longest), F.array_compact(F.array(*enough))).otherwise(none).alias("wanted"))
+    starts = F.concat(*[F.col(f"at_{label}") for label, _ in PHRASES])
+    labels = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label, _ in PHRASES]))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        labels.alias("named"),
+        "held",
+        "wanted",
+        F.when(F.size("wanted") > 0, F.col("words")).alias("words"),
+    )
+
 
+def _found(scanned: DataFrame, threshold: float) -> DataFrame:
+    """(found_row, found, share): labels and largest share of the templates found in a row."""
     # frequencies over all documents; at most one row per word of the templates comes back
-    counted = rows.select(F.explode(F.array_intersect("words", vocabulary)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    often = {r["word"]: r["n"] for r in counted.collect()}
-    order = sorted({w for _, ws in templates for w in ws}, key=lambda w: (often.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-    need = [math.ceil(threshold * len(ws) - 1e-9) for _, ws in templates]
-    ranked = [sorted(rank[w] for w in ws) for _, ws in templates]
-    prefix = [(t, r) for t, rs in enumerate(ranked) for r in rs[: len(rs) - need[t] + 1]]
-    prefix_words = F.array(*[F.lit(w) for w in sorted({order[r] for _, r in prefix})])
-
-    values = ", ".join(f"({t}, {r}, {need[t]}, '{templates[t][0]}', array({', '.join(map(str, ranked[t]))}))" for t, r in prefix)
-    notices = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(template, rank, need, label, ranks)"))
-    ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
-    candidate = F.arrays_overlap("words", prefix_words)
-    blocks = rows.filter(candidate).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-    blocks = blocks.withColumn("held", F.array_sort(F.transform(F.array_intersect(words_of(F.col("line")), vocabulary), lambda w: F.element_at(ranks, w))))
-    # notices that go over line ends: runs of words, from each template word on
-    most = max(len(text.split()) for _, text in TEMPLATES)
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), F.try_element_at(ranks, w).alias("rank"))), lambda x: x["rank"].isNotNull())
-    runs = rows.filter(candidate & F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("text_hash"), hits.alias("hits"))
-    near = lambda x, i: F.filter(F.slice(F.col("hits"), i + 1, most), lambda y: y["place"] < x["place"] + most)
-    runs = runs.select("doc_id", "text_hash", F.posexplode(F.transform("hits", near)).alias("block", "run"))
-    runs = runs.withColumn("held", F.array_sort(F.array_distinct("run.rank"))).drop("run")
-    blocks = blocks.drop("line").unionByName(runs.filter(F.arrays_overlap("held", F.array(*[F.lit(r) for r in sorted({r for _, r in prefix})]))))
-    tokens = blocks.filter(F.size("held") >= min(need)).select("doc_id", "text_hash", "block", "held", F.posexplode("held").alias("at", "rank"))
-    pairs = tokens.join(notices, "rank").filter(F.size("held") - F.col("at") >= F.col("need"))  # positional, and with it length
-    share = F.size(F.array_intersect("held", "ranks")) / F.size("ranks")
-    enough = F.size(F.array_intersect("held", "ranks")) >= F.col("need")
-    found = (
-        pairs.filter(enough)
-        .groupBy(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
-        .agg(F.collect_set("label").alias("found"), F.max(share).alias("share"))
+    often = {r["word"]: r["n"] for r in scanned.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    ranked = [{w: i for i, w in enumerate(sorted(set(words), key=lambda w: (often.get(w, 0), w)))} for _, words in TEMPLATES]
+    values = ", ".join(
+        f"({t}, '{w}', {i}, {len(ranks)}, {needed(len(ranks), threshold)}, {run_length(len(TEMPLATES[t][1]))}, '{TEMPLATES[t][0]}')" for t, ranks in enumerate(ranked) for w, i in ranks.items()
     )
+    notices = F.broadcast(scanned.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(template, word, rank, size, need, run, label)"))
+
+    words = scanned.filter(F.size("wanted") > 0).select("row", "wanted", F.posexplode("words").alias("place", "word"))
+    hits = words.join(notices, "word").filter(F.array_contains("wanted", F.col("template")))
+    per = hits.groupBy("row", "template", "size", "need", "run", "label").agg(F.array_sort(F.collect_list(F.struct("place", "rank"))).alias("hits"))  # of one text
+    # length filter: a run that begins at a hit reaches as far as the need-th one
+    near = lambda i: F.get(F.col("hits"), i + F.col("need") - 1)["place"] < F.get(F.col("hits"), i)["place"] + F.col("run")
+    begins = per.filter(F.size("hits") >= F.col("need")).select("*", F.explode(F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("need")), near)).alias("i"))
+    within = F.filter(F.slice("hits", F.col("i") + 1, F.col("run")), lambda x: x["place"] < F.get(F.col("hits"), F.col("i"))["place"] + F.col("run"))
+    blocks = begins.select("row", "label", "size", "need", F.array_sort(F.array_distinct(F.transform(within, lambda x: x["rank"]))).alias("ranks"))
+    rarest = F.get("ranks", F.lit(0))
+    prefix = rarest <= F.col("size") - F.col("need")
+    positional = F.least(F.size("ranks"), F.col("size") - rarest) >= F.col("need")
+    verified = F.size("ranks") >= F.col("need")
+    return blocks.filter(prefix & positional & verified).groupBy(F.col("row").alias("found_row")).agg(F.collect_set("label").alias("found"), F.max(F.size("ranks") / F.col("size")).alias("share"))
 
-    n_empty = F.array().cast("array<int>")
-    held = F.array_contains("words", "license")
-    per_phrase = [F.when(held, _places(F.col("words"), phrase)).otherwise(n_empty).alias(f"at_{label}") for label, phrase in PHRASES]
-    base = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size("words").cast("long").alias("n_words"), *per_phrase)
-    starts = F.concat(*[F.col(f"at_{label}") for label, _ in PHRASES])
-    named = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label, _ in PHRASES]))
-    base = base.select("doc_id", "text_hash", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), named.alias("named"))
-    joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")), "left")
+
+def license_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per input row.
+
+    ``score``: the largest share of a template found in a block, 1 where a phrase stands, else 0.
+    """
+    scanned = cut(_scanned(docs, threshold, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    found = cut(_found(scanned, threshold))
+    if small_enough(found, 128):
+        found = F.broadcast(found)
+    joined = scanned.drop("words", "held", "wanted").join(found, F.col("row") == F.col("found_row"), "left")
     every = F.array_union("named", F.coalesce("found", F.array().cast("array<string>")))
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("named"), ",").alias("base_labels"), F.array_join(F.array_sort(every), ",").alias("labels"), score.alias("score"))
 
 
 def oracle(threshold: float = 0.8) -> str:
-    """The same rows by comparing every line with every template."""
+    """The same rows by counting, for every word of a template in a text, the different ones in the run that begins there."""
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-    low = f"translate(%s, '{UPPER}', '{LOWER}')"
-    notices = ", ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in TEMPLATES)
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    notices = ", ".join(f"({t}, '{label}', {len(set(ws))}, {needed(len(set(ws)), threshold)}, {run_length(len(ws))}, {sorted(set(ws))!r})" for t, (label, ws) in enumerate(TEMPLATES))
     starts = " UNION ALL ".join(
         f"SELECT k, i - 1 AS pos, '{label}' AS label FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')) WHERE "
         + " AND ".join(f"w[i + {k}] = '{x}'" if k else f"w[i] = '{x}'" for k, x in enumerate(phrase))
         for label, phrase in PHRASES
     )
     return f"""
-        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
-                          regexp_extract_all({low % "coalesce(text, '')"}, '{word}') AS w FROM documents),
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({low}, '{word}') AS w FROM documents),
         s AS ({starts}),
         b AS (SELECT k, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM s GROUP BY k),
-        t AS (SELECT * FROM (VALUES {notices}) v(label, ws)),
-        l AS (SELECT k, list_distinct(regexp_extract_all({low % "line"}, '{word}')) AS ws
-              FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)),
-        f AS (SELECT k, list(DISTINCT label) AS labels, max(share) AS share
-              FROM (SELECT k, t.label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share, len(list_intersect(l.ws, t.ws)) AS n, len(t.ws) AS m FROM l, t)
-              WHERE n >= ceil({threshold} * m - 1e-9) GROUP BY k)
+        t AS (SELECT t, label, size, need, run, unnest(ws) AS word FROM (VALUES {notices}) v(t, label, size, need, run, ws)),
+        p AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+        h AS (SELECT k, pos, t.* FROM p JOIN t USING (word)),
+        e AS (SELECT k, t FROM h GROUP BY k, t HAVING count(DISTINCT word) >= any_value(need)),
+        r AS (SELECT h.* FROM h SEMI JOIN e USING (k, t)),
+        c AS (SELECT x.k, x.t, x.pos, any_value(x.label) AS label, any_value(x.size) AS size, any_value(x.need) AS need, count(DISTINCT y.word) AS n
+              FROM r x JOIN r y ON x.k = y.k AND x.t = y.t AND y.pos >= x.pos AND y.pos < x.pos + x.run GROUP BY x.k, x.t, x.pos),
+        f AS (SELECT k, list(DISTINCT label) AS labels, max(n / size) AS share FROM c WHERE n >= need GROUP BY k)
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
                coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
                coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
