@@ -451,30 +451,73 @@ def test_license_names_that_differ_by_a_word(spark):
     assert got == {1: "", 2: "cc-by-nc", 3: "", None: ""}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_topk_against_brute_force(spark, seed):
-    rng = np.random.default_rng(seed)
-    centers = rng.normal(0, 1, (4, 8))
-    v = centers[rng.integers(0, 4, 500)] + rng.normal(0, 0.2, (500, 8))
+def brute_topk(rows, every=50):
+    """Sorted (query id, rank, id, score), of all usable rows."""
+    q = [(i, np.floor(np.array(v, float) * 256).astype(np.int64)) for i, v in rows]
+    out = []
+    for x, (i, a) in enumerate(q):
+        if i % every == 0:
+            best = sorted(((-int(a @ b), j) for y, (j, b) in enumerate(q) if x != y and len(a) == len(b)))[:5]
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("spread", (0.02, 0.2, 3.0))
+def test_topk_against_brute_force(spark, spread):
+    rng = np.random.default_rng(int(spread * 100))
+    centers = rng.normal(0, 1, (6, 8))
+    v = centers[rng.integers(0, 6, 700)] + rng.normal(0, spread, (700, 8))
     v[100:160] = v[100]  # ties
-    rows = [(int(i), [float(x) for x in v[i]]) for i in range(500)]
-    bad = [(500, None), (550, [float("nan")] * 8), (600, [1.0, None] * 4), (650, []), (None, [1.0] * 8), (700, [1.0, 2.0]), (3, [float(x) for x in v[3]])]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
-    got = defaultdict(list)
-    for r in TK.topk_search(df, data_rows=150, query_rows=4).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    q = np.floor(v * 256).astype(np.int64)
-    for i in range(0, 500, 50):
-        want = sorted(((j, int(q[i] @ q[j])) for j in range(500) if j != i), key=lambda x: (-x[1], x[0]))[:5]
-        assert got[i] == want
-    assert set(got) == set(range(0, 500, 50))
+    rows = [(int(i), [float(x) for x in v[i]]) for i in range(700)] + [(3, [9.0] * 8), (50, [9.0] * 8), (50, [float(x) for x in v[50]]), (-100, [0.5] * 8), (0, [1.0, 2.0]), (100, [2.0, 1.0]), (101, [1.0, 1.0])]
+    bad = [(800, None), (850, [float("nan")] * 8), (600, [1.0, None] * 4), (650, []), (None, [1.0] * 8), (750, [float("inf")] * 8)]
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows + bad], "vec_id long, embedding array<double>, row int, cell int")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in TK.topk_search(df, data_rows=60, query_rows=4).collect())
+    assert got == brute_topk(rows)
     assert TK.topk_search(df.limit(0)).count() == 0
+    assert TK.topk_search(df.filter("vec_id = 700 OR vec_id IS NULL")).count() == 0
 
 
 def test_topk_beyond_doubles():
     big = np.array([[2**40, 1], [2**40, 2], [2**40, 3]], np.int64)
-    i, j, s = TK.search_block(big[:1] // 2**20, np.array([0]), big // 2**19, np.array([0, 1, 2]), 5)
-    assert list(j) == [1, 2] and len(s) == 2
+    both = TK.DualSearch(big[:1] // 2**20, np.array([0]), big // 2**19, np.array([0, 1, 2]), np.array([0, 1, 2]), 5).run()
+    assert both.best[0, :2].tolist() == [1, 2] and (both.scores[0] != TK._NONE).sum() == 2
+    wide = np.array([[2**31, 1], [2**31, 5], [2**31, 3], [2**31, 4]], np.int64)
+    both = TK.DualSearch(wide[:1], np.array([9]), wide[1:], np.array([1, 2, 3]), np.array([1, 2, 3]), 2).run()
+    assert both.best[0].tolist() == [1, 3] and both.scores[0].tolist() == [2**62 + 5, 2**62 + 4]
+
+
+def test_cover_tree_invariants_and_pruning():
+    rng = np.random.default_rng(4)
+    where = rng.normal(0, 300, (200, 16))
+    points = np.floor(where[rng.integers(0, 200, 6000)] + rng.normal(0, 6, (6000, 16)))
+    tree = TK.CoverTree.build(points)
+    for a, kids in enumerate(tree.children):
+        own = points[tree.order[tree.first[a] : tree.last[a]]]
+        assert np.sqrt(((own - tree.centers[a]) ** 2).sum(1)).max() <= tree.radii[a] + 1e-6
+        if len(kids):
+            assert (tree.radii[kids] <= tree.radii[a] / 2 + 1e-6).all()
+            apart = np.sqrt(((tree.centers[kids][:, None] - tree.centers[kids]) ** 2).sum(2))[np.triu_indices(len(kids), 1)]
+            assert (apart > tree.radii[a] / 2 - 1e-6).all() and sorted(np.concatenate([np.arange(tree.first[x], tree.last[x]) for x in kids])) == list(range(tree.first[a], tree.last[a]))
+    n = np.arange(6000)
+    both = TK.DualSearch(points[:500], n[:500], points, n, n, 5).run()
+    product = points[:500] @ points.T
+    product[n[:500], n[:500]] = -np.inf
+    assert (np.sort(product, axis=1)[:, -5:][:, ::-1] == both.scores).all()
+    assert both.compared < 0.1 * product.size  # most pairs are pruned
+    free = rng.normal(0, 100, (3000, 64))
+    assert TK.DualSearch(np.floor(free[:50]), n[:50], np.floor(free), n[:3000], n[:3000], 5).run().compared == 150_000  # none can be
+
+
+def test_topk_sends_queries_to_few_cells(spark):
+    rng = np.random.default_rng(6)
+    where = rng.normal(0, 1, (40, 16))
+    v = np.round(where[rng.integers(0, 40, 4000)] + rng.normal(0, 0.02, (4000, 16)), 3)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = df.select("vec_id", TK.quantised(F.col("embedding")).alias("v"))
+    centers = TK.cell_centers(rows, 4000)
+    assert 20 <= len(centers[16]) <= TK.CELLS
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in TK.topk_search(df, data_rows=1000, query_rows=50).collect())
+    assert got == brute_topk([(i, r) for i, r in enumerate(v)])
 
 
 # --- op5 --------------------------------------------------------------------------------
