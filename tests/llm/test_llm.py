@@ -1,6 +1,7 @@
 """The training-data operators: brute force on small fixtures, hard inputs, held-out accuracy."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
@@ -686,6 +687,62 @@ def test_compressed_layers_are_whole(raw):
     assert {(s, e) for s, e, k in SS.scan(text)[1] if k == 0} == {(2, len(text) - 2)}
 
 
+def deflated(raw, bits=-15):
+    machine = zlib.compressobj(9, zlib.DEFLATED, bits)
+    return machine.compress(raw) + machine.flush()
+
+
+FILLER = b"many words of no meaning that repeat, " * 80_000
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [deflated(b"plain words token=abcdef12345 end"), deflated(FILLER + b"token=abcdef12345"), bz2.compress(b"plain words token=abcdef12345"), bz2.compress(b"plain ") + bz2.compress(b"token=abcdef12345")]
+    + [deflated(b"words and words token=abcdef12345 more words", bits) for bits in range(9, 16)]
+    + [gzip.compress(gzip.compress(FILLER + b"password=abcdef12345")), bz2.compress(deflated(b"x" * 300 + b" token=abcdef12345", 12)), b"\xff\xfe token=abcdef12345", "caf\u00e9 token=abcdef12345".encode("latin-1"), b"\x00\x01" * 200 + b"token=abcdef12345" + b"\x02\xff"],
+)
+@pytest.mark.parametrize("before", ["x ", "data/", "a-b_", "https://h/p/q/"])
+def test_every_kind_of_compression_and_bytes(raw, before):
+    code = base64.b64encode(raw).decode()
+    text = f"{before}{code} y"
+    base, every, _ = SS.scan(text)
+    found = [(s, e) for s, e, k in every if k == 0]
+    assert base == [] and found and all(s <= len(text) - 2 - 8 and e <= len(text) - 2 for s, e in found)
+
+
+@pytest.mark.parametrize("text", ["\\u{70}assword = abcdef123", "\\U00000070assword = abcdef123", "%70assword = abcdef123", "%u0070assword = abcdef123", "\\u{000070}assword = abcdef123"])
+def test_every_kind_of_escape(text):
+    base, every, _ = SS.scan(f"see {text} end")
+    assert base == [] and [(s, e) for s, e, k in every if k == 0] == [(4, 4 + len(text))]
+    assert SS.scan("\\u{110000} \\u{d800} \\U00110000")[1] == []
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_random_nestings(seed):
+    """A secret is found through any layers, at a place inside of them."""
+    rng = random.Random(seed)
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    wraps = [
+        lambda s: quote(s, safe=""),
+        lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s),
+        lambda s: b64(s.encode()),
+        lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="),
+        lambda s: b64(gzip.compress(s.encode())),
+        lambda s: b64(deflated(s.encode(), rng.choice((-15, 10, 15)))),
+        lambda s: b64(bz2.compress(s.encode())),
+        lambda s: wrapped(b64(zlib.compress(s.encode())), 76),
+    ]
+    inner = f"{rng.choice(('', 'some words '))}token{rng.choice(('=', ' : '))}abcDEF12345x"
+    for _ in range(rng.randint(1, 4)):
+        inner = rng.choice(wraps)(f"{rng.choice(('', 'see '))}{inner}")
+    text = f"first {inner} last"
+    base, every, layers = SS.scan(text)
+    new = [(s, e) for s, e, k in every if k == 0 and (s, e, k) not in base]
+    assert layers >= 1 and new and all(6 <= s < e <= len(text) - 5 for s, e in new), text
+
+
 def test_pieces_of_one_repeated_id_are_dealt_over_shards(spark):
     pieces = spark.range(4000).selectExpr("CAST(NULL AS LONG) doc_id", "0 piece", "CAST(100 AS LONG) length")
     rows = B.pack(pieces, 2048, shard_rows=1000, nearly=0.5).collect()

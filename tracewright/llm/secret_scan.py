@@ -1,22 +1,26 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for the base kinds. Then all URL escapes of it, all unicode escapes,
-and each encoded region (base64, and gzip/zlib bytes inside base64) are unwrapped one after
-another from a worklist; each decoded layer is scanned again in full and may add further ones.
+and each encoded region (base64, and gzip, zlib, bzip2 or raw deflate bytes inside base64)
+are unwrapped one after another from a worklist; each decoded layer is scanned again in full and may add further ones.
 A layer that was already seen at the same place of its document is not visited twice, so
 the worklist ends; the same encoded text at another place is a finding of its own. Findings of a layer are mapped back to code points of the original text.
 
-Defined results: null text is empty (no spans); empty tables give empty results; other
-columns are ignored; spans found twice at one place count once. Compressed bytes are
-unpacked to their end, all members and all layers inside one another, in overlapping
-windows; inside them, only what is encoded in one run of more than ``HOLD`` bytes, or a
-secret of more than ``OVERLAP`` bytes whose keyword lies in an earlier window, is seen in
-parts. Bytes that unpack to themselves are given up.
+Defined results: null text is empty (no spans); null ids are kept; rows that repeat a
+document fare alike, each with a row of its own; empty tables give empty results; other
+columns, whatever their names, are ignored; spans found twice at one place count once. A
+very long text is scanned to its end. Bytes that are no text are scanned for their readable
+stretches. Compressed bytes are unpacked to their end, all members and all layers inside one
+another, in overlapping windows; inside them, only what is encoded in one run of more than
+``HOLD`` bytes, or a secret of more than ``OVERLAP`` bytes whose keyword lies in an earlier
+window, is seen in parts. Bytes that unpack to themselves are given up. Raw deflate has no
+header: it is looked for where a run begins, and after each of its ``/``, ``_``, ``-`` and ``+``.
 """
 
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
 import re
 import zlib
@@ -34,12 +38,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+_SIGN = re.compile(r"[+/]")
 _STANDARD = str.maketrans("-_", "+/")
-_HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: gzip, bzip2, and zlib with any window: its second byte makes the first two divisible by 31, and asks for no dictionary.
+_ZLIB = [bytes((16 * w + 8, f)) for w in range(8) for f in range(256) if (256 * (16 * w + 8) + f) % 31 == 0 and not f & 32]
+_HEADER = re.compile(b"|".join([rb"\x1f\x8b\x08", rb"BZh[1-9]1AY&SY", *map(re.escape, _ZLIB)]), re.DOTALL)
 #: The shortest secret ("token=" and six more) has 12 characters; secrets and encoded regions are ASCII.
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_UNICODE = re.compile(r"[\\%]u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,6})\}|\\U(00[01][0-9A-Fa-f]{5})")
 #: Decompressed bytes scanned at once, how far windows of them overlap, and how long a run of base64 characters may make one.
 PART, OVERLAP, HOLD = 1 << 20, 1 << 16, 1 << 24
 _RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
@@ -104,20 +111,49 @@ def _unescape(layer: str) -> tuple[str, _Places]:
     out, last = _Places(), 0
     for m in _UNICODE.finditer(layer):
         out.add(layer[last : m.start()], last)
-        out.add(chr(int(m[1] or m[2], 16)), m.start(), m.end())
+        code = int(m[1] or m[2] or m[3] or m[4], 16)
+        out.add(chr(code) if code < 0x110000 else m[0], m.start(), m.end())
         last = m.end()
     out.add(layer[last:], last)
     return out.done()
 
 
-def _contents(raw: memoryview, used: list[int]):
+class _Bzip2:
+    """A bzip2 decompressor with the methods of one of zlib."""
+
+    unconsumed_tail = b""
+
+    def __init__(self) -> None:
+        self.own = bz2.BZ2Decompressor()
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        try:
+            return self.own.decompress(data, most)
+        except OSError as e:
+            raise zlib.error(str(e)) from e
+
+    @property
+    def eof(self) -> bool:
+        return self.own.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.own.unused_data
+
+
+def _machine(head: bytes):
+    return _Bzip2() if head.startswith(b"BZh") else zlib.decompressobj(47)
+
+
+def _contents(raw: memoryview, used: list[int], bare: bool = False):
     """Parts of what the compressed members that begin ``raw`` hold, one after another; compressed contents are unpacked as well.
 
-    ``used[0]`` becomes the number of bytes of ``raw`` in whole members. Each level hands
+    ``bare``: a raw deflate stream comes first. ``used[0]`` becomes the number of bytes of ``raw`` in whole members. Each level hands
     on at most ``PART`` bytes before it goes on, so memory is bounded by the levels.
     """
-    machines: list = []  # of each level; None: what begins here is not known yet, False: not compressed
-    heads: list[bytes] = []  # first bytes of each level: kept for cycles, and where they turn out not to be compressed
+    # of each level; None: what begins here is not known yet, False: not compressed
+    machines: list = [zlib.decompressobj(-15)] if bare else []
+    heads: list[bytes] = [b""] if bare else []  # first bytes of each level: kept for cycles, and where they turn out not to be compressed
     for at in range(0, len(raw), 1 << 16):
         work = [(0, bytes(raw[at : at + (1 << 16)]))]
         fed = at + len(work[0][1])
@@ -128,12 +164,12 @@ def _contents(raw: memoryview, used: list[int]):
                 heads.append(b"")
             if machines[k] is None:
                 heads[k] = data = heads[k] + data
-                if len(data) < 3:
+                if len(data) < 10 and not (k == 0 and fed == len(raw)):
                     continue
                 packed = _HEADER.match(data)
                 if packed and (k > len(raw) or any(h[:4096] == data[:4096] for h in heads[:k])):
                     return  # it holds itself, or goes on without end
-                machines[k] = zlib.decompressobj(47) if packed else False
+                machines[k] = _machine(data) if packed else False
             if machines[k] is False:
                 if k == 0:
                     return
@@ -191,6 +227,30 @@ def _unpacked(raw: bytes, region):
         at = m.start() + max(1, used[0])
 
 
+def _opens(raw: bytes, at: int, bits: int) -> bool:
+    """Whether what begins there unpacks, as far as its first bytes tell."""
+    try:
+        return len(zlib.decompressobj(bits).decompress(raw[at : at + 4096], 4096)) >= 12
+    except zlib.error:
+        return False
+
+
+def _ends(raw: bytes, at: int) -> bool:
+    """Whether a raw deflate stream goes from there to the end of ``raw``."""
+    machine, rest = zlib.decompressobj(-15), raw[at:]
+    try:
+        while not machine.eof and (machine.decompress(rest, PART) or machine.unconsumed_tail):
+            rest = machine.unconsumed_tail
+    except zlib.error:
+        return False
+    return machine.eof and len(machine.unused_data) <= 2
+
+
+def _inflated(raw: bytes, at: int, region):
+    for text in _windows(_contents(memoryview(raw)[at:], [0], bare=True)):
+        yield *region(at, len(raw)), text
+
+
 def _printable(raw: bytes) -> str:
     try:
         text = raw.decode("utf-8")
@@ -228,6 +288,7 @@ def _unwrapped(body: str, places: _Places, end: int):
     in a part of the run, after a path, a dash or an underscore, in either alphabet.
     """
     body = body.translate(_STANDARD)
+    kept = []
     for shift in range(4):
         chars = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
         raw = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
@@ -244,6 +305,15 @@ def _unwrapped(body: str, places: _Places, end: int):
                 yield *region(m.start(), m.end()), m[0].decode("ascii")
         if _HEADER.search(raw):
             yield _unpacked(raw, region)
+        kept.append((raw, region))
+    for c in (0, *(m.end() for m in _SIGN.finditer(body))):
+        raw, region = kept[c % 4]
+        at = c // 4 * 3
+        if _HEADER.match(raw, at) and _opens(raw, at, 47):
+            break
+        if _opens(raw, at, -15) and _ends(raw, at):
+            yield _inflated(raw, at, region)
+            break
 
 
 def _layers(text: str):
@@ -253,7 +323,7 @@ def _layers(text: str):
     """
     if "%" in text and _PERCENT.search(text):
         yield 0, len(text), *_percent(text)
-    if "\\" in text and _UNICODE.search(text):
+    if ("\\" in text or "%u" in text) and _UNICODE.search(text):
         yield 0, len(text), *_unescape(text)
     for block in _blocks(text):
         for x in _unwrapped(*block):
