@@ -382,6 +382,28 @@ def test_exact_dedup_of_repeats(hard):
     assert all(r.text_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for r in rows for i, t, *_ in HARD if i == r.doc_id and i != 5)
 
 
+def test_exact_dedup_of_many_repeats(spark, monkeypatch):
+    from tracewright.llm import exact_dedup as ED
+
+    monkeypatch.setattr(ED, "_REPEATS", 3)
+    rows = ED.exact_dedup(table(spark, [(3, "t", "en", "a")] * 10 + [(2, "t", "en", "a")] * 4 + [(None, "t", None, None)] * 2)).collect()
+    assert Counter(r.doc_id for r in rows) == {3: 10, 2: 4, None: 2} and {(r.keep_id, r.group_size) for r in rows} == {(3, 16)} and [r.doc_id for r in rows if r.kept] == [3]
+
+
+@pytest.mark.parametrize("limit", (8 << 20, 0))  # both ways: broadcast and shuffled
+def test_exact_dedup_against_brute_force(spark, limit, monkeypatch):
+    from tracewright.llm import exact_dedup as ED
+
+    monkeypatch.setattr(ED, "small_enough", lambda df, size: df.limit(limit // size + 1).count() <= limit // size)
+    rng = random.Random(2)
+    docs = [(i, rng.choice([None, "", "a", "b", "ab" * 100, "ab" * 100 + "c", "ab" * 99 + "cc", f"own {i}"])) for i in range(120)]
+    groups = defaultdict(list)
+    for i, t in docs:
+        groups[t or ""].append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in ED.exact_dedup(table(spark, [(i, t, "en", "a") for i, t in docs])).collect()}
+    assert got == {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in docs}
+
+
 def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     rows = exact_dedup(table(spark, [(3, "t", "en", "a")] * 4 + [(None, "u", "en", "a")] * 2)).collect()
     assert sum(r.kept for r in rows if r.doc_id == 3) == 1 and sum(r.kept for r in rows if r.doc_id is None) == 1
@@ -395,6 +417,40 @@ def test_lines_across_sites(spark):
     assert few.filter("n_removed_lines > 0").count() == 0 and few.columns[:-1] == table(spark, rows).columns
 
 
+def brute_lines(rows, least=10):
+    """{(id, text): (text, n)} by plain counting."""
+    sites, first = defaultdict(set), {}
+    for i, t, _, src in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            if line.strip(" "):
+                sites[line].add(src or "")
+                place = (i is not None, i or 0, n)
+                first[line] = min(first.get(line, place), place)
+    out = {}
+    for i, t, _, _ in rows:
+        lines = (t or "").split("\n")
+        gone = {n for n, line in enumerate(lines) if line.strip(" ") and len(sites[line]) >= least and first[line] != (i is not None, i or 0, n)}
+        out[i, t] = ("\n".join(x for n, x in enumerate(lines) if n not in gone) if t is not None else None, len(gone))
+    return out
+
+
+@pytest.mark.parametrize("small", (40, 1 << 30))  # both ways: boilerplate sent to all tasks, and joined
+def test_lines_against_brute_force(spark, small):
+    rng = random.Random(9)
+    shared = [f"shared line {j} é" for j in range(12)]
+    rows = [(i if i != 9 else None, "\n".join([f"own {i}", *rng.choices(shared[: 3 + i % 10], k=rng.randint(0, 6)), "", "  "]), "en", rng.choice([None, *map(str, range(14))])) for i in range(1, 90)] + [(200, None, "en", "a"), (201, "", None, "b")]
+    df = table(spark, rows).withColumn("removed", F.lit("x")).withColumn("key_id", F.lit(5)).withColumn("key_hash", F.lit(6))
+    got = {(r.doc_id, r.clean_of): (r.text, r.n_removed_lines) for r in LD.dedup_lines(df.withColumn("clean_of", F.col("text")), small=small).collect()}
+    assert got == brute_lines(rows)
+    assert LD.dedup_lines(df, small=small).columns == [*df.columns, "n_removed_lines"] and LD.dedup_lines(df.limit(0), small=small).count() == 0
+
+
+def test_line_keys_are_the_same_in_both_ways(spark):
+    lines = ["", "a", "é ß 日本語", "x" * 5000, "tab\t", "\r"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", *LD._keys(F.col("line")), F.xxhash64("line").alias("whole"))
+    assert all((r.h1, r.h2) == LD._keys_of(r.line.encode()) for r in df.collect())
+
+
 def test_licenses(spark):
     rows = [(1, "x\nReleased under the MIT License.", "en", "a"), (2, "the general public\nlicense and a mit  license", "en", "a"), (3, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation files", "en", "a"), (4, "mit licenses", "en", "a"), (5, "Éa mıt license", "en", "a")]
     got = {r.doc_id: r for r in LS.license_scan(table(spark, rows)).collect()}
