@@ -140,6 +140,24 @@ def test_groups_go_by_id_and_text(spark):
     assert kept[None, "n0 n"] + kept[9, "N0 N"] >= 1 and kept[None, "n0 n"] <= 1
 
 
+def test_sets_whose_first_keys_clash(spark, monkeypatch):
+    real = NJ.set_key
+    monkeypatch.setattr(NJ, "set_key", lambda tokens: (real(tokens)[0] % 3, real(tokens)[1]))
+    base = [f"b{i}" for i in range(60)]
+    docs = [(i, " ".join([*base, "x"]) if i % 4 == 0 else " ".join(base) if i % 4 == 1 else f"own words of document {i} and {i + 1} more") for i in range(30)]
+    df = table(spark, [(i, t, "en", "a") for i, t in docs])
+    members = NJ.memberships(df.select("doc_id", "text"))
+    assert NJ.clashes(members) == {0, 1, 2}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in NJ.ngram_jaccard_join(df).collect()}
+    assert got == brute_components(docs)
+
+
+def test_groups_with_columns_of_its_own_names(spark, hard):
+    df = hard.withColumn("own_id", F.lit(1)).withColumn("own_hash", F.lit(2)).withColumn("text_hash", F.lit("t"))
+    kept = NJ.one_of_each_group(df)
+    assert kept.columns == df.columns and kept.count() == NJ.one_of_each_group(hard).count()
+
+
 def test_very_long_texts_in_parts():
     text = " ".join(f"w{i % 1000}" for i in range(450_000))
     words = text.split()

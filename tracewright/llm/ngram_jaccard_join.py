@@ -16,10 +16,14 @@ result gives every document the smallest id of its connected component. Steps:
 5. A pair's overlap is counted in every fragment apart and summed; the sum decides.
 6. Components by label propagation with pointer jumping.
 
-A token, and a set, is known by a 64-bit hash. Defined results: documents without words
-have size 0 and link with nothing; one to four words make one shingle; null ids take part
-but never name a component (null where no other id is in it); repeated rows are equal
-sets; other columns are ignored; empty tables give empty results.
+A token is known by a 64-bit hash, a set by two: where two sets agree in the first one and
+not in the second, which is looked for, they go by the second.
+
+Defined results: null and empty texts, and those without words, have size 0 and link with
+nothing; one to four words make one shingle; a very long text is one set, made in parts;
+null ids take part but never name a component (null where no other id is in it); repeated
+rows are equal sets; a similarity of just the threshold links; other columns, whatever their
+names, are ignored (and kept by ``one_of_each_group``); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import cut, id_text, small_enough
+from tracewright.llm._common import cut, id_text, slices, small_enough, unused
 
 WORDS = 5
 #: Linked: PERCENT * size of the intersection's share of the union.
@@ -110,10 +114,12 @@ def shingle_sets(texts: list[str], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """64-bit identity of a set."""
-    parts = np.array([len(tokens), tokens.sum(dtype=np.uint64), _mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64)
-    return int(_mix(_mix(parts + np.arange(1, 4, dtype=np.uint64)).cumsum(dtype=np.uint64)).view(np.int64)[2])
+def set_key(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit identities of a set."""
+    sums = [_mix(tokens ^ np.uint64(c)).sum(dtype=np.uint64) for c in (0x5851F42D4C957F2D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    parts = np.array([len(tokens), tokens.sum(dtype=np.uint64), *sums], np.uint64)
+    mixed = _mix(_mix(parts + np.arange(1, 6, dtype=np.uint64)).cumsum(dtype=np.uint64)).view(np.int64)
+    return int(mixed[2]), int(mixed[4])
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -130,10 +136,9 @@ def filter_sizes(n: int, percent: int, extra: float) -> tuple[int, int]:
 
 def _batches(docs: DataFrame, make, schema: str, names: list[str], slice_rows: int = 1000) -> DataFrame:
     def run(batches):
-        seen: set[int] = set()
+        seen: set = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for part in slices(batch, slice_rows):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 yield from (pa.RecordBatch.from_arrays(arrays, names) for arrays in make(part, seen) if len(arrays[0]))
@@ -142,7 +147,7 @@ def _batches(docs: DataFrame, make, schema: str, names: list[str], slice_rows: i
 
 
 def memberships(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra: float = EXTRA) -> DataFrame:
-    """(doc_id, n, s, looked_at array<long>): size, key and first tokens (step 2) of every document's set.
+    """(doc_id, n, s, s2, looked_at array<long>): size, keys and first tokens (step 2) of every document's set.
 
     Within a task only the first of equal sets carries its tokens. A ``text_hash`` of ``docs`` is kept.
     """
@@ -156,12 +161,19 @@ def memberships(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, extra:
             fresh = len(tokens) > 0 and key not in seen
             seen.add(key)
             first.append(tokens[: filter_sizes(len(tokens), percent, extra)[0]].view(np.int64) if fresh else None)
-        yield [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(part.column(c) for c in kept)]
+        both = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+        yield [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *both, pa.array(first, pa.list_(pa.int64())), *(part.column(c) for c in kept)]
 
-    return _batches(docs, make, ", ".join(["doc_id long, n long, s long, looked_at array<long>", *(f"{c} long" for c in kept)]), ["doc_id", "n", "s", "looked_at", *kept])
+    return _batches(docs, make, ", ".join(["doc_id long, n long, s long, s2 long, looked_at array<long>", *(f"{c} long" for c in kept)]), ["doc_id", "n", "s", "s2", "looked_at", *kept])
 
 
-def _tokens(docs: DataFrame, k: int) -> DataFrame:
+def clashes(members: DataFrame) -> frozenset[int]:
+    """First keys that different sets have in common: of n sets about n * n / 2^65, so three of ten thousand million."""
+    both = members.filter("n > 0").groupBy("s").agg(F.min("s2").alias("lo"), F.max("s2").alias("hi")).filter("lo != hi")
+    return frozenset(r["s"] for r in both.select("s").collect())
+
+
+def _tokens(docs: DataFrame, k: int, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """(s, token) of distinct sets. Sets repeat in different tasks only."""
 
     def make(part, seen):
@@ -169,7 +181,7 @@ def _tokens(docs: DataFrame, k: int) -> DataFrame:
         for tokens in shingle_sets(part.column("text").to_pylist(), k):
             if len(tokens) and (key := set_key(tokens)) not in seen:
                 seen.add(key)
-                keys.append(key)
+                keys.append(key[1] if key[0] in clashing else key[0])
                 parts.append(tokens)
         if keys:
             each = [len(p) for p in parts]
@@ -199,7 +211,7 @@ def _up_to(top: int) -> Column:
     return F.size(F.filter("x", lambda t: t["df"] <= top))
 
 
-def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: int = WORDS, percent: int = PERCENT, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """(s, n, own, central, tokens array<long>, ends array<int>): tokens of two sets or more, rarest first.
 
     ``own`` counts the tokens of this set alone, which come first in the global order;
@@ -210,7 +222,7 @@ def ordered_sets(docs: DataFrame, members: DataFrame, survivors: DataFrame, k: i
     if small_enough(wanted, 16):
         wanted = F.broadcast(wanted)
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    every = _tokens(rows, k)
+    every = _tokens(rows, k, clashing)
     common = every.join(every.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"), "token")
     sets = common.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("x")).join(_sizes(members), "s")
     sets = sets.filter(F.size("x") >= F.ceil(F.col("n") * percent / 100).cast("int"))
@@ -304,9 +316,13 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
 def _grouped(rows: DataFrame, k: int, percent: int, extra: float) -> tuple[DataFrame, DataFrame]:
     """Size and set of every row, and (s, root) of the sets that link with others."""
     members = cut(memberships(rows, k, percent, extra))
+    clashing = clashes(members)
+    if clashing:
+        members = members.withColumn("s", F.when(F.col("s").isin(*clashing), F.col("s2")).otherwise(F.col("s")))
+    members = members.drop("s2")
     survivors = cut(surviving_sets(members, percent, extra))
     members = cut(members.drop("looked_at"))  # the tokens' checkpoint is not referenced any more and can be cleaned
-    sets = cut(ordered_sets(rows, members, survivors, k, percent))
+    sets = cut(ordered_sets(rows, members, survivors, k, percent, clashing))
     return members, components(links(sets, percent))
 
 
@@ -335,17 +351,18 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each by its own text; where ids are equal the text of the smallest hash stays. Of rows
     that repeat an id with one text, one stays; other documents without words all stay.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     members, roots = _grouped(rows, WORDS, PERCENT, EXTRA)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     found = _with_least(members, roots, first, salts)
     other = ~(F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.hash")))
-    gone = cut(found.filter(F.col("least").isNotNull() & other).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
-    twice = members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_hash").alias("twice_hash"))
+    own_id, own_hash, text = (unused(n, docs.columns) for n in ("own_id", "own_hash", "text_hash"))
+    key = [F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)]
+    gone = cut(found.filter(F.col("least").isNotNull() & other).select(*key).distinct())
+    twice = members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select(*key)
     gone, twice = (F.broadcast(x) if small_enough(x, 24) else x for x in (gone, twice))
-    named = docs.withColumn("__text", text_hash)
-    kept = named.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("__text") == F.col("gone_hash")), "left_anti")
-    repeats = F.col(id_col).eqNullSafe(F.col("twice_id")) & (F.col("__text") == F.col("twice_hash"))
-    once, several = kept.join(twice, repeats, "left_anti"), kept.join(twice, repeats, "left_semi")
-    return once.unionByName(several.dropDuplicates([id_col, "__text"])).drop("__text")
+    named = docs.withColumn(text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(text) == F.col(own_hash))
+    kept = named.join(gone, same, "left_anti")
+    once, several = kept.join(twice, same, "left_anti"), kept.join(twice, same, "left_semi")
+    return once.unionByName(several.dropDuplicates([id_col, text])).drop(text)
