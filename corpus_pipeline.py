@@ -3,16 +3,22 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``. ``run`` writes each stage's result as Parquet below the
 folder that the cluster names in ``spark.checkpoint.dir`` and reads it as the next input.
+
+Defined results, at every stage: further columns of ``documents`` are left out, whatever
+their names; an empty table gives an empty one; null texts count as empty and stay null
+until they are packed; null ids take part and are kept; a very long text is one text like
+any other. Rows that repeat a document fare alike, until the shingle join leaves one of
+them. Without labels every document is as good as any other: none is rejected.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm._common import shared_folder
 from tracewright.llm.best_fit_packing import pack_documents
 from tracewright.llm.line_dedup import dedup_lines
 from tracewright.llm.ngram_jaccard_join import one_of_each_group
@@ -26,6 +32,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model.constant is not None:  # one class is missing: nothing can be told apart
+        return docs.select(*COLUMNS)
     return score_quality(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
 
 
@@ -60,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents that the stages keep."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '-')}"
