@@ -14,8 +14,11 @@ NON_BUILDING_KINDS = ("stack", "import", "filter", "junction", "compose", "link"
 RESOURCE_NAMES = {"CPU": "PROCESS", "FETCH": "DOWNLOAD", "PUSH": "UPLOAD"}
 RESOURCES = ("PROCESS", "DOWNLOAD", "UPLOAD", "CACHE", "OTHER")
 #: What identifies the content of a source.
-URL_SCHEMES = ("http", "https", "git", "ssh", "git+ssh", "ftp", "ftps", "rsync")
-SHELLS = ("sh", "bash", "dash")
+URL_SCHEMES = ("https", "http", "ssh", "git", "git+ssh", "git+https", "git+http")
+KEYED_BY_REF = ("git", "bzr", "tar", "zip", "remote", "deb", "pip", "git_repo", "git_tag", "git_module", "cargo", "docker")
+KEYED_BY_CONTENT = ("local", "patch", "workspace")
+#: Shells of a command block.
+SHELLS = ("sh", "bash", "dash", "ash")
 
 
 def mapped(column: Column, values: dict[str, str], default: Column | str | None = None) -> Column:
@@ -54,46 +57,59 @@ def is_building(kind: Column) -> Column:
 
 
 def normalise_url(url: Column) -> Column:
-    """Identity of a repository address: no scheme, user, trailing slash or ``.git``; host in lower case."""
+    """Identity of a repository address: no scheme, user, trailing slashes or ``.git``; host in lower case.
+
+    Addresses of schemes that are not known stay as they are.
+    """
     trimmed = F.trim(url)
-    scheme = F.lower(F.regexp_extract(trimmed, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    rest = F.regexp_replace(trimmed, r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    given = F.instr(trimmed, "://") > 0
+    known = F.lower(F.substring_index(trimmed, "://", 1)).isin(*URL_SCHEMES)
+    rest = F.when(given, F.substring(trimmed, F.instr(trimmed, "://") + 3, F.length(trimmed))).otherwise(trimmed)
     bare = F.regexp_replace(rest, r"^[^/@]*@", "")
-    scp = (scheme == "") & trimmed.rlike(r"^[^/]*@?[^/:]+:(?![0-9]+(/|$))[^/]")
-    bare = F.when(scp, F.regexp_replace(bare, r"^([^/:]+):", "$1/")).otherwise(bare)
-    host = F.lower(F.substring_index(bare, "/", 1))
-    path = F.when(F.instr(bare, "/") > 0, F.regexp_replace(bare, r"^[^/]*", "")).otherwise("")
-    tidy = F.regexp_replace(F.regexp_replace(F.concat(host, path), r"/+$", ""), r"\.git$", "")
-    return F.when((scheme != "") & ~scheme.isin(*URL_SCHEMES), trimmed).otherwise(tidy)
+    colon = ~given & bare.contains(":") & ~F.regexp_extract(bare, r"^[^:]*:([^/]*)", 1).rlike(r"^[0-9]+$")
+    path = F.when(colon, F.regexp_replace(bare, r"^([^:]*):", "$1/")).otherwise(bare)
+    host = F.lower(F.substring_index(path, "/", 1))
+    below = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"^[^/]*", "")).otherwise("")
+    tidy = F.regexp_replace(F.regexp_replace(F.concat(host, below), r"/+$", ""), r"\.git$", "")
+    return F.when(given & ~known, trimmed).otherwise(tidy)
 
 
 def keying_of(kind: Column) -> Column:
-    """Whether a source is keyed by a reference or by its content."""
-    return F.when(kind.isin("git", "git_tag", "git_repo", "git_module", "tar", "zip", "remote", "deb", "ostree", "pip", "cargo", "bzr", "docker"), "ref").when(kind.isin("local", "patch", "patch_queue", "workspace"), "content").otherwise("unknown")
+    """Whether a source is keyed by a reference or by its content; other kinds are not guessed at."""
+    return F.when(kind.isin(*KEYED_BY_REF), "ref").when(kind.isin(*KEYED_BY_CONTENT), "content").otherwise("unknown")
 
 
 def unkeyable_path(path: Column) -> Column:
     """Absolute, or leaving the project by ``..``."""
-    return path.rlike(r"^/") | path.rlike(r"^(\./)*\.\.(/|$)")
+    step = lambda p: F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
+    walk = F.aggregate(F.split(path, "/"), start, lambda at, p: F.struct((at["depth"] + step(p)).alias("depth"), F.least(at["low"], at["depth"] + step(p)).alias("low")))
+    return path.startswith("/") | (walk["low"] < 0)
 
 
 #: Fixed patterns: what differs between runs of one command, and the sign put in its place.
-SIGNATURE_PATTERNS = ((r"/tmp/[^\s]+", "<tmp>"), (r"\b[0-9a-f]{8,}\b", "<hex>"), (r"\bpid[=:]?\d+\b", "<pid>"), (r"\b\d+\b", "<n>"))
+SIGNATURE_PATTERNS = (
+    (r"/buildstream/[^/\s]+/[^/\s]+\.bst/", "<element-root>/"),
+    (r"/tmp/cc[A-Za-z0-9]+\.\w+", "/tmp/<tmp>"),
+    (r"cmTC_[0-9a-fA-F]+", "cmTC_<id>"),
+    (r"TryCompile-[A-Za-z0-9]+", "TryCompile-<id>"),
+)
 
 
 def command_signature(cmd: Column) -> Column:
     for pattern, sign in SIGNATURE_PATTERNS:
         cmd = F.regexp_replace(cmd, pattern, sign)
-    return F.trim(F.regexp_replace(cmd, r"\s+", " "))
+    return cmd
 
 
 def binary_name(cmd: Column) -> Column:
-    return F.element_at(F.split(F.substring_index(F.trim(cmd), " ", 1), "/"), -1)
+    name = F.element_at(F.split(F.substring_index(cmd, " ", 1), "/"), -1)
+    return F.when(F.substring_index(cmd, " ", 1) == "", "(unknown)").otherwise(name)
 
 
-#: Programs that do the work of a build, and those that only organise it.
-WORK = ("cc", "c++", "gcc", "g++", "cc1", "cc1plus", "clang", "clang++", "ld", "as", "ar", "collect2", "rustc", "javac", "go", "tar", "gzip", "xz", "strip", "install", "cp")
-ORCHESTRATION = ("sh", "bash", "dash", "make", "gmake", "ninja", "cmake", "meson", "env", "python3", "perl", "xargs", "sudo")
+#: Programs that do the work of a build, and those that only organise it (compiler drivers among them).
+WORK = ("cc1", "cc1plus", "cc1obj", "cc1objplus", "clang", "clang++", "clang-cpp", "as", "ld", "ld.bfd", "ld.gold", "ld.lld", "collect2", "lto1", "ar", "ranlib", "strip", "objcopy", "rustc", "go", "javac")
+ORCHESTRATION = ("sh", "bash", "dash", "env", "make", "gmake", "ninja", "cmake", "meson", "python", "python3", "uname", "sed", "grep", "cat", "sort", "gcc", "g++", "cc", "c++", "clang-wrapper")
 
 
 def binary_class(binary: Column) -> Column:

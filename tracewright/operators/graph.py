@@ -26,6 +26,8 @@ def shared_cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="tracewright-")
@@ -98,6 +100,16 @@ def reach(starts: DataFrame, edges: DataFrame, upward: bool = False) -> DataFram
         seen = frontier if seen is None else shared_cut(seen.unionByName(frontier))
 
 
+def rebuild_set(cuts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid): the cuts and all that build edges lead to from them; a cut that is no node is an error."""
+    wanted = shared_cut(cuts.select("uid").distinct())
+    unknown = [r["uid"] for r in wanted.join(nodes.select("uid"), "uid", "left_anti").limit(5).collect()]
+    if unknown:
+        raise ValueError(f"not in the graph: {', '.join(map(str, unknown))}")
+    below = reach(wanted, edges.filter("dependency_type <> 'runtime'"))
+    return wanted.unionByName(below.select("uid")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(uid, component): smallest uid that is connected, by label propagation with pointer jumping."""
     both = shared_cut(edges.select(F.col("predecessor").alias("a"), F.col("successor").alias("b")).unionAll(edges.select("successor", "predecessor")).distinct())
@@ -114,10 +126,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def tree_depths(spark: SparkSession, parents: DataFrame) -> DataFrame:
     """(uid, depth) in a forest given by (uid, parent), roots without a parent; a recursive query."""
-    parents.createOrReplaceTempView("tracewright_parents")
     return spark.sql("""WITH RECURSIVE t(uid, depth) AS (
-        SELECT uid, 0 FROM tracewright_parents WHERE parent IS NULL
-        UNION ALL SELECT p.uid, t.depth + 1 FROM tracewright_parents p JOIN t ON p.parent = t.uid) SELECT * FROM t LIMIT ALL""")
+        SELECT uid, 0 FROM {parents} WHERE parent IS NULL
+        UNION ALL SELECT p.uid, t.depth + 1 FROM {parents} p JOIN t ON p.parent = t.uid) SELECT * FROM t LIMIT ALL""", parents=parents)
 
 
 # --- per-run graphs ------------------------------------------------------------------

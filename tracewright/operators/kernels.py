@@ -1,12 +1,13 @@
-"""Steps that are sequential by definition, as grouped maps in parallel over runs and scenarios.
+"""What a run could have taken: makespan bounds by capacity, and criticality by sampling.
 
-List-scheduling replay under capacities, the walk along the blame chain, Monte-Carlo
-criticality, and calibration of durations under contention.
+No schedule is played through. Under any list schedule a run takes at least its longest
+path and at least the work of each resource divided by its capacity, and at most their sum
+(the last task of the path never waits while a slot is free): both bounds come from plain
+aggregates, at any size.
 """
 
 from __future__ import annotations
 
-import heapq
 import random
 from collections import defaultdict
 
@@ -14,132 +15,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.graph import Dag
-
-RULES = ("lpt", "spt", "fifo", "depth")
-
-
-def schedule(tasks: dict[str, int], before: dict[str, list[str]], needs: dict[str, list[str]], capacity: dict[str, int], rule: str = "lpt") -> dict[str, tuple[int, int]]:
-    """(start, finish) of each task: the ready task of best priority starts while it fits, else time moves on."""
-    after, open_ = defaultdict(list), {}
-    for t in tasks:
-        own = [p for p in before.get(t, []) if p in tasks]
-        open_[t] = len(own)
-        for p in own:
-            after[p].append(t)
-    rest: dict[str, int] = {}
-    if rule == "depth":
-        for t in reversed(Dag(list(tasks), [(p, s) for p, ss in after.items() for s in ss]).order):
-            rest[t] = max((rest[s] + 1 for s in after[t]), default=0)
-    rank = {"spt": lambda t: tasks[t], "fifo": lambda t: 0, "depth": lambda t: -rest[t]}.get(rule, lambda t: -tasks[t])
-    ready = [(rank(t), t) for t in tasks if not open_[t]]
-    heapq.heapify(ready)
-    running: list[tuple[int, str]] = []
-    used, out, now = defaultdict(int), {}, 0
-    while ready or running:
-        while ready and all(used[r] < capacity.get(r, 1) for r in needs.get(ready[0][1]) or ["PROCESS"]):
-            t = heapq.heappop(ready)[1]
-            for r in needs.get(t) or ["PROCESS"]:
-                used[r] += 1
-            out[t] = (now, now + tasks[t])
-            heapq.heappush(running, (now + tasks[t], t))
-        if not running:
-            break  # what is left can never start
-        now, t = heapq.heappop(running)
-        for r in needs.get(t) or ["PROCESS"]:
-            used[r] -= 1
-        for s in after[t]:
-            open_[s] -= 1
-            if not open_[s]:
-                heapq.heappush(ready, (rank(s), s))
-    return out
-
-
-def _own(deps: DataFrame) -> DataFrame:
-    """Dependencies under names of their own; they often come from the very frame of the tasks."""
-    return deps.select(F.col("run_id").alias("d_run"), F.col("task_key").alias("d_task"), F.col("pred_key").alias("d_pred"))
-
-
-def replay(tasks: DataFrame, deps: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """(run_id, scenario, makespan_us, n_tasks): every run under every scenario.
-
-    tasks: (run_id, task_key, dur_us, resources); deps: (run_id, task_key, pred_key);
-    scenarios: (scenario, rule, capacity map<string,long>), few rows.
-    """
-    parts = tasks.join(F.broadcast(scenarios))  # a few scenarios: every run once for each
-
-    def one(key, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if t.empty:
-            return pd.DataFrame([], columns=["run_id", "scenario", "makespan_us", "n_tasks"])
-        before = defaultdict(list)
-        for x, p in zip(d["d_task"], d["d_pred"], strict=True):
-            before[x].append(p)
-        needs = {k: list(r) for k, r in zip(t["task_key"], t["resources"], strict=True)}
-        out = schedule(dict(zip(t["task_key"], t["dur_us"].tolist(), strict=True)), before, needs, dict(t["capacity"].iloc[0]), t["rule"].iloc[0])
-        return pd.DataFrame([(*key, max((f for _, f in out.values()), default=0), len(out))], columns=["run_id", "scenario", "makespan_us", "n_tasks"])
-
-    left = parts.select("run_id", "scenario", "task_key", "dur_us", "resources", "rule", "capacity").groupBy("run_id", "scenario")
-    right = _own(deps).join(F.broadcast(scenarios.select(F.col("scenario").alias("d_scenario")))).groupBy("d_run", "d_scenario")
-    return left.cogroup(right).applyInPandas(one, "run_id long, scenario long, makespan_us long, n_tasks long")
-
-
-def capacity_sweep(tasks: DataFrame, deps: DataFrame, resource: str, lowest: int, highest: int, rule: str = "lpt", others: dict[str, int] | None = None, knee: float = 0.05) -> DataFrame:
-    """Makespan at each capacity, the improvement on the one before, and which is the knee."""
-    fixed = [x for k, v in (others or {}).items() for x in (F.lit(k), F.lit(v).cast("long"))]
-    n = tasks.sparkSession.range(lowest, highest + 1).select(F.col("id").alias("scenario"), F.lit(rule).alias("rule"), F.create_map(F.lit(resource), F.col("id"), *fixed).alias("capacity"))
-    w = Window.partitionBy("run_id").orderBy("scenario")
-    swept = replay(tasks, deps, n).withColumn("before_us", F.lag("makespan_us").over(w))
-    gained = swept.withColumn("improvement", F.when(F.col("before_us") > 0, (F.col("before_us") - F.col("makespan_us")) / F.col("before_us")))
-    last = F.max(F.when(F.col("improvement") >= knee, F.col("scenario"))).over(Window.partitionBy("run_id"))
-    return gained.withColumn("is_knee", F.col("scenario") == F.coalesce(last, F.lit(lowest))).select("run_id", F.col("scenario").alias("capacity"), "makespan_us", "improvement", "is_knee")
-
-
-def interpolated(points: list[tuple[int, int]], capacity: int) -> tuple[int, bool]:
-    """Duration at a capacity from measured (capacity, duration) means; flagged where it is outside of them."""
-    points = sorted(points)
-    if capacity <= points[0][0] or capacity >= points[-1][0]:
-        end = points[0] if capacity <= points[0][0] else points[-1]
-        return end[1], capacity != end[0]
-    (x0, y0), (x1, y1) = next((a, b) for a, b in zip(points, points[1:], strict=False) if a[0] <= capacity <= b[0])
-    return round(y0 + (y1 - y0) * (capacity - x0) / (x1 - x0)), False
-
-
-def blame_chains(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """(run_id, category, dur_us): where the time of each run went, summing up to its horizon.
-
-    Walks back from the task that finishes last: its own time, its wait after it was
-    ready, then the predecessor that finished last (larger depth, then smaller key).
-    """
+from tracewright.operators.graph import Dag, over_runs
+
+
+def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, path_us): longest path of each run."""
+    return over_runs(nodes, edges, lambda dag, given: [(dag.length(given["dur_us"]),)], "path_us long")
+
 
-    def one(key, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if t.empty:
-            return pd.DataFrame([], columns=["run_id", "category", "dur_us"])
-        start, finish = (dict(zip(t["task_key"], t[c].tolist(), strict=True)) for c in ("start_us", "finish_us"))
-        before = defaultdict(list)
-        for x, p in zip(d["d_task"], d["d_pred"], strict=True):
-            if p in start and x in start and finish[p] <= start[x]:
-                before[x].append(p)
-        low, at = min(start.values()), max(finish.values())
-        spent, cursor = defaultdict(int), at
-        node = min((k for k in finish if finish[k] == at), default=None)
-        while node is not None and cursor > low:
-            spent["IDLE"] += max(0, cursor - finish[node])
-            cursor = min(cursor, finish[node])
-            spent["EXECUTION_ON_CHAIN"] += max(0, cursor - start[node])
-            cursor = min(cursor, start[node])
-            blamed = min(before[node], key=lambda p: (-finish[p], p), default=None)
-            if blamed is None:  # nothing to blame: whatever finished last before
-                earlier = [k for k in finish if finish[k] <= cursor and k != node and start[k] < cursor]
-                blamed = min(earlier, key=lambda k: (-finish[k], k), default=None)
-            elif finish[blamed] < cursor:
-                spent["DEPENDENCY_WAIT"] += cursor - finish[blamed]
-                cursor = finish[blamed]
-            node = blamed
-        spent["IDLE"] += max(0, cursor - low)
-        return pd.DataFrame([(key[0], c, v) for c, v in sorted(spent.items())], columns=["run_id", "category", "dur_us"])
-
-    left = tasks.select("run_id", "task_key", "start_us", "finish_us").groupBy("run_id")
-    return left.cogroup(_own(deps).groupBy("d_run")).applyInPandas(one, "run_id long, category string, dur_us long")
+def resource_work(tasks: DataFrame) -> DataFrame:
+    """(run_id, resource, work_us)."""
+    return tasks.select("run_id", "dur_us", F.explode("resources").alias("resource")).groupBy("run_id", "resource").agg(F.sum("dur_us").alias("work_us"))
+
+
+def makespan_bounds(paths: DataFrame, work: DataFrame, capacities: dict[str, int]) -> DataFrame:
+    """(run_id, lower_us, upper_us, bound_by): bounds on the makespan, and what sets the lower one.
+
+    Resources without a declared capacity bound nothing; ``bound_by`` is null where no
+    resource takes longer than the path.
+    """
+    limits = work.sparkSession.createDataFrame(list(capacities.items()), "resource string, capacity long")
+    each = work.join(F.broadcast(limits), "resource").withColumn("need_us", F.ceil(F.col("work_us") / F.col("capacity")))
+    per = each.groupBy("run_id").agg(F.max("need_us").alias("need_us"), F.min_by("resource", F.struct(-F.col("need_us"), "resource")).alias("tightest"), F.sum("need_us").alias("sum_us"))
+    out = paths.join(per, "run_id", "left")
+    need = F.coalesce("need_us", F.lit(0))
+    return out.select("run_id", F.greatest("path_us", need).alias("lower_us"), (F.col("path_us") + F.coalesce("sum_us", F.lit(0))).alias("upper_us"), F.when(need > F.col("path_us"), F.col("tightest")).alias("bound_by"))
+
+
+def capacity_sweep(paths: DataFrame, work: DataFrame, resource: str, lowest: int, highest: int, knee: float = 0.05) -> DataFrame:
+    """(run_id, capacity, lower_us, improvement, is_knee): lower bound at each capacity of one resource; the knee is the last one that still gains."""
+    own = paths.join(work.filter(F.col("resource") == resource).select("run_id", "work_us"), "run_id", "left")
+    steps = own.select("*", F.explode(F.sequence(F.lit(lowest).cast("long"), F.lit(highest).cast("long"))).alias("capacity"))
+    lower = F.greatest("path_us", F.ceil(F.coalesce("work_us", F.lit(0)) / F.col("capacity")))
+    w = Window.partitionBy("run_id").orderBy("capacity")
+    swept = steps.select("run_id", "capacity", lower.alias("lower_us")).withColumn("before_us", F.lag("lower_us").over(w))
+    gained = swept.withColumn("improvement", F.when(F.col("before_us") > 0, (F.col("before_us") - F.col("lower_us")) / F.col("before_us")))
+    last = F.max(F.when(F.col("improvement") >= knee, F.col("capacity"))).over(Window.partitionBy("run_id"))
+    return gained.withColumn("is_knee", F.col("capacity") == F.coalesce(last, F.lit(lowest))).select("run_id", "capacity", "lower_us", "improvement", "is_knee")
 
 
 def criticality(nodes: DataFrame, edges: DataFrame, samples: int = 200, spread: float = 0.1, seed: int = 42) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators import blame as B
 from tracewright.operators import graph as G
 from tracewright.operators import kernels as K
 from tracewright.operators import prep as P
+from tracewright.plans.tasks import _TASKS
 from tracewright.sources import tables as T
 from tracewright.sources.tables import with_frames as frames
 
@@ -24,7 +26,8 @@ def query(sql: str | None = None):
     return add
 
 
-RUN = frames("run_elements", "run_edges")
+RUN = frames("spans", "run_elements", "run_edges")
+TASKS = frames("spans", "run_edges") + _TASKS
 SUPPLY = frames("supply_nodes", "supply_edges")
 _CLOSURE = """, reach AS (SELECT run_id, predecessor AS ancestor, successor AS uid FROM run_edges
     UNION SELECT r.run_id, r.ancestor, e.successor FROM reach r JOIN run_edges e ON e.run_id = r.run_id AND e.predecessor = r.uid)"""
@@ -74,11 +77,11 @@ def g_supply_blast(spark: SparkSession, d: str) -> DataFrame:
     return G.reach(starts, T.supply_edges(spark, d)).groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query(SUPPLY + """, po AS (SELECT DISTINCT successor AS o FROM supply_edges WHERE predecessor = 'p1'), oc AS (SELECT DISTINCT successor AS c FROM po JOIN supply_edges ON predecessor = o)
-    SELECT 'p1' AS origin, o AS uid FROM po UNION ALL SELECT 'p1', c FROM oc""")
+@query(SUPPLY + """, b AS (SELECT * FROM supply_edges WHERE dependency_type = 'build'), po AS (SELECT DISTINCT successor AS o FROM b WHERE predecessor = 'p1'), oc AS (SELECT DISTINCT successor AS c FROM po JOIN b ON predecessor = o)
+    SELECT 'p1' AS uid UNION ALL SELECT o FROM po UNION ALL SELECT c FROM oc""")
 def g_rebuild_set(spark: SparkSession, d: str) -> DataFrame:
     """What a change of one part rebuilds."""
-    return G.reach(spark.range(1).select(F.lit("p1").alias("uid")), T.supply_edges(spark, d))
+    return G.rebuild_set(spark.range(1).select(F.lit("p1").alias("uid")), T.supply_nodes(spark, d), T.supply_edges(spark, d))
 
 
 @query(SUPPLY + """, po AS (SELECT DISTINCT predecessor AS p FROM supply_edges WHERE predecessor LIKE 'p%'), sp AS (SELECT DISTINCT predecessor AS s FROM supply_edges WHERE predecessor LIKE 's%'),
@@ -249,31 +252,94 @@ def g_deferrable_leaves(spark: SparkSession, d: str) -> DataFrame:
     return leaves.select("run_id", "uid", F.when(F.col("dur_us") < 1_000_000, "medium").otherwise("high").alias("risk"))
 
 
-def _work(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tasks = P.quantised(T.spans(spark, d))
-    return tasks, P.task_dependencies(tasks, T.run_edges(spark, d))
+_CAPACITY = {"PROCESS": 4, "DOWNLOAD": 2, "OTHER": 2}
+_BOUNDS = _LONGEST + """, wk AS (SELECT run_id, resource, sum({0}) AS work FROM spans GROUP BY 1, 2), nd AS (SELECT run_id, resource, ceil(work / CASE resource WHEN 'PROCESS' THEN 4 ELSE 2 END) AS need FROM wk),
+    pr AS (SELECT run_id, max(need) AS need, arg_min(resource, (-need, resource)) AS tightest, sum(need) AS every FROM nd GROUP BY 1)"""
 
 
-@query()
-def k_replay(spark: SparkSession, d: str) -> DataFrame:
-    tasks, deps = _work(spark, d)
-    cap = F.create_map(F.lit("PROCESS"), F.lit(4).cast("long"), F.lit("DOWNLOAD"), F.lit(2).cast("long"), F.lit("OTHER"), F.lit(2).cast("long"))
-    rules = spark.range(len(K.RULES)).select(F.col("id").alias("scenario"), F.element_at(F.array(*[F.lit(r) for r in K.RULES]), (F.col("id") + 1).cast("int")).alias("rule"), cap.alias("capacity"))
-    return K.replay(tasks, deps, rules)
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return K.path_lengths(*_run(spark, d))
 
 
-@query()
+@query(_BOUNDS.format("dur_us") + """ SELECT run_id, CAST(greatest(total, need) AS BIGINT) AS lower_us, CAST(total + every AS BIGINT) AS upper_us, CASE WHEN need > total THEN tightest END AS bound_by FROM tot JOIN pr USING (run_id)""")
+def k_makespan_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return K.makespan_bounds(_paths(spark, d), K.resource_work(T.spans(spark, d)), _CAPACITY)
+
+
+@query(_BOUNDS.format("dur_us") + """, s AS (SELECT run_id, c AS capacity, CAST(greatest(total, ceil(work / c)) AS BIGINT) AS lower_us FROM tot JOIN wk USING (run_id), range(1, 9) r(c) WHERE resource = 'PROCESS'),
+    g AS (SELECT *, lag(lower_us) OVER w AS b FROM s WINDOW w AS (PARTITION BY run_id ORDER BY capacity)), i AS (SELECT *, (b - lower_us) / b AS improvement FROM g)
+    SELECT run_id, capacity, lower_us, round(improvement, 9) AS improvement, capacity = coalesce(max(capacity) FILTER (improvement >= 0.05) OVER (PARTITION BY run_id), 1) AS is_knee FROM i""")
 def k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return K.capacity_sweep(*_work(spark, d), "PROCESS", 1, 8, others={"DOWNLOAD": 2, "OTHER": 2})
+    return K.capacity_sweep(_paths(spark, d), K.resource_work(T.spans(spark, d)), "PROCESS", 1, 8).withColumn("improvement", F.round("improvement", 9))
 
 
-@query()
+@query(_LONGEST + " SELECT tot.run_id, total AS as_is_us, x.longest AS without_us FROM tot JOIN (SELECT run_id, max(dur_us) AS longest FROM run_elements GROUP BY 1) x ON x.run_id = tot.run_id")
+def k_without_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Longest path of each run as it is, and when no element waits for another one."""
+    nodes, edges = _run(spark, d)
+    without = K.path_lengths(nodes, edges.filter(F.lit(False)))
+    return K.path_lengths(nodes, edges).withColumnRenamed("path_us", "as_is_us").join(without.withColumnRenamed("path_us", "without_us"), "run_id")
+
+
+@query(RUN + """, hf AS (SELECT run_id, uid, dur_us // 2 AS d FROM run_elements), wh AS (SELECT run_id, uid, 0 AS hops, d AS f FROM hf
+        UNION SELECT w.run_id, e.successor, w.hops + 1, w.f + n.d FROM wh w JOIN run_edges e ON e.run_id = w.run_id AND e.predecessor = w.uid JOIN hf n ON n.run_id = e.run_id AND n.uid = e.successor)
+    SELECT run_id, max(f) AS path_us FROM wh GROUP BY 1""")
+def k_reduced_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Longest path of each run with all elements at half their time."""
+    nodes, edges = _run(spark, d)
+    return K.path_lengths(nodes.withColumn("dur_us", F.expr("dur_us div 2")), edges)
+
+
+_CHAIN = TASKS + """, ex AS (SELECT run_id, task_key, pred_key, 'dep' AS bywhat FROM (SELECT b.run_id, b.task_key, f.task_key AS pred_key FROM tasks b JOIN tasks f USING (run_id, element_uid) WHERE b.task_kind = 'BUILD' AND f.task_kind = 'FETCH'
+        UNION ALL SELECT b.run_id, b.task_key, d.build_key FROM tasks b JOIN run_edges e ON e.run_id = b.run_id AND e.successor = b.element_uid JOIN done d ON d.run_id = e.run_id AND d.uid = e.predecessor WHERE b.task_kind = 'BUILD' AND e.dependency_type <> 'runtime')
+    UNION ALL SELECT a.run_id, a.task_key, arg_max(b.task_key, (CASE b.task_kind WHEN 'TRACK' THEN 0 WHEN 'BUILD' THEN 2 ELSE 1 END, b.finish_us, b.task_key)), 'intra' FROM tasks a JOIN tasks b ON a.run_id = b.run_id AND a.element_uid = b.element_uid AND a.attempt = b.attempt
+        AND CASE b.task_kind WHEN 'TRACK' THEN 0 WHEN 'PULL' THEN 1 WHEN 'FETCH' THEN 1 WHEN 'BUILD' THEN 2 END < CASE a.task_kind WHEN 'TRACK' THEN 0 WHEN 'PULL' THEN 1 WHEN 'FETCH' THEN 1 WHEN 'BUILD' THEN 2 END GROUP BY 1, 2
+    UNION ALL SELECT run_id, task_key, p, 'retry' FROM (SELECT run_id, task_key, lag(task_key) OVER (PARTITION BY run_id, element_uid, task_kind ORDER BY attempt) AS p FROM tasks) WHERE p IS NOT NULL),
+    mt AS (SELECT x.run_id, x.task_key, x.pred_key, x.bywhat, p.finish_us AS pf, t.start_us FROM ex x JOIN tasks p ON p.run_id = x.run_id AND p.task_key = x.pred_key JOIN tasks t ON t.run_id = x.run_id AND t.task_key = x.task_key),
+    pe AS (SELECT run_id, task_key, arg_min(pred_key, (-pf, pred_key)) FILTER (pf <= start_us) AS pred_key, max(pf) FILTER (pf <= start_us) AS last_us, max(pf) FILTER (bywhat = 'intra') AS intra_us, max(pf) FILTER (bywhat = 'retry') AS retry_us FROM mt GROUP BY 1, 2),
+    pt AS (SELECT t.run_id, t.task_key, t.start_us, t.finish_us, t.resource, pe.pred_key, retry_us IS NOT NULL AS is_retry, last_us, retry_us, greatest(ready_us, coalesce(intra_us, ready_us)) AS ready FROM ready_tasks t LEFT JOIN pe USING (run_id, task_key)),
+    bl AS (SELECT *, greatest(CASE WHEN retry_us IS NULL THEN ready WHEN ready < start_us THEN greatest(ready, retry_us) ELSE retry_us END, coalesce(last_us, -9e18::BIGINT)) AS gap_us FROM pt),
+    ch AS (SELECT run_id, arg_min(task_key, (-finish_us, task_key)) AS task_key FROM tasks GROUP BY 1 UNION SELECT c.run_id, b.pred_key FROM ch c JOIN bl b ON b.run_id = c.run_id AND b.task_key = c.task_key WHERE b.pred_key IS NOT NULL),
+    oc AS (SELECT b.* FROM ch JOIN bl b ON b.run_id = ch.run_id AND b.task_key = ch.task_key),
+    gp AS (SELECT run_id, task_key, gap_us AS g0, start_us AS g1, resource, is_retry, CASE resource WHEN 'PROCESS' THEN {0} WHEN 'DOWNLOAD' THEN {1} END AS cap FROM oc WHERE gap_us < start_us),
+    -- every stretch between two changes of anything in a wait, with its holders and all that runs
+    pn AS (SELECT run_id, task_key, g0 AS t FROM gp UNION SELECT run_id, task_key, g1 FROM gp UNION SELECT g.run_id, g.task_key, u.t FROM gp g JOIN (SELECT run_id, start_us AS t FROM tasks UNION SELECT run_id, finish_us FROM tasks) u ON u.run_id = g.run_id AND u.t > g.g0 AND u.t < g.g1),
+    sg AS (SELECT run_id, task_key, t AS a, lead(t) OVER (PARTITION BY run_id, task_key ORDER BY t) AS z FROM pn),
+    ct AS (SELECT s.run_id, s.task_key, s.a, s.z, g.is_retry, count(o.task_key) AS running, coalesce(count(o.task_key) FILTER (o.resource = g.resource) >= g.cap, false) AS fullup
+           FROM sg s JOIN gp g ON g.run_id = s.run_id AND g.task_key = s.task_key LEFT JOIN tasks o ON o.run_id = s.run_id AND o.task_key <> s.task_key AND o.start_us <= s.a AND o.finish_us >= s.z AND o.finish_us > o.start_us WHERE s.z IS NOT NULL GROUP BY s.run_id, s.task_key, s.a, s.z, g.is_retry, g.cap),
+    sr AS (SELECT *, CASE WHEN fullup = lag(fullup) OVER w THEN 0 ELSE 1 END AS turn FROM ct WINDOW w AS (PARTITION BY run_id, task_key ORDER BY a)),
+    st AS (SELECT *, sum(turn) OVER (PARTITION BY run_id, task_key ORDER BY a) AS nth FROM sr),
+    ag AS (SELECT run_id, task_key, nth, any_value(is_retry) AS is_retry, any_value(fullup) AS fullup, sum(z - a) AS us, min(running) < {2} AS room FROM st GROUP BY 1, 2, 3),
+    nm AS (SELECT *, bool_or(NOT fullup AND NOT room) OVER (PARTITION BY run_id, task_key ORDER BY nth) AS lost FROM ag),
+    wt AS (SELECT run_id, task_key, CASE WHEN lost THEN CASE WHEN is_retry THEN 'RETRY_WAIT' ELSE 'DEPENDENCY_WAIT' END WHEN fullup THEN 'RESOURCE_WAIT' ELSE 'SCHEDULER_WAIT' END AS category, us FROM nm
+           UNION ALL SELECT run_id, task_key, 'EXECUTION_ON_CHAIN', finish_us - start_us FROM oc WHERE finish_us > start_us)"""
+
+
+def _blame(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tasks, edges = P.quantised(T.spans(spark, d)), T.run_edges(spark, d)
+    return P.ready_times(tasks, edges), P.task_dependencies(tasks, edges)
+
+
+@query(_CHAIN.format(2, 1, 3) + """, su AS (SELECT run_id, category, CAST(sum(us) AS BIGINT) AS dur_us FROM wt GROUP BY 1, 2), hz AS (SELECT run_id, max(finish_us) - min(start_us) AS h FROM tasks GROUP BY 1)
+    SELECT * FROM su UNION ALL SELECT hz.run_id, 'IDLE', CAST(h - s AS BIGINT) FROM hz JOIN (SELECT run_id, sum(dur_us) AS s FROM su GROUP BY 1) x ON x.run_id = hz.run_id WHERE h > s""")
 def k_blame(spark: SparkSession, d: str) -> DataFrame:
-    return K.blame_chains(*_work(spark, d))
+    """Where the time of each run went."""
+    return B.attribution(*_blame(spark, d), {"PROCESS": 2, "DOWNLOAD": 1}, 3)
+
+
+@query(_CHAIN.format(1, 1, 2) + " SELECT run_id, task_key, category, CAST(sum(us) AS BIGINT) AS dur_us FROM wt GROUP BY 1, 2, 3")
+def k_chain_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Execution and waits of each task on the chain of its run, with scarcer slots."""
+    return B.chain_waits(*_blame(spark, d), {"PROCESS": 1, "DOWNLOAD": 1}, 2)
+
+
+@query(TASKS + " SELECT run_id, max(finish_us) - min(start_us) AS horizon_us, max(finish_us) - min(start_us) AS attributed_us, 0::BIGINT AS gap_us FROM tasks GROUP BY 1")
+def k_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Categories of each run add up to its horizon."""
+    tasks, deps = _blame(spark, d)
+    return B.reconciliation(B.attribution(tasks, deps, {"PROCESS": 2, "DOWNLOAD": 1}, 3), tasks)
 
 
 @query()
 def k_montecarlo(spark: SparkSession, d: str) -> DataFrame:
     return K.criticality(*_run(spark, d))
-
-

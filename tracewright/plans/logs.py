@@ -95,12 +95,12 @@ def p2_rss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PROCS + """, g AS (SELECT element, binary_name AS "binary", count(*) AS n, coalesce(CAST(sum(cpu_us) AS BIGINT), 0) AS cpu_us FROM procs GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY element ORDER BY cpu_us DESC, "binary") AS nth FROM g)
-    SELECT element, "binary" AS binary_name, n, cpu_us, CASE WHEN "binary" IN ('cc', 'ld') THEN 'work' ELSE 'orchestration' END AS class, nth::INT AS rank FROM r WHERE nth <= 3""")
+    SELECT element, "binary" AS binary_name, n, cpu_us, CASE WHEN "binary" = 'ld' THEN 'work' ELSE 'orchestration' END AS class, nth::INT AS rank FROM r WHERE nth <= 3""")
 def p2_binary_topk(spark: SparkSession, d: str) -> DataFrame:
     return X.binary_costs(_procs(spark, d), 3).withColumnRenamed("binary", "binary_name")
 
 
-@query(PROCS + """, s AS (SELECT *, cmd AS signature, CASE WHEN closed THEN end_us - start_us ELSE 0 END AS wall FROM procs)
+@query(PROCS + """, s AS (SELECT *, regexp_replace(regexp_replace(cmd, '/buildstream/demo/e[0-9]+\\.bst/', '<element-root>/'), '/tmp/cc[0-9]+x\\.s', '/tmp/<tmp>') AS signature, CASE WHEN closed THEN end_us - start_us ELSE 0 END AS wall FROM procs)
     SELECT signature, count(DISTINCT element) AS n_elements, count(*) AS n, CAST(sum(wall) AS BIGINT) AS wall_us, arg_max(element, (wall, element)) AS worst_element FROM s GROUP BY 1 HAVING count(DISTINCT element) >= 2""")
 def p2_redundant(spark: SparkSession, d: str) -> DataFrame:
     return X.redundant_operations(_procs(spark, d))
@@ -220,7 +220,7 @@ def cmp_churn(spark: SparkSession, d: str) -> DataFrame:
     return C.cache_churn(_snapshot(spark, d, 1997), _snapshot(spark, d, 1998))
 
 
-_COLD = """, h AS (SELECT *, 'k' || (span_seq % 500) AS cache_key FROM spans WHERE run_id < 3), n AS (SELECT *, 'k' || (span_seq % 701) AS cache_key FROM spans WHERE run_id = 3),
+_COLD = """, h AS (SELECT *, 'k' || (span_seq % 500) AS cache_key FROM spans WHERE span_seq % 4 < 3), n AS (SELECT *, 'k' || (span_seq % 701) AS cache_key FROM spans WHERE span_seq % 4 = 3),
     a AS (SELECT cache_key, task_kind, CAST(floor(median(dur_us)) AS BIGINT) AS x FROM h GROUP BY 1, 2), b AS (SELECT element_uid, task_kind, CAST(floor(median(dur_us)) AS BIGINT) AS x FROM h GROUP BY 1, 2), c AS (SELECT task_kind, CAST(floor(median(dur_us)) AS BIGINT) AS x FROM h GROUP BY 1)"""
 
 
@@ -229,7 +229,7 @@ _COLD = """, h AS (SELECT *, 'k' || (span_seq % 500) AS cache_key FROM spans WHE
 def cmp_cold_tiers(spark: SparkSession, d: str) -> DataFrame:
     s = T.spans(spark, d)
     key = lambda m: F.concat(F.lit("k"), (F.col("span_seq") % m).cast("string"))
-    history, now = s.filter("run_id < 3").withColumn("cache_key", key(500)), s.filter("run_id = 3").withColumn("cache_key", key(701))
+    history, now = s.filter("span_seq % 4 < 3").withColumn("cache_key", key(500)), s.filter("span_seq % 4 = 3").withColumn("cache_key", key(701))
     return C.cold_durations(now, history).select("task_key", "cold_us", "tier")
 
 
@@ -239,7 +239,7 @@ def cmp_rebuild_semi(spark: SparkSession, d: str) -> DataFrame:
 
     s = T.spans(spark, d)
     key = lambda m: F.concat(F.lit("k"), (F.col("span_seq") % m).cast("string"))
-    return rebuilt(s.filter("run_id = 3").withColumn("cache_key", key(701)), s.filter("run_id < 3").withColumn("cache_key", key(500))).select("task_key", "cache_key")
+    return rebuilt(s.filter("span_seq % 4 = 3").withColumn("cache_key", key(701)), s.filter("span_seq % 4 < 3").withColumn("cache_key", key(500))).select("task_key", "cache_key")
 
 
 _MONTHLY = """WITH m AS (SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS mon, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM orders GROUP BY 1, 2),
@@ -261,11 +261,11 @@ def cmp_band_verdict(spark: SparkSession, d: str) -> DataFrame:
     return C.verdicts(pairs).select("series", "base_us", "candidate_us", "delta_us", "verdict")
 
 
-@query(frames("spans") + """, b AS (SELECT task_kind AS category, CAST(sum(dur_us) AS BIGINT) AS x FROM spans WHERE run_id = 0 GROUP BY 1), c AS (SELECT task_kind AS category, CAST(sum(dur_us) AS BIGINT) AS x FROM spans WHERE run_id = 1 GROUP BY 1)
+@query(frames("spans") + """, b AS (SELECT task_kind AS category, CAST(sum(dur_us) AS BIGINT) AS x FROM spans WHERE attempt % 2 = 0 GROUP BY 1), c AS (SELECT task_kind AS category, CAST(sum(dur_us) AS BIGINT) AS x FROM spans WHERE attempt % 2 = 1 GROUP BY 1)
     SELECT category, b.x AS base_us, c.x AS candidate_us, round(100 * c.x / (SELECT sum(x) FROM c) - 100 * b.x / (SELECT sum(x) FROM b), 6) AS points FROM b FULL JOIN c USING (category)""")
 def cmp_deltas(spark: SparkSession, d: str) -> DataFrame:
     s = T.spans(spark, d).withColumnRenamed("task_kind", "category")
-    return C.category_deltas(s.filter("run_id = 0"), s.filter("run_id = 1")).withColumn("points", F.round("points", 6))
+    return C.category_deltas(s.filter("attempt % 2 = 0"), s.filter("attempt % 2 = 1")).withColumn("points", F.round("points", 6))
 
 
 @query(frames("spans") + " SELECT round(sum(dur_us) FILTER (task_kind = 'BUILD') / sum(dur_us), 9) AS marginal_efficiency FROM spans")
@@ -316,9 +316,9 @@ def sc_url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "pages").select("page_id", S.normalise_url(F.col("url")).alias("identity"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '/tmp/[^\s]+', '<tmp>', 'g'), '\b[0-9a-f]{8,}\b', '<hex>', 'g'), '\bpid[=:]?\d+\b', '<pid>', 'g'), '\b\d+\b', '<n>', 'g'), '\s+', ' ', 'g')) AS signature FROM pages""")
+@query(PROCS + """ SELECT event_id, '/usr/bin/' || CASE binary_name WHEN 'make' THEN 'make -j4' WHEN 'sh' THEN 'sh -c' ELSE binary_name END || ' <element-root>/x' || (event_id % 13) || '.c' || CASE binary_name WHEN 'cc' THEN ' -o /tmp/<tmp>' ELSE '' END AS signature FROM procs""")
 def sc_cmd_signature(spark: SparkSession, d: str) -> DataFrame:
-    return T.read(spark, d, "pages").select("page_id", S.command_signature(F.col("url")).alias("signature"))
+    return _procs(spark, d).select(F.col("n").alias("event_id"), S.command_signature(F.col("cmd")).alias("signature"))
 
 
 @query(frames("spans") + " SELECT run_id, task_key, dur_us FROM spans WHERE dur_us >= 60000000 AND contains(lower(task_key), 'build')")

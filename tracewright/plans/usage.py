@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import kernels as K
 from tracewright.operators import prep as P
 from tracewright.operators import utilisation as U
 from tracewright.plans.graphs import _CLOSURE, RUN
@@ -76,32 +75,9 @@ def u_elements_of_source(spark: SparkSession, d: str) -> DataFrame:
     return U.elements_of(_sources(spark, d), "https://git@Host.org/repo3.git")
 
 
-@query(frames("spans") + """, p AS (SELECT element_uid, run_id * 2 + attempt % 4 AS c, CAST(floor(avg(dur_us)) AS BIGINT) AS m FROM spans GROUP BY 1, 2),
+@query(frames("spans") + """, p AS (SELECT element_uid, run_id % 4 * 2 + attempt % 4 AS c, CAST(floor(avg(dur_us)) AS BIGINT) AS m FROM spans GROUP BY 1, 2),
     g AS (SELECT element_uid, max(c) FILTER (c <= 3) AS lc, arg_max(m, c) FILTER (c <= 3) AS lm, min(c) FILTER (c >= 3) AS hc, arg_min(m, c) FILTER (c >= 3) AS hm FROM p GROUP BY 1)
     SELECT element_uid, CASE WHEN lc IS NULL OR hc IS NULL THEN coalesce(lm, hm) WHEN lc = hc THEN lm ELSE CAST(round_even(lm + (hm - lm) * (3 - lc) / (hc - lc), 0) AS BIGINT) END AS dur_us, lc IS NULL OR hc IS NULL AS extrapolated FROM g""")
 def u_calibrated(spark: SparkSession, d: str) -> DataFrame:
-    history = T.spans(spark, d).withColumn("capacity", F.col("run_id") * 2 + F.col("attempt") % 4)
+    history = T.spans(spark, d).withColumn("capacity", F.col("run_id") % 4 * 2 + F.col("attempt") % 4)
     return U.calibrated(U.calibration(history), 3)
-
-
-@query()
-def k_without_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Makespan of each run as it is, and when no build waits for the builds of other elements."""
-    tasks = P.quantised(T.spans(spark, d))
-    deps = P.task_dependencies(tasks, T.run_edges(spark, d))
-    own = F.substring_index("task_key", "|", 1) == F.substring_index("pred_key", "|", 1)
-    cap = F.create_map(F.lit("PROCESS"), F.lit(4).cast("long"), F.lit("DOWNLOAD"), F.lit(2).cast("long"))
-    plan = spark.range(1).select(F.col("id").alias("scenario"), F.lit("lpt").alias("rule"), cap.alias("capacity"))
-    full, cut = K.replay(tasks, deps, plan), K.replay(tasks, deps.filter(own), plan)
-    return full.select("run_id", F.col("makespan_us").alias("as_is_us")).join(cut.select("run_id", F.col("makespan_us").alias("without_us")), "run_id")
-
-
-@query()
-def k_reduced_durations(spark: SparkSession, d: str) -> DataFrame:
-    """Makespan of each run with all builds at half their time."""
-    tasks = P.quantised(T.spans(spark, d))
-    deps = P.task_dependencies(tasks, T.run_edges(spark, d))
-    half = tasks.withColumn("dur_us", F.when(F.col("task_kind") == "BUILD", F.expr("dur_us div 2")).otherwise(F.col("dur_us")))
-    cap = F.create_map(F.lit("PROCESS"), F.lit(4).cast("long"), F.lit("DOWNLOAD"), F.lit(2).cast("long"))
-    plan = spark.range(1).select(F.col("id").alias("scenario"), F.lit("lpt").alias("rule"), cap.alias("capacity"))
-    return K.replay(half, deps, plan).select("run_id", "makespan_us")

@@ -5,7 +5,7 @@ Each adapter has a twin in ``SQL``: the same frame as a common table expression.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import mapped
@@ -19,13 +19,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Elements of one run: more data make more runs, not larger ones.
+RUN_ELEMENTS = 40
+
+
+def run_of(user: str) -> Column:
+    return F.floor(F.col(user) / RUN_ELEMENTS)
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task span per event; users stand for elements, four groups of them for runs."""
+    """One task span per event; users stand for elements, ``RUN_ELEMENTS`` neighbours for a run."""
     e = read(spark, sf_dir, "events")
     nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1
     kind = mapped(F.col("event_type"), KINDS, "OTHER")
     out = e.select(
-        (F.col("user_id") % 4).alias("run_id"),
+        run_of("user_id").alias("run_id"),
         F.concat(F.lit("u"), "user_id").alias("element_uid"),
         kind.alias("task_kind"),
         nth.cast("long").alias("attempt"),
@@ -40,10 +48,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph for each run over the elements of ``spans``: each depends on the second and the third before it."""
     users = read(spark, sf_dir, "events").select("user_id").distinct()
-    pairs = [users.select(F.col("user_id").alias("p"), (F.col("user_id") + step).alias("s")) for step in (8, 12)]
-    both = pairs[0].unionAll(pairs[1]).join(users.select(F.col("user_id").alias("s")), "s")
+    pairs = [users.select(F.col("user_id").alias("p"), (F.col("user_id") + step).alias("s")) for step in (2, 3)]
+    both = pairs[0].unionAll(pairs[1]).join(users.select(F.col("user_id").alias("s")), "s").filter(run_of("p") == run_of("s"))
     kind = F.when(F.col("p") % 20 == 8, "runtime").otherwise("build")
-    return both.select((F.col("p") % 4).alias("run_id"), F.concat(F.lit("u"), "p").alias("predecessor"), F.concat(F.lit("u"), "s").alias("successor"), kind.alias("dependency_type"))
+    return both.select(run_of("p").alias("run_id"), F.concat(F.lit("u"), "p").alias("predecessor"), F.concat(F.lit("u"), "s").alias("successor"), kind.alias("dependency_type"))
 
 
 def run_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +86,9 @@ def process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = lambda x: F.concat(F.floor(x / 1_000_000).cast("string"), F.lit("."), F.lpad((x % 1_000_000).cast("string"), 6, "0"))
     pid, ppid = (F.col("event_id") % 997 + 2).cast("string"), (F.col("user_id") % 5 + 1).cast("string")
     head = lambda word, at: F.concat(F.lit(f"{word} pid="), pid, F.lit(" ppid="), ppid, F.lit(" ts="), stamp(at), F.lit(" element=e"), F.col("user_id"), F.lit(".bst inv=i"), F.col("user_id") % 8)
-    cmd = F.concat(F.lit(" cmd=/usr/bin/"), mapped(F.col("event_type"), {"view": "cc", "purchase": "make -j4", "click": "sh -c", "signup": "cmake"}, "ld"), F.lit(" x"), F.col("event_id") % 13, F.lit(".c"))
+    root = F.concat(F.lit("/buildstream/demo/e"), F.col("user_id"), F.lit(".bst/"))
+    temp = F.when(F.col("event_type") == "view", F.concat(F.lit(" -o /tmp/cc"), F.col("event_id"), F.lit("x.s"))).otherwise("")
+    cmd = F.concat(F.lit(" cmd=/usr/bin/"), mapped(F.col("event_type"), {"view": "cc", "purchase": "make -j4", "click": "sh -c", "signup": "cmake"}, "ld"), F.lit(" "), root, F.lit("x"), F.col("event_id") % 13, F.lit(".c"), temp)
     end = us + F.round(F.col("value") * 1_000_000).cast("long")
     usage = F.concat(F.lit(" utime="), stamp(F.round(F.col("value") * 500_000).cast("long")), F.lit(" stime=0.100000 maxrss_kb="), (F.col("event_id") % 4096).cast("string"))
     starts = e.select((2 * F.col("event_id")).alias("line_no"), F.concat(head("START", us), cmd).alias("value"))
@@ -92,13 +102,13 @@ _RESOURCE_SQL = "CASE task_kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v i
 SQL = {
     "spans": f"""spans AS (SELECT *, {_RESOURCE_SQL} AS resource, ts_us + dur_us AS finish_us,
         element_uid || '|' || task_kind || '|' || task_kind || '|' || attempt AS task_key FROM (
-        SELECT user_id % 4 AS run_id, 'u' || user_id AS element_uid, {_KIND_SQL} AS task_kind,
+        SELECT user_id // {RUN_ELEMENTS} AS run_id, 'u' || user_id AS element_uid, {_KIND_SQL} AS task_kind,
         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS attempt,
         epoch_us(ts) AS ts_us, CAST(round(value * 1000000) AS BIGINT) AS dur_us, event_id AS span_seq FROM events))""",
-    "run_edges": """users AS (SELECT DISTINCT user_id FROM events),
-        run_edges AS (SELECT a.user_id % 4 AS run_id, 'u' || a.user_id AS predecessor, 'u' || b.user_id AS successor,
+    "run_edges": f"""users AS (SELECT DISTINCT user_id FROM events),
+        run_edges AS (SELECT a.user_id // {RUN_ELEMENTS} AS run_id, 'u' || a.user_id AS predecessor, 'u' || b.user_id AS successor,
         CASE WHEN a.user_id % 20 = 8 THEN 'runtime' ELSE 'build' END AS dependency_type
-        FROM users a JOIN users b ON b.user_id IN (a.user_id + 8, a.user_id + 12))""",
+        FROM users a JOIN users b ON b.user_id IN (a.user_id + 2, a.user_id + 3) AND a.user_id // {RUN_ELEMENTS} = b.user_id // {RUN_ELEMENTS})""",
     "run_elements": """run_elements AS (SELECT run_id, element_uid AS uid, max(dur_us) AS dur_us, CAST(sum(dur_us) AS BIGINT) AS dur_sum_us,
         CAST(substr(element_uid, 2) AS BIGINT) % 10 = 0 AS requested_target,
         CASE WHEN CAST(substr(element_uid, 2) AS BIGINT) % 7 = 0 THEN 'stack' ELSE 'manual' END AS element_kind
@@ -115,7 +125,7 @@ SQL = {
         CASE WHEN event_id % 3 <> 0 AND event_id % 11 <> 0 THEN CAST(round(value * 500000) AS BIGINT) + 100000 END AS cpu_us,
         CASE WHEN event_id % 3 <> 0 AND event_id % 11 <> 0 THEN event_id % 4096 END AS rss_kb,
         CASE event_type WHEN 'view' THEN 'cc' WHEN 'purchase' THEN 'make' WHEN 'click' THEN 'sh' WHEN 'signup' THEN 'cmake' ELSE 'ld' END AS binary_name,
-        '/usr/bin/' || CASE event_type WHEN 'view' THEN 'cc' WHEN 'purchase' THEN 'make -j4' WHEN 'click' THEN 'sh -c' WHEN 'signup' THEN 'cmake' ELSE 'ld' END || ' x' || (event_id % 13) || '.c' AS cmd
+        '/usr/bin/' || CASE event_type WHEN 'view' THEN 'cc' WHEN 'purchase' THEN 'make -j4' WHEN 'click' THEN 'sh -c' WHEN 'signup' THEN 'cmake' ELSE 'ld' END || ' /buildstream/demo/e' || user_id || '.bst/x' || (event_id % 13) || '.c' || CASE event_type WHEN 'view' THEN ' -o /tmp/cc' || event_id || 'x.s' ELSE '' END AS cmd
         FROM events)""",
 }
 
