@@ -35,10 +35,11 @@ def shared_prefixes(keys: DataFrame) -> DataFrame:
     return by_prefix.join(lengths, "n_bytes", "left_semi").filter("n > 1").select("n_bytes", "prefix")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, salts: int = 32) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
-    Of equal texts the row with the largest ``doc_id`` is kept.
+    Of equal texts the row with the largest ``doc_id`` is kept. ``salts`` spreads the ids of
+    a hot group when its kept id is attached to them.
     """
     full = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     rows = id_text(docs, id_col, text_col).withColumns({"n_bytes": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, prefix_chars))})
@@ -52,7 +53,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counted = alike.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
     groups = counted.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    named = counted.join(groups, "text_sha256")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    named = counted.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(salts)).cast("int")).join(groups, ["text_sha256", "salt"])
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _REPEATS)))
     cut_up = named.select("*", parts.alias("part"))
     of_part = F.least(F.lit(_REPEATS), F.col("n") - F.col("part") * _REPEATS)
