@@ -68,8 +68,8 @@ def run_findings(runs: DataFrame) -> DataFrame:
         ("cache-hit-ratio", F.when(c("run_mode") == "full", "info").when(c("hit_ratio") < 0.2, "high").when(c("hit_ratio") < 0.5, "medium").otherwise("info"), F.lit("share of elements found in the cache"), c("hit_ratio").isNotNull(), ["hit_ratio"]),
         ("cache-transfer-cost", "medium", F.lit("cache transfers take a good part of the time"), c("transfer_share") >= 0.1, ["transfer_share"]),
         ("confidence", F.when(c("confidence") >= 0.8, "info").when(c("confidence") >= 0.5, "medium").otherwise("high"), F.lit("how far the analysis can be trusted"), c("confidence").isNotNull(), ["confidence"]),
-        ("execution-bound", "info", F.lit("waiting is negligible"), c("wait_share") < 0.01, ["wait_share"]),
-        ("wait-category", F.when(c("wait_share") >= 0.25, "high").otherwise("medium"), F.concat(F.lit("largest wait: "), "wait_category"), c("wait_share") >= 0.01, ["wait_category", "wait_share"]),
+        ("execution-bound", "high", F.lit("waiting is negligible"), c("wait_share") < 0.01, ["wait_share"]),
+        ("wait-category", "high", F.concat(F.lit("largest wait: "), "wait_category"), c("wait_share") >= 0.01, ["wait_category", "wait_share"]),
         ("certified-headroom", "medium", F.lit("the run could be shorter than it is"), c("headroom_us") > 0, ["headroom_us"]),
         ("efficiency-score", "info", F.lit("lower bound as a share of the time"), c("efficiency").isNotNull(), ["efficiency"]),
     ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import graphs, logs, tasks, usage
+from tracewright.plans import graphs, logs, structures, tasks, usage
 
-FAMILIES = (tasks, graphs, logs, usage)
+FAMILIES = (tasks, graphs, logs, usage, structures)
 
 
 def queries() -> dict:

@@ -122,6 +122,26 @@ def build_log_events(lines: DataFrame) -> DataFrame:
     return body.filter(part(5) != "").join(stamped, ["path", "line_no"]).select("path", "line_no", "at_us", elapsed_us(part(1)).alias("elapsed_us"), part(2).alias("task_hash"), part(3).alias("action"), part(4).alias("element"), part(5).alias("status"), part(6).alias("message"))
 
 
+def failed_elements(events: DataFrame) -> DataFrame:
+    """(path, element) with a failed task, from ``build_log_events``."""
+    return events.filter("status IN ('FAILURE', 'FAIL')").select("path", "element").distinct()
+
+
+def invocation_wall_clock(events: DataFrame, name: str = "bst-invocation") -> DataFrame:
+    """(path, wall_start_us, wall_end_us): first begin and last end of the whole invocation, from (path, ph, name, ts_us); null where not recorded."""
+    own = F.col("name") == name
+    return events.groupBy("path").agg(F.min(F.when(own & (F.col("ph") == "B"), F.col("ts_us"))).alias("wall_start_us"), F.max(F.when(own & (F.col("ph") == "E"), F.col("ts_us"))).alias("wall_end_us"))
+
+
+INVOCATION_SCHEMA = "invocation_id string, started_at double, dir_tag string, spine_traced boolean"
+
+
+def sandbox_invocations(spark: SparkSession, path: str) -> DataFrame:
+    """(invocation, at_us, dir_tag, spine_traced) from JSON lines; lines without an id or a time are skipped."""
+    rows = spark.read.schema(INVOCATION_SCHEMA).json(path)
+    return rows.filter("invocation_id IS NOT NULL AND started_at IS NOT NULL").select(F.col("invocation_id").alias("invocation"), F.round(F.col("started_at") * 1_000_000).cast("long").alias("at_us"), "dir_tag", "spine_traced")
+
+
 def paired_spans(events: DataFrame) -> DataFrame:
     """Begin and end events paired innermost first: (lane, name, ts_us, dur_us, attempt) from (lane, seq, ph, name, ts_us).
 
