@@ -12,8 +12,10 @@ from tracewright.operators import blame as B
 from tracewright.operators import compare as C
 from tracewright.operators import graph as G
 from tracewright.operators import intervals as I
+from tracewright.operators import kernels as K
 from tracewright.operators import prep as P
 from tracewright.operators import processes as X
+from tracewright.operators import structure as ST
 from tracewright.sinks import reports
 from tracewright.sources import logs as L
 from tracewright.sources import run_dirs as R
@@ -120,6 +122,110 @@ def test_overlap_join_is_complete_and_unique(spark, seed):
     assert got == sorted((p[0], q[0]) for p in a for q in b if p[1] == q[1] and p[2] < q[3] and q[2] < p[3])
 
 
+@pytest.mark.parametrize("bucket", (7, 50, 10_000))
+def test_sweeps_in_stretches_are_the_same(spark, bucket):
+    rng = random.Random(bucket)
+    rows = [(rng.randint(0, 2), s := rng.randint(-300, 300), s + rng.choice((0, 1, 5, 200))) for _ in range(120)]
+    tasks = spark.createDataFrame(rows, "run_id long, ts_us long, finish_us long")
+    whole = sorted(map(tuple, I.slices(tasks).collect()))
+    assert sorted(map(tuple, I.slices(tasks, bucket_us=bucket).collect())) == whole and len(whole) > 50
+
+
+def test_bands_of_a_series_against_plain_medians(spark):
+    from statistics import median
+
+    rng = random.Random(3)
+    rows = [(s, i, rng.choice((10, 11, 12, 100, rng.randint(0, 40)))) for s in "ab" for i in range(60)]
+    got = {(r.k, r.at): r for r in A.trailing_band(spark.createDataFrame(rows, "k string, at long, v long"), ["k"], "at", "v").collect()}
+    for s, i, v in rows:
+        held = [x for t, j, x in rows if t == s and j < i]
+        if len(held) < 3:
+            assert got[s, i].verdict == "too-few"
+            continue
+        m = median(held)
+        mad = median(abs(x - m) for x in held)
+        half = max(3 * A.MAD_TO_SIGMA * mad, 0.01 * m)
+        assert (got[s, i].middle, got[s, i].mad) == (m, mad)
+        assert got[s, i].verdict == ("above" if v > m + half else "below" if v < m - half else "inside")
+
+
+def test_savings_against_brute_force(spark):
+    """Longest paths of random graphs with elements taken out, by walking every path."""
+    rng = random.Random(5)
+    uids = [f"n{i}" for i in range(9)]
+    edges = sorted({(uids[i], uids[j]) for i in range(9) for j in rng.sample(range(9), 3) if i < j})
+    dur = {u: rng.randint(1, 60) for u in uids}
+    nodes = spark.createDataFrame([(1, u, d) for u, d in dur.items()], "run_id long, uid string, dur_us long")
+    e = spark.createDataFrame([(1, *x) for x in edges], "run_id long, predecessor string, successor string")
+
+    def longest(gone=()):
+        walk = lambda u: (0 if u in gone else dur[u]) + max((walk(s) for p, s in edges if p == u), default=0)
+        return max(map(walk, uids))
+
+    total = longest()
+    for r in G.realizable_savings(nodes, e).collect():
+        assert r.saving_us == total - longest([r.uid])
+    joint = G.joint_saving(nodes, e).first()
+    members = joint.members.split(",")
+    assert joint.saving_us == total - longest(members) and joint.single_us == sum(total - longest([u]) for u in members)
+    gone, left = [], total
+    for r in G.optimization_horizon(nodes, e).orderBy("step").collect():
+        gone.append(r.uid)
+        assert r.saving_us == left - longest(gone) and r.left_us == longest(gone)
+        left = r.left_us
+    below = lambda u: {s for p, s in edges if p == u} | {x for p, s in edges if p == u for x in below(s)}
+    for r in ST.batch_savings(nodes, e, candidates=6).collect():
+        own = r.members.split(",")
+        assert r.combined_us == total - longest(own) > 0 and r.singles_us == sum(total - longest([u]) for u in own)
+        assert all(y not in below(x) for x in own for y in own)
+    for r in G.independent_batches(nodes, e).collect():
+        assert all(y not in below(x) for x in r.members.split(",") for y in r.members.split(","))
+    chain = G.serial_chains(nodes, e).first()
+    at, n = chain.start, 1
+    while len(nxt := [s for p, s in edges if p == at]) == 1:
+        at, n = nxt[0], n + 1
+    assert chain.n == n
+    shares = {r.uid: r.probability for r in K.criticality(nodes, e, samples=50).collect()}
+    assert all(0 <= x <= 1 for x in shares.values()) and max(shares.values()) > 0.5
+    assert {r.uid: r.probability for r in K.criticality(nodes, e, samples=3, spread=0.0).collect()} == {u: float(u in G.Dag(uids, edges).path(dur)) for u in uids}
+
+
+def test_build_log_outcomes_and_invocations(spark, tmp_path):
+    events = spark.createDataFrame([("p", "a.bst", "FAILURE"), ("p", "a.bst", "FAILURE"), ("p", "b.bst", "SUCCESS"), ("q", "c.bst", "FAIL")], "path string, element string, status string")
+    assert sorted(map(tuple, L.failed_elements(events).collect())) == [("p", "a.bst"), ("q", "c.bst")]
+    marks = spark.createDataFrame([("p", "B", "bst-invocation", 5), ("p", "E", "bst-invocation", 90), ("p", "B", "x", 1), ("q", "B", "x", 2)], "path string, ph string, name string, ts_us long")
+    assert sorted(map(tuple, L.invocation_wall_clock(marks).collect())) == [("p", 5, 90), ("q", None, None)]
+    (tmp_path / "i.jsonl").write_text('{"invocation_id": "i1", "started_at": 1.5, "dir_tag": "t", "spine_traced": true}\n{"started_at": 2}\nnot json\n')
+    assert [tuple(r) for r in L.sandbox_invocations(spark, str(tmp_path / "i.jsonl")).collect()] == [("i1", 1_500_000, "t", True)]
+
+
+def test_waits_of_every_kind(spark):
+    """One slot of a resource, two jobs at most; worked out by hand."""
+    # a 0-10 runs, then b (needs a) is ready at 10 and starts at 40: 10-20 the slot is taken by x, 20-30 one task runs, 30-40 it is taken by y
+    rows = [("a", "BUILD", 0, 0, 10, "P", 0), ("b", "BUILD", 0, 40, 50, "P", 10), ("x", "BUILD", 0, 10, 20, "P", 10), ("y", "BUILD", 0, 30, 40, "P", 30), ("z", "BUILD", 0, 20, 30, "Q", 20)]
+    make = lambda rows: spark.createDataFrame([(1, f"{u}|{k}|{n}", u, k, k, n, s, f, [r], ready) for u, k, n, s, f, r, ready in rows], "run_id long, task_key string, element_uid string, task_kind string, phase string, attempt long, start_us long, finish_us long, resources array<string>, ready_us long")
+    deps = spark.createDataFrame([(1, "b|BUILD|0", "a|BUILD|0")], "run_id long, task_key string, pred_key string")
+    got = lambda tasks, jobs: {r.category: r.dur_us for r in B.attribution(tasks, deps, {"P": 1}, jobs).collect()}
+    assert got(make(rows), 2) == {"EXECUTION_ON_CHAIN": 20, "RESOURCE_WAIT": 20, "SCHEDULER_WAIT": 10}
+    # with one job at most nobody could have started it at 20, and what comes after is not looked at
+    assert got(make(rows), 1) == {"EXECUTION_ON_CHAIN": 20, "RESOURCE_WAIT": 10, "DEPENDENCY_WAIT": 20}
+    # a second attempt waits for the first one; without a known number of jobs that is its retry
+    again = [("a", "BUILD", 0, 0, 10, "P", 0), ("a", "BUILD", 1, 25, 30, "P", 25)]
+    none = deps.limit(0)
+    assert {r.category: r.dur_us for r in B.attribution(make(again), none, {"P": 1}, None).collect()} == {"EXECUTION_ON_CHAIN": 15, "RETRY_WAIT": 15}
+    full = B.with_wall_clock(B.attribution(make(again), none, {"P": 1}, None), make(again), spark.createDataFrame([(1, -5, 37)], "run_id long, wall_start_us long, wall_end_us long"))
+    assert {r.category: r.dur_us for r in full.collect()} == {"EXECUTION_ON_CHAIN": 15, "RETRY_WAIT": 15, "HEAD": 5, "TAIL": 7}
+    assert [tuple(r) for r in B.reconciliation(full, make(again)).collect()] == [(1, 30, 30, 0)]
+
+
+def test_rebuild_set_refuses_unknown_cuts(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "uid string")
+    edges = spark.createDataFrame([("a", "b", "build"), ("b", "c", "runtime")], "predecessor string, successor string, dependency_type string")
+    assert sorted(r.uid for r in G.rebuild_set(nodes.filter("uid = 'a'"), nodes, edges).collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="nowhere"):
+        G.rebuild_set(spark.createDataFrame([("nowhere",)], "uid string"), nodes, edges)
+
+
 def test_cycles_and_dangling_edges_differ(spark):
     nodes = spark.createDataFrame([("a", 1), ("b", 1)], "uid string, dur_us long")
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "predecessor string, successor string")

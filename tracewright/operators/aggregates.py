@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +67,44 @@ def anomalies(points: DataFrame, by: list[str], value: str, z: float = 2.0) -> D
 
 
 def trailing_band(runs: DataFrame, by: list[str], order: str, value: str, k: float = 3.0, least: int = 3, floor: float = 0.01) -> DataFrame:
-    """Each run against the band of all runs before it in its series: inside, below, above, or too few."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    held = runs.withColumn("history", F.collect_list(value).over(before))
-    held = held.withColumn("middle", _median(F.col("history")))
-    held = held.withColumn("mad", _median(F.transform("history", lambda x: F.abs(x - F.col("middle")))))
-    half = F.greatest(F.lit(k * MAD_TO_SIGMA) * F.col("mad"), F.lit(floor) * F.col("middle"))
-    verdict = F.when(F.size("history") < least, "too-few").when(F.col(value) > F.col("middle") + half, "above").when(F.col(value) < F.col("middle") - half, "below").otherwise("inside")
-    return held.withColumn("verdict", verdict).drop("history")
+    """Each run against the band of all runs before it in its series: inside, below, above, or too few.
+
+    One pass over each series in order; the values so far are kept sorted, so medians are read off.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        held: list = []
+        middles, mads, verdicts = [], [], []
+        for x in pdf[value].tolist():
+            n = len(held)
+            middle = (held[(n - 1) // 2] + held[n // 2]) / 2 if n else None
+            mad = _deviation(held, middle) if n else None
+            half = max(k * MAD_TO_SIGMA * mad, floor * middle) if n else None
+            missing = x is None or x != x
+            verdicts.append("too-few" if n < least else "inside" if missing or middle - half <= x <= middle + half else "above" if x > middle else "below")
+            middles.append(middle)
+            mads.append(mad)
+            if not missing:
+                insort(held, x)
+        return pdf.assign(middle=pd.Series(middles, dtype="float64"), mad=pd.Series(mads, dtype="float64"), verdict=verdicts)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
+    return runs.groupBy(*by).applyInPandas(one, f"{kinds}, middle double, mad double, verdict string")
+
+
+def _deviation(held: list, middle: float) -> float:
+    """Median distance from ``middle`` of sorted values, by walking outward from it."""
+    n, right = len(held), bisect_left(held, middle)
+    left, near = right - 1, []
+    while len(near) < n // 2 + 1:
+        if right == n or (left >= 0 and middle - held[left] <= held[right] - middle):
+            near.append(middle - held[left])
+            left -= 1
+        else:
+            near.append(held[right] - middle)
+            right += 1
+    return near[-1] if n % 2 else (near[-1] + near[-2]) / 2
 
 
 def _median(xs: Column) -> Column:

@@ -11,13 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def slices(tasks: DataFrame, by: tuple[str, ...] = ("run_id",), start: str = "ts_us", finish: str = "finish_us") -> DataFrame:
-    """(by…, start_us, end_us, n_active): positive-width slices between neighbouring boundaries with work in them."""
+def slices(tasks: DataFrame, by: tuple[str, ...] = ("run_id",), start: str = "ts_us", finish: str = "finish_us", bucket_us: int | None = None) -> DataFrame:
+    """(by…, start_us, end_us, n_active): positive-width slices between neighbouring boundaries with work in them.
+
+    With ``bucket_us``, a sweep is cut into stretches of time that are swept apart: each
+    begins with what the stretches before it leave running, which comes from one small row a
+    stretch. So a single long run does not become a single task. Keys must not be null then.
+    """
     real = tasks.filter(F.col(finish) > F.col(start))
     ends = real.select(*by, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(finish).alias("t"), F.lit(-1).alias("d")))).alias("e"))
     steps = ends.groupBy(*by, F.col("e.t").alias("start_us")).agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy(*by).orderBy("start_us")
-    swept = steps.withColumns({"n_active": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "end_us": F.lead("start_us").over(w)})
+    if bucket_us is None:
+        w = Window.partitionBy(*by).orderBy("start_us")
+        swept = steps.withColumns({"n_active": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "end_us": F.lead("start_us").over(w)})
+    else:
+        keys = [*by, "stretch"]
+        steps = steps.withColumn("stretch", F.floor(F.col("start_us") / bucket_us))
+        w, over = Window.partitionBy(*keys).orderBy("start_us"), Window.partitionBy(*by).orderBy("stretch")
+        sums = steps.groupBy(*keys).agg(F.sum("d").alias("total"), F.min("start_us").alias("first_us"))
+        sums = sums.select(*keys, F.coalesce(F.sum("total").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first_us").over(over).alias("next_us"))
+        local = steps.withColumns({"here": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "near_us": F.lead("start_us").over(w)})
+        swept = local.join(sums, keys).withColumns({"n_active": F.col("before") + F.col("here"), "end_us": F.coalesce("near_us", "next_us")})
     return swept.filter("n_active > 0 AND end_us IS NOT NULL").select(*by, "start_us", "end_us", "n_active")
 
 
@@ -25,10 +39,10 @@ def horizon(tasks: DataFrame, start: str = "ts_us", finish: str = "finish_us") -
     return tasks.groupBy("run_id").agg(F.min(start).alias("start_us"), F.max(finish).alias("end_us")).withColumn("horizon_us", F.col("end_us") - F.col("start_us"))
 
 
-def occupancy(tasks: DataFrame) -> DataFrame:
+def occupancy(tasks: DataFrame, bucket_us: int | None = None) -> DataFrame:
     """(run_id, horizon_us, busy_us, idle_us, area_us, peak): per run, from its slices."""
     width = F.col("end_us") - F.col("start_us")
-    sums = slices(tasks).groupBy("run_id").agg(F.sum(width).alias("busy_us"), F.sum(width * F.col("n_active")).alias("area_us"), F.max("n_active").alias("peak"))
+    sums = slices(tasks, bucket_us=bucket_us).groupBy("run_id").agg(F.sum(width).alias("busy_us"), F.sum(width * F.col("n_active")).alias("area_us"), F.max("n_active").alias("peak"))
     return horizon(tasks).select("run_id", "horizon_us").join(sums, "run_id").withColumn("idle_us", F.col("horizon_us") - F.col("busy_us"))
 
 
@@ -79,9 +93,9 @@ def point_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, span
     return p.join(binned(spans, *span, width), [*by, "bin"]).filter((F.col(at) >= F.col(span[0])) & (F.col(at) < F.col(span[1]))).drop("bin")
 
 
-def wall_clock_shares(tasks: DataFrame, width: int = 600_000_000) -> DataFrame:
+def wall_clock_shares(tasks: DataFrame, width: int = 600_000_000, bucket_us: int | None = None) -> DataFrame:
     """(run_id, task_key, share_us): each slice split equally among its active tasks."""
-    cut = slices(tasks).withColumnsRenamed({"start_us": "s0", "end_us": "s1"})
+    cut = slices(tasks, bucket_us=bucket_us).withColumnsRenamed({"start_us": "s0", "end_us": "s1"})
     own = tasks.select("run_id", "task_key", "ts_us", "finish_us")
     pairs = overlap_join(cut, own, ["run_id"], ("s0", "s1"), ("ts_us", "finish_us"), width)
     return pairs.groupBy("run_id", "task_key").agg(F.sum((F.col("s1") - F.col("s0")) / F.col("n_active")).alias("share_us"))

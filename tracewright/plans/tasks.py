@@ -212,7 +212,7 @@ SLICES = frames("spans") + _SLICES
 
 @query(SLICES + " SELECT run_id, start_us, end_us, n_active FROM sl")
 def iv_segments(spark: SparkSession, d: str) -> DataFrame:
-    return I.slices(T.spans(spark, d))
+    return I.slices(T.spans(spark, d), bucket_us=_DAY)
 
 
 @query(SLICES + """ SELECT run_id, horizon_us, CAST(sum(end_us - start_us) AS BIGINT) AS busy_us, CAST(sum((end_us - start_us) * n_active) AS BIGINT) AS area_us, max(n_active) AS peak,
@@ -257,7 +257,7 @@ def iv_fetch_build_overlap(spark: SparkSession, d: str) -> DataFrame:
     return I.fetch_build_overlap(T.spans(spark, d))
 
 
-_WAIT = 1_800_000_000
+_WAIT, _DAY = 1_800_000_000, 86_400_000_000
 
 
 @query(frames("spans") + f""", w AS (SELECT run_id, resource, task_key, ts_us - {_WAIT} AS w0, ts_us AS w1 FROM spans),
