@@ -62,13 +62,17 @@ OPERATORS = {
     "lines": LD.line_dedup_report,
     "jaccard": NJ.ngram_jaccard_join,
     "language": LID.language_id,
+    "kept": NJ.one_of_each_group,
+    "redacted": SS.redact_secrets,
+    "clean lines": LD.dedup_lines,
 }
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_hard_inputs_keep_their_rows(spark, hard, empty, name):
     got = OPERATORS[name](hard).collect()
-    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in HARD)
+    gone = Counter([5, 6, 8]) if name == "kept" else Counter()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in HARD) - gone
     assert OPERATORS[name](empty).count() == 0
 
 
@@ -718,6 +722,48 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in run) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_stages_on_hard_inputs(spark, hard, empty, tmp_path):
+    """Nulls, empty, blank and long texts, repeats and clashing names go through every stage; so does an empty table."""
+    import corpus_pipeline as P
+
+    labels = [(i, int(i % 2 == 0), 0) for i in range(1, 40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start in (hard, empty):
+        docs = start
+        for name, stage in P.STAGES:
+            docs = stage(spark, docs, str(tmp_path)).persist()
+            if name != P.STAGES[-1][0]:
+                assert docs.columns == list(P.COLUMNS), name
+        assert docs.count() >= (start is hard)
+    kept = {name: stage(spark, hard, str(tmp_path)).select("doc_id").collect() for name, stage in P.STAGES[1:4]}
+    assert Counter(r.doc_id for r in kept["secrets"]) == Counter(i for i, *_ in HARD) == Counter(r.doc_id for r in kept["line dedup"]) + Counter([1, 2, 3]) - Counter([1, 2, 3])
+    assert {r.doc_id for r in kept["n-gram jaccard"]} == {1, 2, 3, 4, None, 5, 7, 9}
+
+
+def test_run_on_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline as P
+
+    empty.select(*P.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_labels_reject_nothing(spark, hard, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert P.quality(spark, hard, str(tmp_path)).count() == len(HARD)
+
+
+def test_slices_bound_bytes():
+    from tracewright.llm._common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 50 + ["y" * 100_000] + ["z"] * 9)], ["t"])
+    parts = list(slices(batch, 40, 8000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or p.nbytes <= 8000 for p in parts)
+
+
 def test_arrow_slices_bound_memory(spark):
     from tracewright.llm._common import map_batches
 

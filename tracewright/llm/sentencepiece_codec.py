@@ -10,8 +10,10 @@ Merging all occurrences at once equals the library's one-by-one order unless a m
 creates a pair of equal or better rank; such a word merges only its leftmost occurrence
 in that round, which is always exact.
 
-Defined results: null text is empty (no ids, empty decoded text); other columns are
-ignored; texts of any length are processed whole.
+Defined results: null and empty texts have no ids and an empty decoded text; null ids are
+kept; rows that repeat a document fare alike, each with a row of its own; of pairs of one
+rank the leftmost merges first; an empty table gives no rows; other columns, whatever their
+names, are ignored; texts of any length are processed whole.
 """
 
 from __future__ import annotations
