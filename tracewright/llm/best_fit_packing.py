@@ -46,7 +46,7 @@ class Tokens:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.own = own = Tokenizer.from_file(path)
+        own, self.path, self.own = Tokenizer.from_file(path), path, None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         added = {t.content for t in own.get_added_tokens_decoder().values()}
@@ -62,6 +62,10 @@ class Tokens:
 
     def _of(self, text: str) -> np.ndarray:
         if self.added and self.added.search(text):
+            if self.own is None:  # few tasks need it, and it is large
+                from tokenizers import Tokenizer
+
+                self.own = Tokenizer.from_file(self.path)
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import held_out, id_text, map_batches, small_enough
+from tracewright.llm._common import held_out, id_text, map_batches, slices, small_enough
 
 _SYMBOLS = bytes(b for b in b"*#$%&@^~<>{}[]\\|=+_/")
 _DIGITS, _CAPITALS, _ENDS, _COMMAS = b"0123456789", bytes(range(65, 91)), b".!?", b",;:"
@@ -59,11 +59,6 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def _statistics_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, N_STATISTICS)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "x"])
-
-
 @dataclass
 class Discriminant:
     """Two Gaussians in standardised coordinates."""
@@ -113,22 +108,23 @@ class Discriminant:
 
 
 def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.02) -> Discriminant:
-    """From rows (label 0/1, x); only sums leave the executors, a few hundred numbers."""
+    """From rows (text, label 0/1); only sums leave the executors, a few hundred numbers."""
     d = N_STATISTICS
 
     def partial(batches):
         n, s, p = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False)
-            x = np.array(batch.column("x").to_pylist(), np.float64).reshape(-1, d)
-            for k in (0, 1):
-                own = x[labels == k]
-                n[k] += len(own)
-                s[k] += own.sum(axis=0)
-                p[k] += own.T @ own
+            for part in slices(batch, 2000):
+                labels = part.column("label").to_numpy(zero_copy_only=False)
+                x = np.array([statistics(t) for t in part.column("text").to_pylist()], np.float64).reshape(-1, d)
+                for k in (0, 1):
+                    own = x[labels == k]
+                    n[k] += len(own)
+                    s[k] += own.sum(axis=0)
+                    p[k] += own.T @ own
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([[n[k], *s[k], *p[k].ravel()] for k in (0, 1)], pa.list_(pa.float64()))], ["label", "sums"])
 
-    parts = labelled.select("label", "x").mapInArrow(partial, "label int, sums array<double>")
+    parts = labelled.select("text", "label").mapInArrow(partial, "label int, sums array<double>")
     summed = parts.select("label", F.posexplode("sums").alias("at", "v")).groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
     out = np.zeros((2, 1 + d + d * d))
     for r in summed:
@@ -136,20 +132,12 @@ def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.02) -> Discrimina
     return Discriminant.fit([out[k, 0] for k in (0, 1)], [out[k, 1 : 1 + d] for k in (0, 1)], [out[k, 1 + d :].reshape(d, d) for k in (0, 1)], shrinkage)
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x array<double>)."""
-    return map_batches(id_text(docs, id_col, text_col), _statistics_batch, "doc_id long, x array<double>")
-
-
 def train(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
     """Learn from all labelled documents that are not held out; only theirs are read by Python."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("label_id")))
-    ids = known.select("label_id").distinct()
-    if small_enough(ids, 16):
-        ids = F.broadcast(ids)
-    rows = id_text(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("label_id"), "left_semi")
-    stats = document_statistics(rows)
-    return fit_discriminant(stats.join(known, stats.doc_id == known.label_id), shrinkage)
+    if small_enough(known, 16):
+        known = F.broadcast(known)
+    return fit_discriminant(id_text(docs, id_col, text_col).join(known, F.col("doc_id") == F.col("label_id")), shrinkage)
 
 
 def score_quality(docs: DataFrame, model: Discriminant, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
