@@ -276,6 +276,27 @@ def test_nearest_merge_is_one_to_one(spark):
     assert X.merged_streams(hook, spine).count() == 5
 
 
+def test_nearest_merge_against_plain_search(spark):
+    rng = random.Random(7)
+    side = lambda n, x: [("s", p, rng.randint(0, 60) * 100_000, rng.choice((None, x))) for p in (1, 2, 3) for _ in range(n)]
+    hook, spine = side(15, 1), side(12, 2)
+    want = []
+    for p in (1, 2, 3):
+        free = sorted(h[2] for h in hook if h[1] == p)
+        for t in sorted(x[2] for x in spine if x[1] == p):
+            near = min(free, key=lambda h: (abs(h - t), h), default=None)
+            if near is not None and abs(near - t) <= 1_000_000:
+                free.remove(near)
+                want.append((p, near, t))
+            else:
+                want.append((p, None, t))
+        want += [(p, h, None) for h in free]
+    frame = lambda rows: spark.createDataFrame(rows, "scope string, pid long, start_us long, cpu_us long")
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    got = [(r.pid, r.hook_us, r.spine_us) for r in X.merged_streams(frame(hook), frame(spine)).collect()]
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_element_log(spark, tmp_path):
     folder = tmp_path / "proj" / "el"
     folder.mkdir(parents=True)
@@ -310,6 +331,8 @@ def test_reports(spark):
     df = spark.createDataFrame([(1, "EXECUTION_ON_CHAIN", 75), (1, "IDLE", 25)], "run_id long, category string, dur_us long")
     doc = json.loads(reports.run_documents({"attribution": df, "unwanted": df}, sections=["attribution"]).first().document)
     assert doc["schema"] == "analyze/v1" and len(doc["attribution"]) == 2 and "unwanted" not in doc
+    told = json.loads(reports.published_schema({"attribution": df}))
+    assert told["schema"] == "analyze/v1" and [f["name"] for f in told["blocks"]["attribution"]["fields"]] == ["run_id", "category", "dur_us"]
     assert {r.category: r.percent for r in reports.attribution_csv(df).collect()} == {"EXECUTION_ON_CHAIN": 75.0, "IDLE": 25.0}
     store = spark.createDataFrame([(f"2026-0{i}", i == 2) for i in range(1, 7)], "stamp string, complete boolean")
     assert sorted(r.stamp for r in reports.prune(store, 3).collect()) == ["2026-01", "2026-03"]

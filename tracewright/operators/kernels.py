@@ -42,6 +42,15 @@ def makespan_bounds(paths: DataFrame, work: DataFrame, capacities: dict[str, int
     return out.select("run_id", F.greatest("path_us", need).alias("lower_us"), (F.col("path_us") + F.coalesce("sum_us", F.lit(0))).alias("upper_us"), F.when(need > F.col("path_us"), F.col("tightest")).alias("bound_by"))
 
 
+def scenario_bounds(paths: DataFrame, work: DataFrame, scenarios: dict[str, dict[str, int]]) -> DataFrame:
+    """(run_id, scenario, lower_us, upper_us, bound_by): the bounds under each of a few sets of capacities."""
+    out = None
+    for name, capacities in sorted(scenarios.items()):
+        one = makespan_bounds(paths, work, capacities).withColumn("scenario", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("run_id", "scenario", "lower_us", "upper_us", "bound_by")
+
+
 def capacity_sweep(paths: DataFrame, work: DataFrame, resource: str, lowest: int, highest: int, knee: float = 0.05) -> DataFrame:
     """(run_id, capacity, lower_us, improvement, is_knee): lower bound at each capacity of one resource; the knee is the last one that still gains."""
     own = paths.join(work.filter(F.col("resource") == resource).select("run_id", "work_us"), "run_id", "left")

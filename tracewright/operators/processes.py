@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,16 +60,18 @@ def merged_streams(hook: DataFrame, spine: DataFrame, tolerance_us: int = 1_000_
 
     def one(key, h: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         h, s = h.sort_values("start_us", ignore_index=True), s.sort_values("start_us", ignore_index=True)
-        free, rows = set(range(len(h))), []
+        free, places, rows = h["start_us"].tolist(), list(range(len(h))), []
         for t, cpu in zip(s["start_us"], s["cpu_us"], strict=True):
-            near = min(free, key=lambda i: (abs(h["start_us"][i] - t), h["start_us"][i]), default=None)
-            if near is not None and abs(h["start_us"][near] - t) <= tolerance_us:
-                free.remove(near)
-                own = h["cpu_us"][near]
-                rows.append((*key, h["start_us"][near], t, cpu if pd.isna(own) else own, "both"))
+            right = bisect_left(free, t)
+            near = [bisect_left(free, free[right - 1])] if right else []  # the first of equal starts
+            near += [right] if right < len(free) else []
+            at = min(near, key=lambda i: (abs(free[i] - t), free[i]), default=None)
+            if at is not None and abs(free[at] - t) <= tolerance_us:
+                start, own = free.pop(at), h["cpu_us"][places.pop(at)]
+                rows.append((*key, start, t, cpu if pd.isna(own) else own, "both"))
             else:
                 rows.append((*key, None, t, cpu, "spine"))
-        rows += [(*key, h["start_us"][i], None, h["cpu_us"][i], "hook") for i in sorted(free)]
+        rows += [(*key, start, None, h["cpu_us"][i], "hook") for start, i in zip(free, places, strict=True)]
         return pd.DataFrame(rows, columns=["scope", "pid", "hook_us", "spine_us", "cpu_us", "coverage"]).astype({"hook_us": "Int64", "spine_us": "Int64", "cpu_us": "Int64"})
 
     side = lambda df, x: df.select("scope", "pid", F.col("start_us").alias(f"{x}_us"), F.col("cpu_us").alias(f"{x}_cpu"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.graph import Dag, over_runs
+from tracewright.operators.aggregates import trailing_band
+from tracewright.operators.compare import verdicts
+from tracewright.operators.graph import Dag, degrees, node_metrics, over_runs
 
 
 def serialization_points(elements: DataFrame, downstream: DataFrame, multiple: float = 2.0) -> DataFrame:
@@ -126,6 +128,43 @@ def configure_views(traced: DataFrame, reported: DataFrame) -> DataFrame:
     return j.select("element", "configure_cpu_us", "configure_us", silent.alias("self_report_missing"))
 
 
+def checkout_savings(invocations: DataFrame) -> DataFrame:
+    """(project, n_individual, individual_us, consolidated_us, savings_us, fraction): many checkouts against one of the same elements.
+
+    invocations: (project, consolidated boolean, overhead_us, elements_us). Each invocation
+    pays its own overhead; whether one large one is cheaper is for the figures to say.
+    """
+    total = F.coalesce("overhead_us", F.lit(0)) + F.coalesce("elements_us", F.lit(0))
+    of = lambda one: F.coalesce(F.sum(F.when(F.col("consolidated") == one, total)), F.lit(0))
+    sums = invocations.groupBy("project").agg(F.count_if(~F.col("consolidated")).alias("n_individual"), of(False).alias("individual_us"), of(True).alias("consolidated_us"))
+    saved = F.col("individual_us") - F.col("consolidated_us")
+    return sums.withColumns({"savings_us": saved, "fraction": F.when(F.col("individual_us") != 0, saved / F.col("individual_us"))})
+
+
+def store_verdicts(snapshots: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Each snapshot against the band of the complete ones before it: inside, below, above, too-few, or null where it is incomplete itself."""
+    counted = snapshots.withColumn("counted", F.when(F.col("complete"), F.col(value)))
+    judged = trailing_band(counted, by, order, "counted")
+    return judged.withColumn("verdict", F.when(F.col("complete"), F.col("verdict"))).drop("counted", "middle", "mad")
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with refusal, confidence and verdict: a refused pair is not comparable whatever its figures. See ``comparability`` and ``verdicts``."""
+    judged = verdicts(comparability(pairs))
+    return judged.withColumn("verdict", F.when(F.col("refusal").isNotNull(), "not_comparable").otherwise(F.col("verdict")))
+
+
+def graph_bundle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, uid, in_degree, out_degree, level, finish_us, slack_us, n_up, n_down, on_path): all figures of every element together."""
+    degree = degrees(nodes, edges, ["run_id"])
+    return node_metrics(nodes, edges).drop("down_us").join(degree, ["run_id", "uid"])
+
+
+def two_stage_paths(stages: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, length_us): longest path where an element's fetch (``head_us``) may run beside its predecessors and only its ``work_us`` waits for them."""
+    return over_runs(stages, edges, lambda dag, given: [(dag.length(given["work_us"], given["head_us"]),)], "length_us long", ("work_us", "head_us"))
+
+
 def run_violations(runs: DataFrame) -> DataFrame:
     """(run_id, type) from one row of figures; nulls violate nothing. Needs n_failed, reconciliation_gap_us, lower_us, longest_us, hard_gates_failed."""
     c = F.col

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators import aggregates as A
 from tracewright.operators import compare as C
 from tracewright.operators import graph as G
 from tracewright.operators import intervals as I
@@ -12,7 +13,8 @@ from tracewright.operators import kernels as K
 from tracewright.operators import processes as X
 from tracewright.operators import structure as S
 from tracewright.plans.graphs import _CLOSURE, _LONGEST, RUN
-from tracewright.plans.logs import _procs, PROCS
+from tracewright.plans.logs import PROCS, _procs
+from tracewright.plans.tasks import _MONTHS, monthly
 from tracewright.sources import tables as T
 from tracewright.sources.tables import with_frames as frames
 
@@ -157,3 +159,56 @@ def cor_outlook(spark: SparkSession, d: str) -> DataFrame:
         (k % 6).alias("n_steps"), F.nullif(k % 5, F.lit(0).cast("long")).alias("n_latent"), (c % 3).alias("n_blast"), ((k % 10) / 10).alias("criticality_max"), ((c % 10) / 9).alias("criticality_min"), F.lit(4).cast("long").alias("builders"),
         F.when(k % 4 > 0, k % 4 > 1).alias("fits"), (c % 6).alias("first_not_fitting"), F.when(c % 8 > 0, c % 8).alias("recommended"), F.greatest(F.lit(0), c % 9 - 6).alias("n_shared_sources"))
     return S.outlook(runs)
+
+
+@query("""WITH i AS (SELECT o_custkey % 20 AS project, o_orderkey % 7 = 0 AS one, CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 13 AS us FROM orders),
+    s AS (SELECT project, count(*) FILTER (NOT one) AS n, coalesce(sum(us) FILTER (NOT one), 0) AS a, coalesce(sum(us) FILTER (one), 0) AS b FROM i GROUP BY 1)
+    SELECT project, n AS n_individual, CAST(a AS BIGINT) AS individual_us, CAST(b AS BIGINT) AS consolidated_us, CAST(a - b AS BIGINT) AS savings_us, round((a - b) / a, 9) AS fraction FROM s""")
+def st_checkout_savings(spark: SparkSession, d: str) -> DataFrame:
+    o = T.read(spark, d, "orders").select((F.col("o_custkey") % 20).alias("project"), (F.col("o_orderkey") % 7 == 0).alias("consolidated"), (F.col("o_orderkey") % 13).alias("overhead_us"), F.floor("o_totalprice").alias("elements_us"))
+    return S.checkout_savings(o).withColumn("fraction", F.round("fraction", 9))
+
+
+@query(f"""WITH {_MONTHS}, mc AS (SELECT *, pos % 4 <> 1 AS complete FROM n), b AS (SELECT x.series, x.pos, x.total, x.complete, list(y.total) FILTER (y.total IS NOT NULL) AS h FROM mc x LEFT JOIN mc y ON x.series = y.series AND y.pos < x.pos AND y.complete GROUP BY 1, 2, 3, 4),
+    c AS (SELECT *, list_median(h) AS middle FROM b), e AS (SELECT *, greatest(3.0 * 1.4826 * list_median(list_transform(h, lambda v: abs(v - middle))), 0.01 * middle) AS half FROM c)
+    SELECT series, pos::INT AS pos, CASE WHEN NOT complete THEN NULL WHEN h IS NULL OR len(h) < 3 THEN 'too-few' WHEN total > middle + half THEN 'above' WHEN total < middle - half THEN 'below' ELSE 'inside' END AS verdict FROM e""")
+def cmp_store_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    months = monthly(spark, d).withColumn("complete", F.col("pos") % 4 != 1)
+    return S.store_verdicts(months, ["series"], "pos", "total").select("series", "pos", "verdict")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(1000 + o_custkey % 60 AS BIGINT) AS v FROM orders)
+    SELECT k AS pair, CASE WHEN k % 9 = 0 THEN 'incomplete' WHEN k % 11 = 0 THEN 'no_duration' WHEN c % 20 < 10 THEN 'different_graph' WHEN k % 2 <> c % 2 THEN 'different_mode' END AS refusal,
+    CASE WHEN k % 9 = 0 OR k % 11 = 0 OR c % 20 < 10 OR k % 2 <> c % 2 THEN 'not_comparable' WHEN abs(v - 1000) <= 10 THEN 'unchanged' ELSE 'regressed' END AS verdict FROM p""")
+def cmp_runs(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    mode = lambda x: F.when(x % 2 == 0, "full").otherwise("incremental")
+    pairs = T.read(spark, d, "orders").select(
+        k.alias("pair"), F.when(k % 9 == 0, "failed").alias("base_incomplete"), F.lit(None).cast("string").alias("incomplete"), F.lit(1000).cast("long").alias("base_us"), F.when(k % 11 != 0, 1000 + c % 60).alias("candidate_us"), F.array().cast("array<long>").alias("history"),
+        (c % 20).alias("n_shared"), F.lit(20).alias("n_union"), mode(k).alias("base_mode"), mode(c).alias("mode"), F.lit("same").alias("same_host"))
+    return S.compared(pairs).select("pair", "refusal", "verdict")
+
+
+@query(_LONGEST + _CLOSURE + """, lv(run_id, uid, level) AS (SELECT run_id, uid, 0 FROM run_elements UNION SELECT l.run_id, e.successor, l.level + 1 FROM lv l JOIN run_edges e ON e.run_id = l.run_id AND e.predecessor = l.uid),
+    le AS (SELECT run_id, uid, max(level) AS level FROM lv GROUP BY 1, 2), dn AS (SELECT run_id, ancestor AS uid, count(*) AS n FROM reach GROUP BY 1, 2), up AS (SELECT run_id, uid, count(*) AS n FROM reach GROUP BY 1, 2),
+    i AS (SELECT run_id, successor AS uid, count(*) AS n FROM run_edges GROUP BY 1, 2), o AS (SELECT run_id, predecessor AS uid, count(*) AS n FROM run_edges GROUP BY 1, 2)
+    SELECT c.run_id, c.uid, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, le.level::BIGINT AS level, finish_us, slack_us, coalesce(up.n, 0) AS n_up, coalesce(dn.n, 0) AS n_down, slack_us = 0 AS on_path
+    FROM cpm c JOIN le ON le.run_id = c.run_id AND le.uid = c.uid LEFT JOIN dn ON dn.run_id = c.run_id AND dn.uid = c.uid LEFT JOIN up ON up.run_id = c.run_id AND up.uid = c.uid LEFT JOIN i ON i.run_id = c.run_id AND i.uid = c.uid LEFT JOIN o ON o.run_id = c.run_id AND o.uid = c.uid""")
+def g_bundle(spark: SparkSession, d: str) -> DataFrame:
+    return S.graph_bundle(*_run(spark, d))
+
+
+@query(RUN + """, sd AS (SELECT run_id, element_uid AS uid, coalesce(max(dur_us) FILTER (task_kind = 'FETCH'), 0) AS head, coalesce(max(dur_us) FILTER (task_kind <> 'FETCH'), 0) AS work FROM spans GROUP BY 1, 2),
+    w AS (SELECT run_id, uid, 0 AS hops, head + work AS f FROM sd UNION SELECT w.run_id, e.successor, w.hops + 1, w.f + s.work FROM w JOIN run_edges e ON e.run_id = w.run_id AND e.predecessor = w.uid JOIN sd s ON s.run_id = e.run_id AND s.uid = e.successor)
+    SELECT run_id, CAST(max(f) AS BIGINT) AS length_us FROM w GROUP BY 1""")
+def g_two_stage_path(spark: SparkSession, d: str) -> DataFrame:
+    stages = A.stage_durations(T.spans(spark, d)).withColumnRenamed("element_uid", "uid")
+    return S.two_stage_paths(stages, T.run_edges(spark, d))
+
+
+@query(_LONGEST + """, wk AS (SELECT run_id, resource, sum(dur_us) AS work FROM spans GROUP BY 1, 2), sc AS (SELECT * FROM (VALUES ('few', 'PROCESS', 1), ('few', 'DOWNLOAD', 1), ('many', 'PROCESS', 8), ('many', 'OTHER', 4)) v(scenario, resource, c)),
+    nd AS (SELECT run_id, scenario, resource, ceil(work / c) AS need FROM wk JOIN sc USING (resource)), pr AS (SELECT run_id, scenario, max(need) AS need, arg_min(resource, (-need, resource)) AS tightest, sum(need) AS every FROM nd GROUP BY 1, 2)
+    SELECT run_id, scenario, CAST(greatest(total, need) AS BIGINT) AS lower_us, CAST(total + every AS BIGINT) AS upper_us, CASE WHEN need > total THEN tightest END AS bound_by FROM tot JOIN pr USING (run_id)""")
+def k_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    scenarios = {"few": {"PROCESS": 1, "DOWNLOAD": 1}, "many": {"PROCESS": 8, "OTHER": 4}}
+    return K.scenario_bounds(K.path_lengths(*_run(spark, d)), K.resource_work(T.spans(spark, d)), scenarios)

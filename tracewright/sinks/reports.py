@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def run_documents(blocks: dict[str, DataFrame], kind: str = "analyze", sections:
     return out.groupBy("run_id").agg(F.concat(F.lit(f'{{"schema":"{SCHEMAS[kind]}",'), body, F.lit("}")).alias("document"))
 
 
+def published_schema(blocks: dict[str, DataFrame], kind: str = "analyze") -> str:
+    """JSON text with the stamp of a document kind and the schema of each of its blocks."""
+    return json.dumps({"schema": SCHEMAS[kind], "blocks": {name: blocks[name].schema.jsonValue() for name in sorted(blocks)}})
+
+
 def attribution_csv(attribution: DataFrame) -> DataFrame:
     """(run_id, category, duration_us, duration_s, percent), ready for ``write.csv(header=True)``."""
     total = F.sum("dur_us").over(Window.partitionBy("run_id"))

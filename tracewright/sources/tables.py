@@ -46,10 +46,12 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph for each run over the elements of ``spans``: each depends on the second and the third before it."""
+    """A graph for each run over the elements of ``spans``: each depends on the second and the third before it, two on the one before."""
     users = read(spark, sf_dir, "events").select("user_id").distinct()
     pairs = [users.select(F.col("user_id").alias("p"), (F.col("user_id") + step).alias("s")) for step in (2, 3)]
-    both = pairs[0].unionAll(pairs[1]).join(users.select(F.col("user_id").alias("s")), "s").filter(run_of("p") == run_of("s"))
+    # the eighth element of a run comes after all before it and before all after it
+    pairs.append(users.filter((F.col("user_id") % RUN_ELEMENTS).isin(6, 7)).select(F.col("user_id").alias("p"), (F.col("user_id") + 1).alias("s")))
+    both = pairs[0].unionAll(pairs[1]).unionAll(pairs[2]).join(users.select(F.col("user_id").alias("s")), "s").filter(run_of("p") == run_of("s"))
     kind = F.when(F.col("p") % 20 == 8, "runtime").otherwise("build")
     return both.select(run_of("p").alias("run_id"), F.concat(F.lit("u"), "p").alias("predecessor"), F.concat(F.lit("u"), "s").alias("successor"), kind.alias("dependency_type"))
 
@@ -108,7 +110,7 @@ SQL = {
     "run_edges": f"""users AS (SELECT DISTINCT user_id FROM events),
         run_edges AS (SELECT a.user_id // {RUN_ELEMENTS} AS run_id, 'u' || a.user_id AS predecessor, 'u' || b.user_id AS successor,
         CASE WHEN a.user_id % 20 = 8 THEN 'runtime' ELSE 'build' END AS dependency_type
-        FROM users a JOIN users b ON b.user_id IN (a.user_id + 2, a.user_id + 3) AND a.user_id // {RUN_ELEMENTS} = b.user_id // {RUN_ELEMENTS})""",
+        FROM users a JOIN users b ON (b.user_id IN (a.user_id + 2, a.user_id + 3) OR (a.user_id % {RUN_ELEMENTS} IN (6, 7) AND b.user_id = a.user_id + 1)) AND a.user_id // {RUN_ELEMENTS} = b.user_id // {RUN_ELEMENTS})""",
     "run_elements": """run_elements AS (SELECT run_id, element_uid AS uid, max(dur_us) AS dur_us, CAST(sum(dur_us) AS BIGINT) AS dur_sum_us,
         CAST(substr(element_uid, 2) AS BIGINT) % 10 = 0 AS requested_target,
         CASE WHEN CAST(substr(element_uid, 2) AS BIGINT) % 7 = 0 THEN 'stack' ELSE 'manual' END AS element_kind
