@@ -100,6 +100,8 @@ def classified_gaps(gaps: DataFrame, tasks: DataFrame, capacities: dict[str, int
 
 def chain_waits(tasks: DataFrame, deps: DataFrame, capacities: dict[str, int], max_jobs: int | None) -> DataFrame:
     """(run_id, task_key, category, dur_us) of every task on the chain of its run: execution and waits."""
+    # used again and again below
+    tasks = shared_cut(tasks.select("run_id", "task_key", "element_uid", "task_kind", "phase", "attempt", "start_us", "finish_us", "ready_us", "resources"))
     pointers = shared_cut(blamed(tasks, deps))
     on = shared_cut(chain(tasks, pointers).join(pointers, ["run_id", "task_key"]).join(tasks.select("run_id", "task_key", "start_us", "finish_us", "resources"), ["run_id", "task_key"]))
     work = on.select("run_id", "task_key", F.lit("EXECUTION_ON_CHAIN").alias("category"), (F.col("finish_us") - F.col("start_us")).alias("dur_us"))
