@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm._common import table
 from tracewright.llm.best_fit_packing import pack_documents
+from tracewright.llm.embedding_whitening import whiten
 from tracewright.llm.exact_dedup import exact_dedup
 from tracewright.llm.language_id import language_id
 from tracewright.llm.license_scan import license_scan
@@ -18,6 +19,9 @@ from tracewright.llm.quality_classifier import classify_quality
 from tracewright.llm.secret_scan import scan_secrets
 from tracewright.llm.sentencepiece_codec import sentencepiece_digests
 from tracewright.llm.topk_search import topk_search
+from tracewright.llm.url_filter import filter_urls, repeated_addresses, rules_frame
+from tracewright.llm.url_filter import oracle as url_oracle
+from tracewright.llm.vector_codes import compress_vectors
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,6 +70,20 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the addresses that several pages share; all but their first page are blocked where no rule speaks."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, rules_frame(spark), repeated_addresses(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -79,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece_codec,
         op9_line_dedup,
         op10_topk_search,
+        op11_embedding_whitening,
+        op12_vector_codes,
+        op13_url_filter,
     )
 }
 
@@ -106,4 +127,5 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.k <> c.k AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_url_filter": url_oracle(),
 }
