@@ -8,7 +8,8 @@ full is packed again together with that of other shards, until one shard is left
 
 Defined results: null text is empty and packs as its end id alone; an empty text likewise;
 null ids are kept, and ids of all 64 bits come back as they are; repeated rows are packed
-each; a very long text is cut like any other, and encoded as one, as the library does;
+each; a very long text is cut like any other, and encoded as the library encodes the whole,
+long runs of white space included;
 pieces of equal length go by id and piece; an empty table gives no rows; other columns,
 whatever their names, are ignored.
 """
@@ -28,6 +29,8 @@ from tracewright.llm._common import cut, id_text, map_batches
 
 #: How this family of byte-level vocabularies cuts a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space (as the pattern has it) whose look-ahead would exhaust the pattern's stack.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 _TOKENIZERS: dict[str, Tokens] = {}
 
 
@@ -67,8 +70,24 @@ class Tokens:
 
                 self.own = Tokenizer.from_file(self.path)
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.concatenate([self._plain(p) if at % 2 == 0 else np.array(self.fast._encode_single_piece(p.encode()), "<u4") for at, p in enumerate(self._cut(text))])
+
+    def _plain(self, text: str) -> np.ndarray:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Stretches for the pattern and, between them, long runs of white space that it takes as one word.
+
+        Of a run with something after it, the last character belongs to what follows.
+        """
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += [text[at : run.start()], text[run.start() : end]]
+            at = end
+        return [*out, text[at:]]
+
 
 def tokens(path: str) -> Tokens:
     if path not in _TOKENIZERS:
