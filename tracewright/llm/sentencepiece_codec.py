@@ -8,7 +8,10 @@ another character, and none holds a line end, so words are independent.
 
 Merging all occurrences at once equals the library's one-by-one order unless a merge
 creates a pair of equal or better rank; such a word merges only its leftmost occurrence
-in that round, which is always exact.
+in that round, which is always exact. Words of more than ``ROUNDS_UP_TO`` symbols (runs of
+spaces, blobs without any) would need rounds in proportion to their length, each over all of
+it: their leading run of one symbol is merged in closed form, and what is left from an agenda
+of pairs by rank and place, which takes the length times its logarithm.
 
 Defined results: null and empty texts have no ids and an empty decoded text; null ids are
 kept; rows that repeat a document fare alike, each with a row of its own; of pairs of one
@@ -19,6 +22,7 @@ names, are ignored; texts of any length are processed whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -35,6 +39,8 @@ _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LATIN = "A-Za-z\u00c0-\u024f\u1e00-\u1eff"
 #: Where the kind of character changes; no merge reaches over it if no piece does.
 _EDGES = re.compile(f"(?<=[{_LATIN}])(?=[^{_LATIN}])|(?<=[^{_LATIN}{MARK}])(?=[{_LATIN}])")
+#: Symbols of a word that is merged in rounds, at most, and of a run worth the closed form, at least.
+ROUNDS_UP_TO, RUN = 1024, 256
 _CODECS: dict[str, Codec] = {}
 
 
@@ -65,6 +71,7 @@ class Codec:
         self.keys = np.array([k for k, _, _ in pairs], np.int64)
         self.ranks = np.array([r for _, r, _ in pairs], np.int32)
         self.merged = np.array([m for _, _, m in pairs], np.int64)
+        self.longest, self.width = max(map(len, ids), default=1), list(map(len, pieces))
         self.char_code = {p: i for p, i in ids.items() if len(p) == 1}
         self.bytes_of = [b" \xe2\x81\x87 " if k == _UNKNOWN else b"" if k == _CONTROL else bytes([int(p[1:-1], 16)]) if k == _BYTE else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         self.spelled = [str(i) for i in range(self.size)]
@@ -83,6 +90,70 @@ class Codec:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], _NONE), self.merged[at]
 
+    def _symbols(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        distinct, inverse = np.unique(points, return_inverse=True)
+        return np.array([self.char_code.get(chr(c), self.size + c) for c in distinct.tolist()], np.int64)[inverse]
+
+    def _one_pair(self, left: int, right: int) -> tuple[int, int]:
+        rank, into = self._pair(np.array([left]), np.array([right]))
+        return int(rank[0]), int(into[0])
+
+    def _leading_run(self, sym: np.ndarray) -> np.ndarray:
+        """``sym`` with the run of one symbol that it begins with merged as far as is certain.
+
+        Up to the rank of the run's own pair, merges go from the left, and what forms depends
+        only on the symbol before it. A short run shows it: where its second and third blocks are
+        as the first, so are all. What follows the run reaches no further back into it than the
+        longest piece.
+        """
+        while True:
+            other = np.flatnonzero(sym != sym[0])
+            n, a = int(other[0]) if len(other) else len(sym), int(sym[0])
+            rank, _ = self._one_pair(a, a)
+            if n < RUN + self.longest or rank == _NONE:
+                return sym
+            block, *next_ones = self._agenda(np.full(8 * self.longest, a, np.int64), rank)[:3]
+            size = self.width[block] // self.width[a]
+            blocks = (n - self.longest) // size - 2
+            if blocks < 1 or next_ones != [block, block]:
+                return sym
+            sym = np.concatenate([np.full(blocks, block, np.int64), sym[blocks * size :]])
+
+    def _agenda(self, symbols: np.ndarray, most: int = int(_NONE) - 1) -> list[int]:
+        """Symbols left of one word; pairs of rank ``most`` or better merge by rank, then from the left."""
+        n = len(symbols)
+        rank, _ = self._ranks(symbols, np.zeros(n, np.int64), np.arange(n))
+        first = np.flatnonzero(rank <= most)
+        heap = np.sort((rank[first].astype(np.int64) << 32) | first).tolist()  # sorted is a heap
+        sym, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        known: dict[int, tuple[int, int]] = {}
+
+        def pair(left: int, right: int) -> tuple[int, int]:
+            key = (left << _SHIFT) | right
+            if key not in known:
+                known[key] = self._one_pair(left, right)
+            return known[key]
+
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
+            j = after[i]
+            if sym[i] < 0 or j >= n:
+                continue
+            best, into = pair(sym[i], sym[j])
+            if best != entry >> 32:
+                continue  # of symbols that have merged since
+            k = after[j]
+            sym[i], sym[j], after[i] = into, -1, k
+            if k < n:
+                before[k] = i
+                if (new := pair(into, sym[k])[0]) <= most:
+                    heapq.heappush(heap, (new << 32) | i)
+            if (h := before[i]) >= 0 and (new := pair(sym[h], into)[0]) <= most:
+                heapq.heappush(heap, (new << 32) | h)
+        return [s for s in sym if s >= 0]
+
     def _ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs that begin at ``at``; the last symbol of a word begins none."""
         after = np.minimum(at + 1, len(sym) - 1)
@@ -92,12 +163,12 @@ class Codec:
     def merge(self, words: list[str]) -> list[list[int]]:
         """Symbols left of each word when no pair of its neighbours is a piece."""
         out: list[list[int]] = [[] for _ in words]
-        lengths = np.array([len(w) for w in words], np.int64)
+        for w in [w for w, text in enumerate(words) if len(text) > ROUNDS_UP_TO]:
+            out[w] = self._agenda(self._leading_run(self._symbols(words[w])))
+        lengths = np.array([len(w) if len(w) <= ROUNDS_UP_TO else 0 for w in words], np.int64)
         if not lengths.sum():
             return out
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        distinct, inverse = np.unique(points, return_inverse=True)
-        sym = np.array([self.char_code.get(chr(c), self.size + c) for c in distinct.tolist()], np.int64)[inverse]
+        sym = self._symbols("".join([w for w in words if len(w) <= ROUNDS_UP_TO]))
         word = np.repeat(np.arange(len(words)), lengths)
         rank, into = self._ranks(sym, word, np.arange(len(sym)))
         while len(sym):
