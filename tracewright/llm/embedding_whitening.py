@@ -31,7 +31,9 @@ from tracewright.llm._common import cut, slices
 from tracewright.llm._vectors import common_length, finite, narrowest, packed, unpacked, whole_numbers
 
 #: Directions beyond those asked for, which speed up the last ones; steps at most; certified residual.
-GUARDS, STEPS, TOLERANCE = 8, 1000, 1e-13
+GUARDS, STEPS, TOLERANCE = 12, 1000, 1e-13
+#: Bytes of the fit list in one task.
+TASK_BYTES = 32 << 20
 
 
 def fit_blocks(vectors: DataFrame, vec_col: str, dim: int) -> RDD:
@@ -50,7 +52,8 @@ def fit_blocks(vectors: DataFrame, vec_col: str, dim: int) -> RDD:
 
     once = vectors.select(vec_col).mapInArrow(keys, "x binary").distinct()  # copies meet before the shuffle and after it
     made = cut(once.mapInArrow(blocks, "width int, rows binary"))
-    return made.rdd.map(lambda r: np.frombuffer(r["rows"], f"<i{r['width']}").reshape(-1, dim))
+    held = made.agg(F.sum(F.length("rows"))).first()[0] or 0  # every step is a job: its tasks should each have enough to do
+    return made.rdd.coalesce(max(made.sparkSession.sparkContext.defaultParallelism, -(-held // TASK_BYTES))).map(lambda r: np.frombuffer(r["rows"], f"<i{r['width']}").reshape(-1, dim))
 
 
 def summed(blocks: RDD, of: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
