@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for the base kinds. Then all URL escapes of it, all unicode escapes,
-and each encoded region (base64, and gzip, zlib, bzip2 or raw deflate bytes inside base64)
-are unwrapped one after another from a worklist; each decoded layer is scanned again in full and may add further ones.
+and each encoded region (base64, and gzip, zlib, bzip2 or raw deflate bytes inside base64 or
+written as escapes) are unwrapped one after another from a worklist; each decoded layer is scanned again in full and may add further ones.
 A layer that was already seen at the same place of its document is not visited twice, so
 the worklist ends; the same encoded text at another place is a finding of its own. Findings of a layer are mapped back to code points of the original text.
 
@@ -11,10 +11,13 @@ document fare alike, each with a row of its own; empty tables give empty results
 columns, whatever their names, are ignored; spans found twice at one place count once. A
 very long text is scanned to its end. Bytes that are no text are scanned for their readable
 stretches. Compressed bytes are unpacked to their end, all members and all layers inside one
-another, in overlapping windows; inside them, only what is encoded in one run of more than
-``HOLD`` bytes, or a secret of more than ``OVERLAP`` bytes whose keyword lies in an earlier
-window, is seen in parts. Bytes that unpack to themselves are given up. Raw deflate has no
-header: it is looked for where a run begins, and after each of its ``/``, ``_``, ``-`` and ``+``.
+another, in overlapping windows. A secret that is longer than the overlap is found in the
+window of its keyword, and all findings there have the region's place. Inside compressed bytes
+one run of more than ``HOLD`` base64 characters is decoded in overlapping parts: text in it is
+found, a compressed member that crosses parts only as far as its first one. Levels of which
+``ALIKE`` begin with the same 4,096 bytes hold themselves and are given up. Raw deflate has no
+header: it is looked for where a run begins, and after each of its ``/``, ``_``, ``-`` and ``+``,
+of spelled-out bytes after each quote, ``=`` and ``:``.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+#: A line end, or one that is spelled out (any number of times).
+_NEXT_LINE = re.compile(r"(?:[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n)([A-Za-z0-9+/_-]+={0,2})")
 _SIGN = re.compile(r"[+/]")
 _STANDARD = str.maketrans("-_", "+/")
 #: gzip, bzip2, and zlib with any window: its second byte makes the first two divisible by 31, and asks for no dictionary.
@@ -47,6 +51,15 @@ _HEADER = re.compile(b"|".join([rb"\x1f\x8b\x08", rb"BZh[1-9]1AY&SY", *map(re.es
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"[\\%]u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,6})\}|\\U(00[01][0-9A-Fa-f]{5})")
+#: Bytes written as text: escapes among printable characters that stand for themselves.
+_URL_BYTES, _URL_BYTE = re.compile("[!-~]+"), re.compile("%([0-9A-Fa-f]{2})()")
+_C_BYTES, _C_BYTE = re.compile("[ -~]+"), re.compile(r"""\\(?:x([0-9A-Fa-f]{2})|u00([0-9A-Fa-f]{2})|[abfnrtv0\\'"/])""")
+_C_NAMED = dict(zip("abfnrtv0\\'\"/", "\a\b\f\n\r\t\v\0\\'\"/", strict=True))
+_OPENED = re.compile(rb"[\"'=:]")
+#: Spaces in a row that are kept of decompressed bytes: between a keyword and its value any number may stand.
+_SPACES = re.compile(rb" {512,}")
+#: Levels of compressed bytes that may begin alike.
+ALIKE = 8
 #: Decompressed bytes scanned at once, how far windows of them overlap, and how long a run of base64 characters may make one.
 PART, OVERLAP, HOLD = 1 << 20, 1 << 16, 1 << 24
 _RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
@@ -167,7 +180,7 @@ def _contents(raw: memoryview, used: list[int], bare: bool = False):
                 if len(data) < 10 and not (k == 0 and fed == len(raw)):
                     continue
                 packed = _HEADER.match(data)
-                if packed and (k > len(raw) or any(h[:4096] == data[:4096] for h in heads[:k])):
+                if packed and (k > len(raw) or sum(h[:4096] == data[:4096] for h in heads[:k]) >= ALIKE):
                     return  # it holds itself, or goes on without end
                 machines[k] = _machine(data) if packed else False
             if machines[k] is False:
@@ -204,7 +217,7 @@ def _windows(parts):
     """Texts of the parts, which overlap; a run of base64 characters is not cut below ``HOLD``."""
     held, fresh = b"", False
     for part in parts:
-        held, fresh = held + part, True
+        held, fresh = _SPACES.sub(b" " * 512, held + part), True
         if len(held) < PART or len(held) < HOLD and not held[-OVERLAP:].rstrip(_RUN):
             continue
         yield _texts(held)
@@ -217,13 +230,20 @@ def _texts(raw: bytes) -> str:
     return "\ufffd".join(m[0].decode("ascii") for m in _STRETCH.finditer(raw))
 
 
-def _unpacked(raw: bytes, region):
-    """(start, end, text) of all that compressed members in ``raw`` hold, window by window."""
+def _unpacked(raw: bytes, region, exact: bool = False):
+    """(start, end, text) of all that compressed members in ``raw`` hold, window by window.
+
+    ``exact``: a region ends with its members, which are read once before for it, else with ``raw``.
+    """
     at = 0
     while m := _HEADER.search(raw, at):
-        used = [0]
+        used, end = [0], len(raw)
+        if exact:
+            for _ in _contents(memoryview(raw)[m.start() :], used):
+                pass
+            end = m.start() + used[0] if used[0] else end
         for text in _windows(_contents(memoryview(raw)[m.start() :], used)):
-            yield *region(m.start(), len(raw)), text
+            yield *region(m.start(), end), text
         at = m.start() + max(1, used[0])
 
 
@@ -237,13 +257,17 @@ def _opens(raw: bytes, at: int, bits: int) -> bool:
 
 def _ends(raw: bytes, at: int) -> bool:
     """Whether a raw deflate stream goes from there to the end of ``raw``."""
-    machine, rest = zlib.decompressobj(-15), raw[at:]
+    machine, view = zlib.decompressobj(-15), memoryview(raw)
     try:
-        while not machine.eof and (machine.decompress(rest, PART) or machine.unconsumed_tail):
-            rest = machine.unconsumed_tail
+        for lo in range(at, len(raw), 1 << 14):
+            rest = view[lo : lo + (1 << 14)]
+            while not machine.eof and (machine.decompress(rest, PART) or machine.unconsumed_tail):
+                rest = machine.unconsumed_tail
+            if machine.eof:
+                return len(raw) - lo - (1 << 14) + len(machine.unused_data) <= 2 if lo + (1 << 14) < len(raw) else len(machine.unused_data) <= 2
     except zlib.error:
         return False
-    return machine.eof and len(machine.unused_data) <= 2
+    return False
 
 
 def _inflated(raw: bytes, at: int, region):
@@ -316,6 +340,34 @@ def _unwrapped(body: str, places: _Places, end: int):
             break
 
 
+def _spelled(text: str):
+    """(bytes, region) of each stretch of ``text`` that spells bytes out, by URL escapes or as in a program."""
+    for stretches, escape in ((_URL_BYTES, _URL_BYTE), (_C_BYTES, _C_BYTE)):
+        for m in stretches.finditer(text) if escape.search(text) else ():
+            if not escape.search(text, m.start(), m.end()):
+                continue
+            out, last = _Places(), m.start()
+            for e in escape.finditer(text, m.start(), m.end()):
+                out.add(text[last : e.start()], last)
+                code = e[1] or e[2]
+                out.add(chr(int(code, 16)) if code else _C_NAMED[e[0][1]], e.start(), e.end())
+                last = e.end()
+            out.add(text[last : m.end()], last)
+            plain, places = out.done()
+            yield plain.encode("latin-1"), places.span
+
+
+def _packed(text: str):
+    """An iterator of (start, end, decoded text) for each stretch of spelled-out bytes that holds compressed ones."""
+    for raw, region in _spelled(text):
+        if _HEADER.search(raw):
+            yield _unpacked(raw, region, exact=True)
+        for at in (0, *(m.end() for m in _OPENED.finditer(raw))):
+            if not _HEADER.match(raw, at) and _opens(raw, at, -15) and _ends(raw, at):
+                yield _inflated(raw, at, region)
+                break
+
+
 def _layers(text: str):
     """(start, end, decoded text, places or None) of each encoded region of one layer, or an iterator of the same.
 
@@ -325,6 +377,8 @@ def _layers(text: str):
         yield 0, len(text), *_percent(text)
     if ("\\" in text or "%u" in text) and _UNICODE.search(text):
         yield 0, len(text), *_unescape(text)
+    for x in _packed(text):
+        yield ((*y, None) for y in x)
     for block in _blocks(text):
         for x in _unwrapped(*block):
             yield (*x, None) if isinstance(x, tuple) else ((*y, None) for y in x)
