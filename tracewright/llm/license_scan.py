@@ -3,18 +3,22 @@
 Blocks are runs of words, wherever lines end: for each template, all runs a quarter longer
 than it (so that foreign words may stand in between). Templates are a fixed list of notices,
 whole ones and single sentences; blocks and templates are word sets. A block is found when
-it holds at least ``threshold`` of a template's words; templates of fewer than ``WHOLE_BELOW``
+it holds at least ``threshold`` of a template's words; templates of fewer than ``whole_below``
 words, in which one word makes another license, must be there whole.
 
-One pass over the texts takes words, phrases, and the words of the templates that each text
-holds. Frequencies over all documents order the words of a template, rarest first. Then
+Frequencies over all documents order the words of each template, rarest first, and so say which
+of them make its prefix: so many that no block can hold enough words and none of them. Then
 
-* length filter: a text, and then a run, must hold enough of a template's words;
-* prefix filter: a run must hold a word of the template's prefix;
-* positional filter: enough words must be left in the order from the rarest one held;
-* what passes is verified by counting distinct words.
+* prefix filter: only texts that hold a prefix word of a template are looked at for it, and in
+  them only the runs near one, found through an index of the prefix words alone;
+* length filter: a text must hold enough of a template's words;
+* positional filter: around a prefix word, no more of the template can come than the words
+  after the rarest one there, nor than the different ones that stand near;
+* verification: a word at one place is new to the blocks that begin after its last occurrence,
+  so a running sum over beginnings and ends counts the different words of every block in one
+  sweep, whatever repeats.
 
-Templates are a constant of a few hundred words, so their side is broadcast.
+All of it takes time in proportion to the text. Stretches of a long text are tasks of their own.
 
 Defined results: null text is empty, and an empty text has no words; null ids are kept;
 rows that repeat a document fare alike, each with a row of its own; a very long text is
@@ -27,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm._common import cut, small_enough
@@ -70,13 +74,13 @@ NOTICES = (
 
 #: Words of each notice, with its label.
 TEMPLATES = tuple((label, re.findall(r"[a-z0-9]+", text.lower())) for label, text in NOTICES)
-#: Templates of fewer different words must be there whole.
+#: Templates of fewer different words must be there whole, unless asked for otherwise.
 WHOLE_BELOW = 15
 
 
-def needed(n: int, threshold: float) -> int:
+def needed(n: int, threshold: float, whole_below: int = WHOLE_BELOW) -> int:
     """How many of the ``n`` different words of a template a block must hold."""
-    return n if n < WHOLE_BELOW else math.ceil(threshold * n - 1e-9)
+    return n if n < whole_below else math.ceil(threshold * n - 1e-9)
 
 
 def run_length(n_words: int) -> int:
@@ -103,26 +107,50 @@ def _places(words: Column, phrase: tuple[str, ...], lead: Column) -> Column:
     return F.when(F.size(words) >= len(phrase), found).otherwise(F.array().cast("array<int>"))
 
 
-def _scanned(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_words, places and labels of phrases, held, wanted, words), one row per input row.
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, words): what stands between separators; the first and the last one may be empty."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.split(lowered(F.coalesce(F.col(text_col), F.lit(""))), BETWEEN, -1).alias("words"))
 
-    ``held``: the different words of templates in the text; ``wanted``: numbers of the
-    templates of which it holds enough; ``words`` only where there is one.
+
+def ranked(words: DataFrame, threshold: float = 0.8, whole_below: int = WHOLE_BELOW) -> DataFrame:
+    """(word, template, rank, size, need, run, label): words of templates, rarest in the documents first."""
+    sets = [sorted(set(ws)) for _, ws in TEMPLATES]
+    vocabulary = F.array(*map(F.lit, sorted({w for ws in sets for w in ws})))
+    often = words.select(F.explode(F.array_intersect("words", vocabulary)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    n = {r["word"]: r["n"] for r in often.collect()}  # at most one row per word of the templates
+    rows = [
+        f"('{w}', {t}, {i}, {len(ws)}, {needed(len(ws), threshold, whole_below)}, {run_length(len(TEMPLATES[t][1]))}, '{TEMPLATES[t][0]}')"
+        for t, ws in enumerate(sets)
+        for i, w in enumerate(sorted(ws, key=lambda w: (n.get(w, 0), w)))
+    ]
+    return words.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(word, template, rank, size, need, run, label)")
+
+
+def in_prefix() -> Column:
+    """Whether a word is among so many of the rarest that the others are fewer than needed."""
+    return F.col("rank") <= F.col("size") - F.col("need")
+
+
+def _scanned(words: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, n_words, places and labels of phrases, wanted, words), one row per input row.
+
+    ``wanted``: numbers of the templates of which a prefix word and enough words are there;
+    ``words`` only where there is one.
     """
-    sets = [sorted(set(words)) for _, words in TEMPLATES]
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for ws in sets for w in ws})])
-    # some of any |template| - need + 1 words must be there; the longest ones are the quickest to miss
-    longest = F.array(*[F.lit(w) for w in sorted({w for ws in sets for w in sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - needed(len(ws), threshold) + 1]})])
-    enough = [F.when(F.size(F.array_intersect("held", F.array(*map(F.lit, ws)))) >= needed(len(ws), threshold), F.lit(t)) for t, ws in enumerate(sets)]
+    known: dict[int, list] = {}
+    for r in index.sort("template", "rank").collect():  # a constant, however many documents there are
+        known.setdefault(r["template"], []).append(r)
+    sets = {t: ([r["word"] for r in own], [r["word"] for r in own[: own[0]["size"] - own[0]["need"] + 1]], own[0]["need"]) for t, own in known.items()}
+    listed = lambda ws: F.array(*map(F.lit, ws))
+    prefixes = listed(sorted({w for _, prefix, _ in sets.values() for w in prefix}))
+    enough = [F.when(F.arrays_overlap("rare", listed(prefix)), F.when(F.size(F.array_intersect("words", listed(every))) >= need, F.lit(t))) for t, (every, prefix, need) in sets.items()]
     none = F.array().cast("array<int>")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(lowered(F.coalesce(F.col(text_col), F.lit(""))), BETWEEN, -1).alias("words"))
-    # what stands before a first separator or after a last one may be empty
     lead = (F.get("words", F.lit(0)) == "").cast("int")
     last = ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
-    rows = rows.select("doc_id", "words", lead.alias("lead"), (F.size("words") - lead - last).cast("long").alias("n_words"), F.array_intersect("words", vocabulary).alias("held"))
-    named = [F.when(F.array_contains("held", "license"), _places(F.col("words"), phrase, F.col("lead"))).otherwise(none).alias(f"at_{label}") for label, phrase in PHRASES]
-    rows = rows.select("doc_id", "n_words", "held", "words", *named, F.when(F.arrays_overlap("held", longest), F.array_compact(F.array(*enough))).otherwise(none).alias("wanted"))
+    rows = words.select("doc_id", "words", lead.alias("lead"), (F.size("words") - lead - last).cast("long").alias("n_words"), F.array_intersect("words", prefixes).alias("rare"))
+    named = [F.when(F.array_contains("words", phrase[-1]), _places(F.col("words"), phrase, F.col("lead"))).otherwise(none).alias(f"at_{label}") for label, phrase in PHRASES]
+    rows = rows.select("doc_id", "n_words", "words", *named, F.when(F.size("rare") > 0, F.array_compact(F.array(*enough))).otherwise(none).alias("wanted"))
     starts = F.concat(*[F.col(f"at_{label}") for label, _ in PHRASES])
     labels = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label, _ in PHRASES]))
     return rows.select(
@@ -132,57 +160,68 @@ def _scanned(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         labels.alias("named"),
-        "held",
         "wanted",
         F.when(F.size("wanted") > 0, F.col("words")).alias("words"),
     )
 
 
-def _found(scanned: DataFrame, threshold: float) -> DataFrame:
-    """(found_row, found, share): labels and largest share of the templates found in a row."""
-    # frequencies over all documents; at most one row per word of the templates comes back
-    often = {r["word"]: r["n"] for r in scanned.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    ranked = [{w: i for i, w in enumerate(sorted(set(words), key=lambda w: (often.get(w, 0), w)))} for _, words in TEMPLATES]
-    values = ", ".join(
-        f"({t}, '{w}', {i}, {len(ranks)}, {needed(len(ranks), threshold)}, {run_length(len(TEMPLATES[t][1]))}, '{TEMPLATES[t][0]}')" for t, ranks in enumerate(ranked) for w, i in ranks.items()
-    )
-    notices = F.broadcast(scanned.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(template, word, rank, size, need, run, label)"))
+_STRETCH = ["row", "template", "stretch"]
+
+
+def candidates(scanned: DataFrame, index: DataFrame, prefix: Column) -> DataFrame:
+    """(row, template, stretch, rarest): where blocks may begin, in stretches of one run, from the index of prefix words."""
+    words = scanned.filter(F.size("wanted") > 0).select("row", "wanted", F.posexplode("words").alias("place", "word"))
+    rare = words.join(F.broadcast(index.filter(prefix)), "word").filter(F.array_contains("wanted", F.col("template")))
+    at = F.floor(F.col("place") / F.col("run")).cast("int")
+    # a block that holds the word begins in its own stretch or in the one before
+    return rare.select("row", "template", "rank", F.explode(F.array(at - 1, at)).alias("stretch")).groupBy(*_STRETCH).agg(F.min("rank").alias("rarest"))
+
 
+def bounded(scanned: DataFrame, index: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts`` with the hits in reach (two runs of words at most), of those that the positional bound leaves."""
     words = scanned.filter(F.size("wanted") > 0).select("row", "wanted", F.posexplode("words").alias("place", "word"))
-    hits = words.join(notices, "word").filter(F.array_contains("wanted", F.col("template")))
-    per = hits.groupBy("row", "template", "size", "need", "run", "label").agg(F.array_sort(F.collect_list(F.struct("place", "rank"))).alias("hits"))  # of one text
-    # length filter: a run that begins at a hit reaches as far as the need-th one
-    near = lambda i: F.get(F.col("hits"), i + F.col("need") - 1)["place"] < F.get(F.col("hits"), i)["place"] + F.col("run")
-    begins = per.filter(F.size("hits") >= F.col("need")).select("*", F.explode(F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("need")), near)).alias("i"))
-    within = F.filter(F.slice("hits", F.col("i") + 1, F.col("run")), lambda x: x["place"] < F.get(F.col("hits"), F.col("i"))["place"] + F.col("run"))
-    blocks = begins.select("row", "label", "size", "need", F.array_sort(F.array_distinct(F.transform(within, lambda x: x["rank"]))).alias("ranks"))
-    rarest = F.get("ranks", F.lit(0))
-    prefix = rarest <= F.col("size") - F.col("need")
-    positional = F.least(F.size("ranks"), F.col("size") - rarest) >= F.col("need")
-    verified = F.size("ranks") >= F.col("need")
-    return blocks.filter(prefix & positional & verified).groupBy(F.col("row").alias("found_row")).agg(F.collect_set("label").alias("found"), F.max(F.size("ranks") / F.col("size")).alias("share"))
-
-
-def license_scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    hits = words.join(F.broadcast(index), "word").filter(F.array_contains("wanted", F.col("template")))
+    at = F.floor(F.col("place") / F.col("run")).cast("int")
+    near = hits.select("row", "template", "place", "rank", "size", "need", "run", "label", F.explode(F.array(at - 1, at)).alias("stretch")).join(starts, _STRETCH)
+    per = near.groupBy(*_STRETCH, "size", "need", "run", "label", "rarest").agg(F.size(F.collect_set("rank")).alias("different"), F.collect_list(F.struct("place", "rank")).alias("hits"))
+    return per.filter(F.least("different", F.col("size") - F.col("rarest")) >= F.col("need")).drop("different", "rarest")
+
+
+def verified(blocks: DataFrame) -> DataFrame:
+    """(row, label, share): the most different words of any block that begins in a stretch, where they are enough."""
+    each = blocks.select(*_STRETCH, "size", "need", "run", "label", F.inline("hits"))
+    before = F.lag("place").over(Window.partitionBy(*_STRETCH, "rank").orderBy("place"))
+    # the word at a place is new to the blocks that begin after its last one, reach it and do not begin after it
+    opens = F.greatest(F.coalesce(before, F.col("place") - F.col("run")), F.col("place") - F.col("run")) + 1
+    steps = each.select("*", opens.alias("opens")).select(*_STRETCH, "size", "need", "label", F.inline(F.array(F.struct(F.col("opens").alias("at"), F.lit(1).alias("step")), F.struct((F.col("place") + 1).alias("at"), F.lit(-1).alias("step")))))
+    summed = steps.groupBy(*_STRETCH, "size", "need", "label", "at").agg(F.sum("step").alias("step"))
+    held = F.sum("step").over(Window.partitionBy(*_STRETCH).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return summed.select("row", "label", "size", "need", held.alias("held")).filter(F.col("held") >= F.col("need")).groupBy("row", "label").agg(F.max(F.col("held") / F.col("size")).alias("share"))
+
+
+def license_scan(docs: DataFrame, threshold: float = 0.8, whole_below: int = WHOLE_BELOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per input row.
 
     ``score``: the largest share of a template found in a block, 1 where a phrase stands, else 0.
     """
-    scanned = cut(_scanned(docs, threshold, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    found = cut(_found(scanned, threshold))
+    words = _words(docs, id_col, text_col)
+    index = ranked(words, threshold, whole_below)
+    scanned = cut(_scanned(words, index).withColumn("row", F.monotonically_increasing_id()))
+    blocks = bounded(scanned, index, candidates(scanned, index, in_prefix()))
+    found = cut(verified(blocks).groupBy(F.col("row").alias("found_row")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share")))
     if small_enough(found, 128):
         found = F.broadcast(found)
-    joined = scanned.drop("words", "held", "wanted").join(found, F.col("row") == F.col("found_row"), "left")
+    joined = scanned.drop("words", "wanted").join(found, F.col("row") == F.col("found_row"), "left")
     every = F.array_union("named", F.coalesce("found", F.array().cast("array<string>")))
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("named"), ",").alias("base_labels"), F.array_join(F.array_sort(every), ",").alias("labels"), score.alias("score"))
 
 
-def oracle(threshold: float = 0.8) -> str:
+def oracle(threshold: float = 0.8, whole_below: int = WHOLE_BELOW) -> str:
     """The same rows by counting, for every word of a template in a text, the different ones in the run that begins there."""
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    notices = ", ".join(f"({t}, '{label}', {len(set(ws))}, {needed(len(set(ws)), threshold)}, {run_length(len(ws))}, {sorted(set(ws))!r})" for t, (label, ws) in enumerate(TEMPLATES))
+    notices = ", ".join(f"({t}, '{label}', {len(set(ws))}, {needed(len(set(ws)), threshold, whole_below)}, {run_length(len(ws))}, {sorted(set(ws))!r})" for t, (label, ws) in enumerate(TEMPLATES))
     starts = " UNION ALL ".join(
         f"SELECT k, i - 1 AS pos, '{label}' AS label FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')) WHERE "
         + " AND ".join(f"w[i + {k}] = '{x}'" if k else f"w[i] = '{x}'" for k, x in enumerate(phrase))
