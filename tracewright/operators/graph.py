@@ -9,6 +9,7 @@ Ties between equally long paths go to the smaller uid.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import pandas as pd
@@ -20,19 +21,33 @@ class CycleError(ValueError):
     """The edges of some run hold a cycle."""
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of this machine only where the master is local (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        if spark not in _LOCAL:
+            _LOCAL[spark] = tempfile.mkdtemp(prefix="tracewright-")
+        folder = _LOCAL[spark]
+    return folder.rstrip("/")
+
+
+_LOCAL: dict[SparkSession, str] = {}
+
+
 def shared_cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the checkpoint folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if sc.master != "local" and not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="tracewright-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """``df`` written in the checkpoint folder that all executors share, and read from there.
+
+    Unlike a checkpoint, a table that is read has its own size, so that the plans of a loop
+    neither carry nor multiply the estimates of the rounds before.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- set-based operators -------------------------------------------------------------

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import graphs, logs, structures, tasks, usage
+from tracewright.plans import graphs, logs, structures, tasks, usage, wide
 
-FAMILIES = (tasks, graphs, logs, usage, structures)
+FAMILIES = (tasks, graphs, logs, usage, structures, wide)
 
 
 def queries() -> dict:
