@@ -352,3 +352,37 @@ def test_streaming_pairs(spark, tmp_path):
     q.stop()
     closed = spark.table("paired_out").filter("state = 'closed'").count()
     assert closed == X.paired(events).filter("NOT open").count() > 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_islands_in_stretches(spark, seed):
+    """Any width of stretches gives what one sweep gives."""
+    rng = random.Random(seed)
+    rows = [(i % 2, rng.randint(0, 400), rng.choice((0, 1, 3, 9, 60))) for i in range(90)]
+    tasks = spark.createDataFrame([(r, a, a + n) for r, a, n in rows], "run_id long, ts_us long, finish_us long").cache()
+    queue = tasks.selectExpr("run_id", "ts_us AS ready_us", "finish_us AS start_us")
+    plain = [sorted(map(tuple, f(*a, bucket_us=None).collect())) for f, a in ((I.merged, (tasks,)), (I.gaps, (tasks,)), (I.filled_timeline, (tasks,)), (I.queue_depth, (queue,)))]
+    for width in (1, 7, 50, 10**6):
+        assert [sorted(map(tuple, f(*a, bucket_us=width).collect())) for f, a in ((I.merged, (tasks,)), (I.gaps, (tasks,)), (I.filled_timeline, (tasks,)), (I.queue_depth, (queue,)))] == plain
+    tasks.unpersist()
+
+
+def test_long_runs_are_counted(spark, monkeypatch):
+    tasks = spark.range(1000).selectExpr("id % 4 AS run_id", "id * 10 AS ts_us", "id * 10 + 15 AS finish_us")
+    assert I.stretch_us(tasks, ("run_id",), "ts_us", "finish_us") is None
+    before = sorted(map(tuple, I.occupancy(tasks).collect()))
+    monkeypatch.setattr(I, "LONG_RUN", 50)
+    width = I.stretch_us(tasks, ("run_id",), "ts_us", "finish_us")
+    assert 1500 <= width <= 2500
+    assert sorted(map(tuple, I.occupancy(tasks).collect())) == before
+    assert I.stretch_us(tasks.limit(0), ("run_id",), "ts_us", "finish_us") is None
+
+
+def test_a_gap_in_the_classes_shows(spark):
+    """The categories do not add up where one is left out: idle time does not take the rest."""
+    t = [(0, "a|BUILD|BUILD|0", "a", "BUILD", "BUILD", 0, 0, 10, 0, ["PROCESS"]), (0, "b|BUILD|BUILD|0", "b", "BUILD", "BUILD", 0, 14, 20, 0, ["PROCESS"])]
+    tasks = spark.createDataFrame(t, "run_id long, task_key string, element_uid string, task_kind string, phase string, attempt long, start_us long, finish_us long, ready_us long, resources array<string>")
+    deps = spark.createDataFrame([(0, "b|BUILD|BUILD|0", "a|BUILD|BUILD|0")], "run_id long, task_key string, pred_key string")
+    parts = B.attribution(tasks, deps, {"PROCESS": 1}, 1)
+    assert B.reconciliation(parts, tasks).first().gap_us == 0
+    assert B.reconciliation(parts.filter("category = 'EXECUTION_ON_CHAIN'"), tasks).first().gap_us == 4

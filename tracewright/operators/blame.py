@@ -50,18 +50,30 @@ def blamed(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def chain(tasks: DataFrame, pointers: DataFrame) -> DataFrame:
-    """(run_id, task_key) on the chain of each run, from its last task back; by pointer jumping."""
-    last = tasks.groupBy("run_id").agg(F.min_by("task_key", F.struct(-F.col("finish_us"), "task_key")).alias("task_key"))
-    reached = shared_cut(last)
-    jump = shared_cut(pointers.filter("pred_key IS NOT NULL").select("run_id", "task_key", "pred_key"))
+    """(run_id, task_key) on the chain of each run, from its last task back; by pointer jumping over materialised ``pointers``.
+
+    A round takes three doublings in one plan: what is reached, then as far again, and so on.
+    It is over when each run has reached a task without a pointer.
+    """
+    keys = ["run_id", "task_key"]
+    first = pointers.select("run_id", "task_key", "pred_key")
+    jump = first.filter("pred_key IS NOT NULL")
+    reached = tasks.groupBy("run_id").agg(F.min_by("task_key", F.struct(-F.col("finish_us"), "task_key")).alias("task_key"))
+
+    def twice(j: DataFrame) -> DataFrame:
+        further = j.select("run_id", F.col("task_key").alias("pred_key"), F.col("pred_key").alias("further"))
+        return j.join(further, ["run_id", "pred_key"]).select("run_id", "task_key", F.col("further").alias("pred_key"))
+
     while True:
-        step = reached.join(jump, ["run_id", "task_key"]).select("run_id", F.col("pred_key").alias("task_key")).distinct()
-        fresh = shared_cut(step.join(reached, ["run_id", "task_key"], "left_anti"))
-        if fresh.limit(1).count() == 0:
+        hops = [jump, twice(jump)]
+        hops.append(twice(hops[1]))
+        for hop in hops:
+            reached = reached.unionByName(reached.join(hop, keys).select("run_id", F.col("pred_key").alias("task_key")))
+        reached = shared_cut(reached)
+        ends = reached.join(first, keys, "left").agg(F.count(F.when(F.col("pred_key").isNull(), 1)), F.countDistinct("run_id")).first()
+        if ends[0] == ends[1]:
             return reached
-        reached = shared_cut(reached.unionByName(fresh))
-        further = jump.select("run_id", F.col("task_key").alias("pred_key"), F.col("pred_key").alias("further"))
-        jump = shared_cut(jump.join(further, ["run_id", "pred_key"]).select("run_id", "task_key", F.col("further").alias("pred_key")))
+        jump = shared_cut(twice(hops[2]))
 
 
 def classified_gaps(gaps: DataFrame, tasks: DataFrame, capacities: dict[str, int], max_jobs: int | None, width: int = 600_000_000) -> DataFrame:
@@ -82,11 +94,11 @@ def classified_gaps(gaps: DataFrame, tasks: DataFrame, capacities: dict[str, int
     held = I.overlap_join(waits, taken, ["run_id", "resource"], ("g0", "g1"), ("h0", "h1"), width).filter("holder <> task_key")
     clipped = held.select(*keys, "resource", "limit", F.greatest("g0", "h0").alias("ts_us"), F.least("g1", "h1").alias("finish_us"))
     full = I.slices(clipped, (*keys, "resource", "limit")).filter(F.col("n_active") >= F.col("limit"))
-    busy = shared_cut(I.merged(full, tuple(keys), "start_us", "end_us").select(*keys, "start_us", "end_us"))
+    busy = shared_cut(I.merged(full, tuple(keys), "start_us", "end_us", None).select(*keys, "start_us", "end_us"))
     edges = gaps.select(*keys, F.col("g0").alias("start_us"), F.col("g0").alias("end_us")).unionByName(busy).unionByName(gaps.select(*keys, F.col("g1").alias("start_us"), F.col("g1").alias("end_us")))
     after = F.lead("start_us").over(Window.partitionBy(*keys).orderBy("start_us", "end_us"))
     free = edges.select(*keys, F.col("end_us").alias("f0"), after.alias("f1")).filter("f1 > f0")
-    running = I.slices(tasks, ("run_id",), "start_us", "finish_us").select("run_id", F.col("start_us").alias("s0"), F.col("end_us").alias("s1"), "n_active")
+    running = I.slices(tasks, ("run_id",), "start_us", "finish_us", I.AUTO).select("run_id", F.col("start_us").alias("s0"), F.col("end_us").alias("s1"), "n_active")
     seen = I.overlap_join(free, running, ["run_id"], ("f0", "f1"), ("s0", "s1"), width).groupBy(*keys, "f0").agg(F.sum(F.least("f1", "s1") - F.greatest("f0", "s0")).alias("covered"), F.min("n_active").alias("least"))
     room = F.lit(False) if max_jobs is None else (F.coalesce("covered", F.lit(0)) < F.col("f1") - F.col("f0")) | (F.col("least") < max_jobs)
     open_ = free.join(seen, [*keys, "f0"], "left").select(*keys, F.col("f0").alias("start_us"), F.col("f1").alias("end_us"), F.when(room, "SCHEDULER_WAIT").alias("category"))
@@ -98,23 +110,35 @@ def classified_gaps(gaps: DataFrame, tasks: DataFrame, capacities: dict[str, int
     return named.groupBy(*keys, "category").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("dur_us"))
 
 
-def chain_waits(tasks: DataFrame, deps: DataFrame, capacities: dict[str, int], max_jobs: int | None) -> DataFrame:
-    """(run_id, task_key, category, dur_us) of every task on the chain of its run: execution and waits."""
+def _chain_parts(tasks: DataFrame, deps: DataFrame, capacities: dict[str, int], max_jobs: int | None) -> tuple[DataFrame, DataFrame]:
+    """The tasks on the chain of each run with their pointers, and execution and waits of each."""
     # used again and again below
     tasks = shared_cut(tasks.select("run_id", "task_key", "element_uid", "task_kind", "phase", "attempt", "start_us", "finish_us", "ready_us", "resources"))
     pointers = shared_cut(blamed(tasks, deps))
     on = shared_cut(chain(tasks, pointers).join(pointers, ["run_id", "task_key"]).join(tasks.select("run_id", "task_key", "start_us", "finish_us", "resources"), ["run_id", "task_key"]))
     work = on.select("run_id", "task_key", F.lit("EXECUTION_ON_CHAIN").alias("category"), (F.col("finish_us") - F.col("start_us")).alias("dur_us"))
     gaps = on.filter("gap_us IS NOT NULL").select("run_id", "task_key", F.col("gap_us").alias("g0"), F.col("start_us").alias("g1"), "resources", "is_retry")
-    return work.unionByName(classified_gaps(gaps, tasks, capacities, max_jobs)).filter("dur_us > 0")
+    return on, work.unionByName(classified_gaps(gaps, tasks, capacities, max_jobs)).filter("dur_us > 0")
+
+
+def chain_waits(tasks: DataFrame, deps: DataFrame, capacities: dict[str, int], max_jobs: int | None) -> DataFrame:
+    """(run_id, task_key, category, dur_us) of every task on the chain of its run: execution and waits."""
+    return _chain_parts(tasks, deps, capacities, max_jobs)[1]
 
 
 def attribution(tasks: DataFrame, deps: DataFrame, capacities: dict[str, int], max_jobs: int | None) -> DataFrame:
-    """(run_id, category, dur_us), adding up to each run's horizon."""
-    spent = shared_cut(chain_waits(tasks, deps, capacities, max_jobs).groupBy("run_id", "category").agg(F.sum("dur_us").alias("dur_us")))
-    known = spent.groupBy("run_id").agg(F.sum("dur_us").alias("known_us"))
-    idle = I.horizon(tasks, "start_us", "finish_us").join(known, "run_id", "left").select("run_id", F.lit("IDLE").alias("category"), (F.col("horizon_us") - F.coalesce("known_us", F.lit(0))).alias("dur_us"))
-    return spent.unionByName(idle.filter("dur_us > 0"))
+    """(run_id, category, dur_us) of each run.
+
+    ``IDLE`` is what the union of the chain's tasks and waits leaves of the horizon, not what the
+    other categories leave: they add up only if the classes of the waits neither overlap nor
+    leave anything out, which ``reconciliation`` checks.
+    """
+    on, spent = _chain_parts(tasks, deps, capacities, max_jobs)
+    sums = spent.groupBy("run_id", "category").agg(F.sum("dur_us").alias("dur_us"))
+    held = on.select("run_id", F.coalesce("gap_us", "start_us").alias("ts_us"), "finish_us")
+    covered = I.merged(held, bucket_us=None).groupBy("run_id").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("covered_us"))
+    idle = I.horizon(tasks, "start_us", "finish_us").join(covered, "run_id", "left").select("run_id", F.lit("IDLE").alias("category"), (F.col("horizon_us") - F.coalesce("covered_us", F.lit(0))).alias("dur_us"))
+    return sums.unionByName(idle.filter("dur_us > 0"))
 
 
 def with_wall_clock(attributed: DataFrame, tasks: DataFrame, wall: DataFrame) -> DataFrame:

@@ -191,7 +191,15 @@ def g_critical_path(spark: SparkSession, d: str) -> DataFrame:
     return G.critical_paths(*_run(spark, d)).withColumnRenamed("at", "place")
 
 
-@query()
+_WITHOUT = _LONGEST + """, tp AS (SELECT run_id, uid, dur_us, total, row_number() OVER (PARTITION BY run_id ORDER BY dur_us DESC, uid) AS nth FROM cpm WHERE slack_us = 0),
+    zs(run_id, scenario, uid) AS ({0}), wz AS (SELECT s.run_id, s.scenario, n.uid, 0 AS hops, CASE WHEN z.uid IS NULL THEN n.dur_us ELSE 0 END AS f FROM (SELECT DISTINCT run_id, scenario FROM zs) s JOIN run_elements n ON n.run_id = s.run_id
+        LEFT JOIN zs z ON z.run_id = s.run_id AND z.scenario = s.scenario AND z.uid = n.uid
+      UNION SELECT w.run_id, w.scenario, e.successor, w.hops + 1, w.f + CASE WHEN z.uid IS NULL THEN n.dur_us ELSE 0 END FROM wz w JOIN run_edges e ON e.run_id = w.run_id AND e.predecessor = w.uid
+        JOIN run_elements n ON n.run_id = e.run_id AND n.uid = e.successor LEFT JOIN zs z ON z.run_id = w.run_id AND z.scenario = w.scenario AND z.uid = e.successor),
+    lz AS (SELECT run_id, scenario, max(f) AS length FROM wz GROUP BY 1, 2)"""
+
+
+@query(_WITHOUT.format("SELECT run_id, uid, uid FROM tp WHERE nth <= 8") + " SELECT tp.run_id, uid, dur_us, total - length AS saving_us FROM tp JOIN lz ON lz.run_id = tp.run_id AND scenario = uid WHERE nth <= 8")
 def g_realizable(spark: SparkSession, d: str) -> DataFrame:
     return G.realizable_savings(*_run(spark, d))
 
@@ -201,7 +209,8 @@ def g_horizon_steps(spark: SparkSession, d: str) -> DataFrame:
     return G.optimization_horizon(*_run(spark, d))
 
 
-@query()
+@query(_WITHOUT.format("SELECT run_id, uid, uid FROM tp WHERE nth <= 3 UNION ALL SELECT run_id, 'all', uid FROM tp WHERE nth <= 3") + """, mb AS (SELECT run_id, any_value(total) AS total, string_agg(uid, ',' ORDER BY nth) AS members FROM tp WHERE nth <= 3 GROUP BY 1)
+    SELECT mb.run_id, members, CAST(max(total - length) FILTER (scenario = 'all') AS BIGINT) AS saving_us, CAST(sum(total - length) FILTER (scenario <> 'all') AS BIGINT) AS single_us FROM mb JOIN lz USING (run_id) GROUP BY 1, 2""")
 def g_joint_saving(spark: SparkSession, d: str) -> DataFrame:
     return G.joint_saving(*_run(spark, d))
 
@@ -316,7 +325,7 @@ _CHAIN = TASKS + """, ex AS (SELECT run_id, task_key, pred_key, 'dep' AS bywhat
 
 
 def _blame(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tasks, edges = P.quantised(T.spans(spark, d)), T.run_edges(spark, d)
+    tasks, edges = G.shared_cut(P.quantised(T.spans(spark, d))), G.shared_cut(T.run_edges(spark, d))  # each is read several times
     return P.ready_times(tasks, edges), P.task_dependencies(tasks, edges)
 
 
