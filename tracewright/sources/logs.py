@@ -122,6 +122,89 @@ def build_log_events(lines: DataFrame) -> DataFrame:
     return body.filter(part(5) != "").join(stamped, ["path", "line_no"]).select("path", "line_no", "at_us", elapsed_us(part(1)).alias("elapsed_us"), part(2).alias("task_hash"), part(3).alias("action"), part(4).alias("element"), part(5).alias("status"), part(6).alias("message"))
 
 
+def task_boundaries(events: DataFrame) -> DataFrame:
+    """``events`` that count for the clock, with ``opens``, ``closes`` and ``start_line``.
+
+    Of a task's messages only the outermost begin and end count; how deep one is comes from a
+    running sum that never falls below zero. An end without a begin closes nothing but is kept.
+    Messages of the whole invocation (``main`` without a hash) nest as they are and all stay.
+    """
+    main = (F.col("action") == "main") & (F.trim("task_hash") == "")
+    w = Window.partitionBy("path", "task_hash").orderBy("line_no")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    tasks = events.filter(~main).withColumn("sum", F.sum(F.when(F.col("status") == "START", 1).otherwise(-1)).over(so_far))
+    tasks = tasks.withColumn("depth", F.col("sum") - F.least(F.min("sum").over(so_far), F.lit(0)))
+    opens = (F.col("status") == "START") & (F.col("depth") == 1)
+    outer = tasks.withColumn("opens", opens).withColumn("closes", (F.col("status") != "START") & (F.col("depth") == 0))
+    began = F.last(F.when(F.col("opens"), F.struct("line_no", "message")), ignorenulls=True).over(so_far)
+    outer = outer.withColumn("began", began).filter("opens OR closes")
+    # a begin belongs to the first end after it; an end whose begin has one already is stray
+    first = F.row_number().over(Window.partitionBy("path", "task_hash", "began.line_no", "closes").orderBy("line_no")) == 1
+    own = F.when(F.col("began").isNotNull() & first, F.col("began.line_no"))
+    kept = outer.withColumn("start_line", own).select(*events.columns, "opens", "closes", "start_line", F.lit(False).alias("is_main"))
+    whole = events.filter(main).select("*", (F.col("status") == "START").alias("opens"), (F.col("status") != "START").alias("closes"), F.lit(None).cast("long").alias("start_line"), F.lit(True).alias("is_main"))
+    return kept.unionByName(whole)
+
+
+def raw_clock(boundaries: DataFrame, starts: DataFrame) -> DataFrame:
+    """``boundaries`` of logs without time stamps, with ``at_us``; starts: (path, raw_start_us).
+
+    A task begins at the latest time known so far and ends its own elapsed time later, which may
+    move the time known. That depends on the order of the lines: one pass over the boundaries of
+    a file, which holds one number for each open task.
+    """
+    cols = ["path", "line_no", "start_line", "elapsed_us", "opens", "is_main"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        now, began, stack, out = int(pdf["raw_start_us"].iloc[0]), {}, [], []
+        for line, start, elapsed, opens, is_main in pdf[cols[1:]].itertuples(index=False, name=None):
+            if opens:
+                at = now
+                began[line] = now
+                if is_main:
+                    stack.append(now)
+            else:
+                anchor = (stack.pop() if stack else now) if is_main else now if pd.isna(start) else began.pop(int(start))
+                at = anchor + int(elapsed)
+                now = max(now, at)
+            out.append(at)
+        return pd.DataFrame({"path": pdf["path"], "line_no": pdf["line_no"], "at_us": out})
+
+    known = boundaries.filter("elapsed_us IS NOT NULL").join(starts, "path")
+    clock = known.select(*cols, "raw_start_us").groupBy("path").applyInPandas(one, "path string, line_no long, at_us long")
+    return boundaries.drop("at_us").join(clock, ["path", "line_no"])
+
+
+def log_spans(timed: DataFrame, ends: DataFrame) -> DataFrame:
+    """(path, task_hash, element, action, phase, ts_us, finish_us, status, forced) from timed ``task_boundaries``.
+
+    ends: (path, end_us). A task that is open at the end of its invocation is closed there,
+    ``forced`` and without a status.
+    """
+    tasks = timed.filter("NOT is_main")
+    begins = tasks.filter("opens").select("path", "task_hash", F.trim("element").alias("element"), "action", F.trim("message").alias("phase"), F.col("line_no").alias("start_line"), F.col("at_us").alias("ts_us"))
+    closed = tasks.filter("closes AND start_line IS NOT NULL").select("path", "start_line", F.col("at_us").alias("close_us"), "status")
+    both = begins.join(closed, ["path", "start_line"], "left").join(ends, "path", "left")
+    return both.select("path", "task_hash", "element", "action", "phase", "ts_us", F.coalesce("close_us", "end_us").alias("finish_us"), "status", F.col("status").isNull().alias("forced"))
+
+
+def wrapped_log_spans(events: DataFrame) -> DataFrame:
+    """``log_spans`` of ``build_log_events`` with time stamps; an invocation ends with its last message."""
+    return log_spans(task_boundaries(events), events.groupBy("path").agg(F.max("at_us").alias("end_us")))
+
+
+def raw_log_spans(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """``log_spans`` of ``build_log_events`` without time stamps; an invocation ends with the last time known."""
+    timed = raw_clock(task_boundaries(events.filter("elapsed_us IS NOT NULL")), starts)
+    return log_spans(timed, timed.groupBy("path").agg(F.max("at_us").alias("end_us")))
+
+
+def element_build_spans(spans: DataFrame) -> DataFrame:
+    """(path, element, start_us, end_us): from the first begin to the last end of each element's build tasks."""
+    return spans.filter("action = 'build'").groupBy("path", "element").agg(F.min("ts_us").alias("start_us"), F.max("finish_us").alias("end_us"))
+
+
 def failed_elements(events: DataFrame) -> DataFrame:
     """(path, element) with a failed task, from ``build_log_events``."""
     return events.filter("status IN ('FAILURE', 'FAIL')").select("path", "element").distinct()

@@ -98,6 +98,36 @@ def process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return starts.unionAll(ends)
 
 
+def build_log_lines(spark: SparkSession, sf_dir: str, wrapped: bool) -> DataFrame:
+    """(path, line_no, value): a build log for each run of ``spans``, with or without time stamps.
+
+    Every event begins a task and all but each eleventh end it; each third has a phase within,
+    each thirteenth an end too many.
+    """
+    e = read(spark, sf_dir, "events")
+    us, dur = F.unix_micros(F.col("ts").cast("timestamp")), F.round(F.col("value") * 1_000).cast("long") * 1_000
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    clock = lambda x: F.concat(two(F.floor(x / 3_600_000_000)), F.lit(":"), two(F.floor(x / 60_000_000) % 60), F.lit(":"), two(F.floor(x / 1_000_000) % 60), F.lit("."), F.lpad((x % 1_000_000).cast("string"), 6, "0"))
+    n, zero = F.col("event_id"), F.lit(0).cast("long")
+    line = lambda at, part, elapsed, word, text: F.struct(at.alias("at"), F.lit(part).alias("part"), elapsed.alias("elapsed"), F.lit(word).alias("word"), F.lit(text).alias("text"))
+    start, end = F.floor(us / 1_000) * 1_000, F.floor(us / 1_000) * 1_000 + dur
+    lines = F.array_compact(
+        F.array(
+            line(start, 0, zero, "START", "Build"),
+            F.when(n % 3 == 0, line(start, 1, zero, "START", "Staging")),
+            F.when(n % 3 == 0, line(end, 2, dur, "SUCCESS", "Staging")),
+            F.when(n % 11 != 0, line(end, 3, dur, "SUCCESS", "Build")),
+            F.when((n % 13 == 0) & (n % 11 != 0), line(end, 4, zero, "SKIPPED", "Build")),
+        )
+    )
+    kind = mapped(F.col("event_type"), {"view": "fetch", "purchase": "build", "click": "track", "signup": "pull"}, "push")
+    rows = e.select(run_of("user_id").alias("run_id"), n, "user_id", kind.alias("kind"), F.inline(lines))
+    no = F.row_number().over(Window.partitionBy("run_id").orderBy("at", "event_id", "part"))
+    body = F.concat(F.lit("["), clock(F.col("elapsed")), F.lit("]["), F.lpad(F.hex("event_id"), 8, "0"), F.lit("][ "), F.rpad(F.col("kind"), 5, " ").substr(F.lit(1), F.length("kind")), F.lit(":e"), F.col("user_id"), F.lit(".bst ] "), F.col("word"), F.lit(" "), F.col("text"))
+    stamp = F.concat(F.lit("[log]["), F.date_format(F.timestamp_micros(F.col("at")), "yyyy-MM-dd HH:mm:ss,SSS"), F.lit("] STDERR: "))
+    return rows.select(F.concat(F.lit("run"), "run_id").alias("path"), no.cast("long").alias("line_no"), (F.concat(stamp, body) if wrapped else body).alias("value"))
+
+
 _KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " ELSE 'OTHER' END"
 _RESOURCE_SQL = "CASE task_kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_RESOURCE.items()) + " ELSE 'OTHER' END"
 
@@ -122,6 +152,14 @@ SQL = {
         UNION ALL SELECT 'p' || p_partkey, CAST(abs(round(p_retailprice * 100)) AS BIGINT) FROM part
         UNION ALL SELECT 'o' || o_orderkey, CAST(abs(round(o_totalprice * 100)) AS BIGINT) FROM orders
         UNION ALL SELECT 'c' || c_custkey, CAST(abs(round(c_acctbal * 100)) AS BIGINT) FROM customer)""",
+    "log_tasks": f"""log_lines AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY moment, event_id, part) AS line_no FROM (
+        SELECT user_id // {RUN_ELEMENTS} AS run_id, event_id, user_id, event_type, s + CASE WHEN part IN (0, 1) THEN 0 ELSE dur END AS moment, part, dur FROM (
+            SELECT *, epoch_us(ts) // 1000 * 1000 AS s, CAST(round(value * 1000) AS BIGINT) * 1000 AS dur FROM events), range(0, 5) r(part)
+        WHERE part = 0 OR (part IN (1, 2) AND event_id % 3 = 0) OR (part = 3 AND event_id % 11 <> 0) OR (part = 4 AND event_id % 13 = 0 AND event_id % 11 <> 0))),
+        log_tasks AS (SELECT 'run' || a.run_id AS path, a.run_id, a.event_id, lpad(printf('%X', a.event_id), 8, '0') AS task_hash, 'e' || a.user_id || '.bst' AS element,
+        CASE a.event_type WHEN 'view' THEN 'fetch' WHEN 'purchase' THEN 'build' WHEN 'click' THEN 'track' WHEN 'signup' THEN 'pull' ELSE 'push' END AS action,
+        a.moment AS ts_us, z.moment AS close_us, a.line_no AS first_line, z.line_no AS last_line, a.dur
+        FROM log_lines a LEFT JOIN log_lines z ON z.run_id = a.run_id AND z.event_id = a.event_id AND z.part = 3 WHERE a.part = 0)""",
     "procs": """procs AS (SELECT event_id, 'e' || user_id || '.bst' AS element, 'i' || (user_id % 8) AS invocation, event_id % 997 + 2 AS pid, user_id % 5 + 1 AS ppid,
         epoch_us(ts) AS start_us, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS end_us, event_id % 11 <> 0 AS closed,
         CASE WHEN event_id % 3 <> 0 AND event_id % 11 <> 0 THEN CAST(round(value * 500000) AS BIGINT) + 100000 END AS cpu_us,
