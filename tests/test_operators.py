@@ -386,3 +386,13 @@ def test_a_gap_in_the_classes_shows(spark):
     parts = B.attribution(tasks, deps, {"PROCESS": 1}, 1)
     assert B.reconciliation(parts, tasks).first().gap_us == 0
     assert B.reconciliation(parts.filter("category = 'EXECUTION_ON_CHAIN'"), tasks).first().gap_us == 4
+
+
+def test_runs_that_share_elements_are_compared(spark):
+    from tracewright.operators import assembly as Y
+
+    figures = spark.createDataFrame([(0, None, 100, "full", 0.5), (1, None, 80, "full", 0.75), (2, "failed", 50, "full", 0.5), (3, None, 60, "full", 0.5)], "run_id long, incomplete string, horizon_us long, run_mode string, efficiency double")
+    nodes = spark.createDataFrame([(r, u) for r, us in ((0, "abcd"), (1, "abce"), (2, "abcd"), (3, "wxyz")) for u in us], "run_id long, uid string")
+    pairs = spark.createDataFrame([(0, 1, "same"), (0, 2, "same"), (0, 3, "unknown")], "base_id long, run_id long, same_host string")
+    got = {r.run_id: (r.refusal, r.confidence, r.delta_us, r.efficiency_delta) for r in Y.comparisons(figures, nodes, pairs).collect()}
+    assert got == {1: (None, "normal", -20, 0.25), 2: ("incomplete", "normal", None, None), 3: ("different_graph", "unknown", None, None)}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import build_logs, graphs, logs, structures, tasks, usage, wide
+from tracewright.plans import build_logs, graphs, logs, runs, structures, tasks, usage, wide
 
-FAMILIES = (tasks, graphs, logs, usage, structures, wide, build_logs)
+FAMILIES = (tasks, graphs, logs, usage, structures, wide, build_logs, runs)
 
 
 def queries() -> dict:
