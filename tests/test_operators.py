@@ -396,3 +396,30 @@ def test_runs_that_share_elements_are_compared(spark):
     pairs = spark.createDataFrame([(0, 1, "same"), (0, 2, "same"), (0, 3, "unknown")], "base_id long, run_id long, same_host string")
     got = {r.run_id: (r.refusal, r.confidence, r.delta_us, r.efficiency_delta) for r in Y.comparisons(figures, nodes, pairs).collect()}
     assert got == {1: (None, "normal", -20, 0.25), 2: ("incomplete", "normal", None, None), 3: ("different_graph", "unknown", None, None)}
+
+
+def test_targets_of_every_shape(spark):
+    from tracewright.operators import utilisation as V
+
+    sources = spark.createDataFrame(
+        [(0, "lib.bst", "git", "ref", "host.org/lib"), (0, "app.bst", "local", "content", "files/app"), (0, "sub.bst", "local", "content", "sub.bst:files/sub/deep"), (0, "odd.bst", "local", "content", "../outside"), (0, "abs.bst", "local", "content", "/abs"), (0, "lib2.bst", "pip", "ref", "host.org/lib"), (1, "all.bst", "local", "content", ".")],
+        "run_id long, uid string, kind string, keying string, identity string",
+    )
+    nodes = spark.createDataFrame([(0, u) for u in ("lib.bst", "lib2.bst", "app.bst", "sub.bst", "odd.bst", "abs.bst")] + [(1, "all.bst"), (1, "README.md")], "run_id long, uid string")
+    asked = ["https://me@Host.org/lib.git", "host.org/lib", "./files/app/main.c", "files/application", "files", "files/sub/", "app.bst", "README.md", "nowhere", "../outside/x", "/abs/x", " "]
+    got: dict = {}
+    for r in V.resolve_targets(spark.createDataFrame([(a,) for a in [*asked, "app.bst"]], "target string"), sources, nodes).collect():
+        got.setdefault((r.run_id, r.target), []).append((r.resolved_as, r.uid))
+    want = {
+        (0, "https://me@Host.org/lib.git"): [("url", "lib.bst"), ("url", "lib2.bst")],
+        (0, "host.org/lib"): [("url", "lib.bst")],  # as the report prints it: one kind of source
+        (0, "./files/app/main.c"): [("path", "app.bst")],
+        (0, "files"): [],
+        (0, "files/sub/"): [("path", "sub.bst")],
+        (0, "app.bst"): [("element", "app.bst")],
+    }
+    for key, rows in want.items():
+        assert sorted(got.get(key, [])) == rows, key
+    # where something stages the whole project, names are paths as well
+    assert all(got[1, t] == [("path", "all.bst")] for t in ("README.md", "nowhere", "files/application", "app.bst"))
+    assert not {(0, t) for t in ("files/application", "nowhere", "../outside/x", " ")} & set(got)

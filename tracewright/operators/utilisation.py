@@ -73,6 +73,63 @@ def elements_of(sources: DataFrame, target: str, project_files: bool = True) ->
     return by_url.unionByName(by_path).unionByName(by_name).distinct()
 
 
+def _tidy(path):
+    """A path without leading ``./`` and ``/``, trailing and doubled slashes."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(path), "/+", "/"), r"^(\./)+", ""), r"^/|/$", "")
+
+
+def _prefixes(path):
+    """The path itself and every directory above it, the project's root (empty) included."""
+    parts = F.split(path, "/")
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), every))
+
+
+def resolve_targets(targets: DataFrame, sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run_id, target, resolved_as, uid): the elements that each target means in each run.
+
+    targets: (target); sources: (run_id, uid, kind, keying, identity). A target that is spelled as
+    an identity means just its sources. Else it may be a repository address, a path (it lies in
+    a directory that a content-keyed source stages, or holds one) or an element's name; the first of
+    these that fits any element of the run holds. Paths meet through their exploded directories,
+    so no target is compared with every source.
+    """
+    from tracewright.functions.scalars import normalise_url
+
+    t = F.col("target")
+    asked = targets.select("target").filter(F.trim("target") != "").distinct()
+    own = sources.select("run_id", "uid", "kind", "keying", "identity").distinct()
+    content = own.filter((F.col("keying") == "content") & ~F.coalesce(F.col("identity").rlike(r"^(/|\.\.)"), F.lit(True)))
+    root = content.select("run_id", "uid", _tidy(F.regexp_replace("identity", r"^[^/]*\.bst:", "")).alias("root")).withColumn("root", F.when(F.col("root") == ".", "").otherwise(F.col("root")))
+    at_root = root.filter("root = ''").select("run_id").distinct().withColumn("at_root", F.lit(True))
+
+    exact = asked.join(own, F.col("identity") == t).select("run_id", "target", "uid", F.when(F.col("keying") == "ref", "url").otherwise("path").alias("resolved_as"), "kind")
+    kinds = exact.groupBy("run_id", "target").agg(F.min("kind").alias("kind"))
+    exact = exact.join(kinds, ["run_id", "target", "kind"]).select("run_id", "target", "uid", "resolved_as", F.lit(0).alias("turn"))
+
+    url = t.contains("://") | t.startswith("git@") | t.endswith(".git")
+    name = t.endswith(".bst")
+    shaped = asked.select("target", url.alias("is_url"), t.contains("/").alias("is_path"), name.alias("is_element"))
+    plain = ~F.col("is_url") & ~F.col("is_path") & ~F.col("is_element")
+    by_url = shaped.filter(F.col("is_url") | plain).withColumn("identity", normalise_url(t)).join(own.filter("keying = 'ref'"), "identity").select("run_id", "target", "uid", F.lit("url").alias("resolved_as"), F.lit(1).alias("turn"))
+    paths = shaped.withColumn("path", _tidy(t)).filter(~F.col("path").startswith(".."))
+    inside = paths.select("target", "is_path", F.explode(_prefixes(F.col("path"))).alias("root")).join(root, "root").select("run_id", "target", "uid", "is_path")
+    around = paths.join(root.select("run_id", "uid", F.explode(_prefixes(F.col("root"))).alias("path")).filter("path != ''"), "path").select("run_id", "target", "uid", "is_path")
+    # a bare name is a path only where something stages the whole project
+    by_path = inside.unionByName(around).join(at_root, "run_id", "left").filter(F.col("is_path") | F.col("at_root")).select("run_id", "target", "uid", F.lit("path").alias("resolved_as"), F.lit(2).alias("turn"))
+    by_name = shaped.filter(F.col("is_element") | plain).join(nodes.select("run_id", "uid"), F.col("uid") == t).select("run_id", "target", "uid", F.lit("element").alias("resolved_as"), F.lit(3).alias("turn"))
+    every = exact.unionByName(by_url).unionByName(by_path).unionByName(by_name).distinct()
+    first = every.groupBy("run_id", "target").agg(F.min("turn").alias("turn"))
+    return every.join(first, ["run_id", "target", "turn"]).select("run_id", "target", "resolved_as", "uid").distinct()
+
+
+def target_blast(resolved: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, target, resolved_as, n_direct, n_hit, hit_us): what a change of each resolved target rebuilds."""
+    own = resolved.select("run_id", "uid", F.col("resolved_as").alias("kind"), F.col("target").alias("identity"))
+    out = resource_blast(nodes, edges, own)
+    return out.select("run_id", F.col("identity").alias("target"), F.col("kind").alias("resolved_as"), F.col("n_own").alias("n_direct"), "n_hit", "hit_us")
+
+
 def calibration(history: DataFrame) -> DataFrame:
     """(element_uid, capacity, mean_us): whole-microsecond mean duration of each element at each measured capacity."""
     return history.groupBy("element_uid", "capacity").agg(F.floor(F.avg("dur_us")).alias("mean_us"))

@@ -81,3 +81,39 @@ def u_elements_of_source(spark: SparkSession, d: str) -> DataFrame:
 def u_calibrated(spark: SparkSession, d: str) -> DataFrame:
     history = T.spans(spark, d).withColumn("capacity", F.col("run_id") % 4 * 2 + F.col("attempt") % 4)
     return U.calibrated(U.calibration(history), 3)
+
+
+def _targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets of every shape, and sources of both keyings: (targets, sources, elements)."""
+    nodes = T.run_elements(spark, d)
+    n = F.substring("uid", 2, 20).cast("long")
+    at = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    files = nodes.filter(n % 4 == 1).select("run_id", "uid", F.lit("local").alias("kind"), at("files/d", n % 5, "/src").alias("identity"), F.lit("content").alias("keying"))
+    sources = _sources(spark, d).filter(n % 4 != 1).unionByName(files)
+    few = spark.range(24).select(F.col("id").alias("i"))
+    i = F.col("i")
+    shapes = F.array(at("https://git@Host.org/repo", i % 6, ".git"), at("./files/d", i % 7, "/src/lib/f", i, ".c"), at("files/d", i % 7, "/"), at("host.org/repo", i % 6), at("u", i), at("files/d", i % 7, "/srcs/x.c"))
+    return few.select(F.explode(shapes).alias("target")), sources, nodes
+
+
+_RESOLVED = RUN + """, sr AS (SELECT run_id, uid, CASE WHEN n % 4 = 1 THEN 'content' ELSE 'ref' END AS keying, CASE WHEN n % 4 = 1 THEN 'files/d' || (n % 5) || '/src' ELSE 'host.org/repo' || (n % 6) END AS identity FROM (SELECT *, CAST(substr(uid, 2) AS BIGINT) AS n FROM run_elements)),
+    tg AS (SELECT DISTINCT unnest(['https://git@Host.org/repo' || (i % 6) || '.git', './files/d' || (i % 7) || '/src/lib/f' || i || '.c', 'files/d' || (i % 7) || '/', 'host.org/repo' || (i % 6), 'u' || i, 'files/d' || (i % 7) || '/srcs/x.c']) AS target FROM range(24) r(i)),
+    tp AS (SELECT target, regexp_replace(regexp_replace(target, '^[.]/', ''), '/$', '') AS path FROM tg),
+    rs AS (SELECT run_id, target, 'url' AS resolved_as, uid FROM tp JOIN sr ON keying = 'ref' AND (identity = target OR (target LIKE 'https://%' AND identity = 'host.org/' || regexp_extract(target, 'repo[0-9]+')))
+        UNION SELECT run_id, target, 'path', uid FROM tp JOIN sr ON keying = 'content' AND contains(target, '/') AND (identity = path OR starts_with(identity, path || '/') OR starts_with(path, identity || '/'))
+        UNION SELECT run_id, target, 'element', uid FROM tp JOIN run_elements ON uid = target)"""
+
+
+@query(_RESOLVED + " SELECT run_id, target, resolved_as, uid FROM rs")
+def u_resolve_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The elements that a table of addresses, paths and names means."""
+    return U.resolve_targets(*_targets(spark, d))
+
+
+@query(_RESOLVED + _CLOSURE + """, ht AS (SELECT run_id, target, resolved_as, uid FROM rs UNION SELECT rs.run_id, target, resolved_as, r.uid FROM rs JOIN reach r ON r.run_id = rs.run_id AND r.ancestor = rs.uid)
+    SELECT h.run_id, h.target, h.resolved_as, any_value(n_direct) AS n_direct, count(*) AS n_hit, CAST(sum(dur_us) AS BIGINT) AS hit_us FROM ht h JOIN run_elements e ON e.run_id = h.run_id AND e.uid = h.uid
+    JOIN (SELECT run_id, target, count(*) AS n_direct FROM rs GROUP BY 1, 2) d ON d.run_id = h.run_id AND d.target = h.target GROUP BY 1, 2, 3""")
+def u_target_blast(spark: SparkSession, d: str) -> DataFrame:
+    """What a change of each of them rebuilds."""
+    targets, sources, nodes = _targets(spark, d)
+    return U.target_blast(U.resolve_targets(targets, sources, nodes), nodes, T.run_edges(spark, d))
