@@ -423,3 +423,33 @@ def test_targets_of_every_shape(spark):
     # where something stages the whole project, names are paths as well
     assert all(got[1, t] == [("path", "all.bst")] for t in ("README.md", "nowhere", "files/application", "app.bst"))
     assert not {(0, t) for t in ("files/application", "nowhere", "../outside/x", " ")} & set(got)
+
+
+def test_criticality_against_each_sample(spark):
+    """The same whatever the blocks are, and as if each sample were walked alone."""
+    import numpy as np
+
+    from tracewright.operators import kernels as K
+
+    rng = random.Random(3)
+    nodes = [(r, f"n{i:02}", rng.choice((10, 10, 20, 30, rng.randint(1, 60)))) for r in (0, 1) for i in range(12)]
+    edges = [(r, f"n{i:02}", f"n{j:02}") for r in (0, 1) for j in range(12) for i in range(j) if rng.random() < 0.2]
+    n, e = spark.createDataFrame(nodes, "run_id long, uid string, dur_us long"), spark.createDataFrame(edges, "run_id long, predecessor string, successor string")
+    got = [{(x.run_id, x.uid): x.probability for x in K.criticality(n, e, 40, 0.3, 7, block).collect()} for block in (40, 5, 7)]
+    want = {}
+    for r in (0, 1):
+        dag, dur = G.Dag([u for q, u, _ in nodes if q == r], [(a, b) for q, a, b in edges if q == r]), {u: d for q, u, d in nodes if q == r}
+        held = dict.fromkeys(dag.uids, 0)
+        for s in range(40):
+            now = K.sampled(np.array([dur[u] for u in dag.uids], float), s, 0.3, 7)
+            for u in dag.path(dict(zip(dag.uids, now.tolist(), strict=True))):
+                held[u] += 1
+        want |= {(r, u): h / 40 for u, h in held.items()}
+    assert got[0] == got[1] == got[2] == want
+    assert K.criticality(n.limit(0), e.limit(0)).count() == 0
+
+
+def test_serial_chains(spark):
+    n = spark.createDataFrame([(0, u, 1) for u in "abcdefg"], "run_id long, uid string, dur_us long")
+    e = spark.createDataFrame([(0, "a", "b"), (0, "b", "c"), (0, "c", "d"), (0, "c", "e"), (0, "f", "g")], "run_id long, predecessor string, successor string")
+    assert [(r.run_id, r.start, r.n) for r in G.serial_chains(n, e).collect()] == [(0, "a", 3)]
