@@ -86,3 +86,60 @@ def test_operators_on_long_runs(spark, libraries):
         every = np.array([*libraries[0].encode(text, add_special_tokens=False).ids, 0], "<u4")
         assert sum(r.length for r in pieces[i]) == len(every)
         assert all(r.ids_crc32 == zlib.crc32(every[r.start : r.start + r.length].tobytes()) for r in pieces[i])
+
+
+LONG_DOCS = [
+    (1, " " * 1_000_000, "en", "a"),
+    (2, "\n" * 1_000_000, "en", "b"),
+    (3, "a" * 1_000_000, "de", "a"),
+    (4, "word " * 250_000, "en", "c"),
+    (5, " \n\t" * 300_000 + "end of it password = hunter2secret", "fr", "d"),
+    (6, "A" * 600_000 + "==", "en", "e"),
+    (7, "mit license " * 90_000, "en", "f"),
+    (8, "<p>&amp;</p>%20\\n" * 60_000, "es", "g"),
+    (9, "a short text of a few words", "en", "h"),
+]
+
+
+@pytest.fixture
+def long_docs(spark):
+    return spark.createDataFrame([(i, t, lang, src, len(t)) for i, t, lang, src in LONG_DOCS], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op4", "op5", "op6", "op9", "redacted"])
+def test_every_operator_on_very_long_texts(spark, long_docs, name):
+    from tracewright.llm import language_id, license_scan, line_dedup, ngram_jaccard_join, secret_scan
+    from tracewright.llm.exact_dedup import exact_dedup
+
+    operators = {
+        "op1": ngram_jaccard_join.ngram_jaccard_join,
+        "op3": language_id.language_id,
+        "op4": exact_dedup,
+        "op5": secret_scan.scan_secrets,
+        "op6": license_scan.license_scan,
+        "op9": line_dedup.line_dedup_report,
+        "redacted": secret_scan.redact_secrets,
+    }
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in operators[name](long_docs).collect()}
+    assert time.perf_counter() - began < 120
+    assert set(got) == {i for i, *_ in LONG_DOCS}
+    if name == "op1":
+        assert {i: r.n_shingles for i, r in got.items()} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 1, 7: 2, 8: 1, 9: 3}
+    if name == "op5":
+        assert [i for i, r in got.items() if r.n_assign] == [5] and not got[1].spans
+    if name == "op6":
+        assert got[7].n_base == 90_000 and got[4].n_words == 250_000 and got[1].n_words == 0
+    if name == "redacted":
+        assert got[5].text.endswith("[secret]") and got[1].text == LONG_DOCS[0][1]
+
+
+def test_every_stage_on_very_long_texts(spark, long_docs, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, i % 2, 0) for i, *_ in LONG_DOCS]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    began = time.perf_counter()
+    for name, stage in corpus_pipeline.STAGES:  # each on all documents, whatever the one before leaves
+        assert stage(spark, long_docs, str(tmp_path)).count() >= (len(LONG_DOCS) if name in ("secrets", "packing") else 0)
+    assert time.perf_counter() - began < 240
