@@ -22,6 +22,7 @@ from tracewright.llm.topk_search import topk_search
 from tracewright.llm.url_filter import filter_urls, repeated_addresses, rules_frame
 from tracewright.llm.url_filter import oracle as url_oracle
 from tracewright.llm.vector_codes import compress_vectors
+from tracewright.llm.vector_codes import oracle as codes_oracle
 
 
 def tokenizer_file(name: str) -> str:
@@ -127,5 +128,6 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.k <> c.k AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_vector_codes": codes_oracle(),
     "op13_url_filter": url_oracle(),
 }

@@ -138,3 +138,27 @@ def compress_vectors(vectors: DataFrame, parts: int = 16, entries: int = 64, rou
         spread = totals.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = coded.join(spread, same & (F.col("salt") == F.col("of_salt")))
     return joined.select(F.col("vec_id").cast("long").alias("vec_id"), "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def oracle(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The same rows by comparing every part with every entry."""
+    ok = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f""",
+        a{r} AS MATERIALIZED (SELECT k, part, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (
+            SELECT k, p.part, e, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM p JOIN c{r} ON c{r}.part = p.part) GROUP BY 1, 2)"""
+        if r < rounds:
+            steps += f""",
+        m{r} AS (SELECT part, e, list(v ORDER BY i) AS c FROM (SELECT part, e, i, CAST(floor(sum(v)::DOUBLE / count(*)) AS BIGINT) AS v FROM (
+            SELECT a.part, a.e, unnest(p.x) AS v, generate_subscripts(p.x, 1) AS i FROM a{r} a JOIN p ON p.k = a.k AND p.part = a.part) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        c{r + 1} AS MATERIALIZED (SELECT o.part, o.e, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m ON m.part = o.part AND m.e = o.e)"""
+    return f"""
+        WITH dim AS (SELECT len(embedding) AS n FROM embeddings WHERE {ok} AND len(embedding) % {parts} = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        v AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, label, n // {parts} AS sub, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings, dim WHERE {ok} AND len(embedding) = n),
+        p AS MATERIALIZED (SELECT k, j AS part, v[j * sub + 1 : (j + 1) * sub] AS x FROM v, range({parts}) r(j)),
+        s AS (SELECT k, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM v),
+        c0 AS MATERIALIZED (SELECT part, e, x AS c FROM p JOIN s USING (k) WHERE e < {entries}){steps},
+        q AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS sha FROM c{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM q JOIN v USING (k), h"""
