@@ -453,3 +453,19 @@ def test_serial_chains(spark):
     n = spark.createDataFrame([(0, u, 1) for u in "abcdefg"], "run_id long, uid string, dur_us long")
     e = spark.createDataFrame([(0, "a", "b"), (0, "b", "c"), (0, "c", "d"), (0, "c", "e"), (0, "f", "g")], "run_id long, predecessor string, successor string")
     assert [(r.run_id, r.start, r.n) for r in G.serial_chains(n, e).collect()] == [(0, "a", 3)]
+
+
+def test_rolling_band_against_each_window(spark):
+    from statistics import median
+
+    rng = random.Random(8)
+    rows = [(s, i, None if rng.random() < 0.1 else float(rng.choice((100, 101, 99, 140, rng.randint(50, 200))))) for s in "ab" for i in range(40)]
+    got = {(r.series, r.pos): r.verdict for r in A.rolling_band(spark.createDataFrame(rows, "series string, pos long, total double"), ["series"], "pos", "total", 6).collect()}
+    for s, i, x in rows:
+        held = [v for t, j, v in rows if t == s and i - 6 <= j < i and v is not None]
+        if len(held) < 3:
+            assert got[s, i] == "too-few"
+            continue
+        middle = median(held)
+        half = max(3.0 * A.MAD_TO_SIGMA * median(abs(v - middle) for v in held), 0.01 * middle)
+        assert got[s, i] == ("inside" if x is None or abs(x - middle) <= half else "above" if x > middle else "below")

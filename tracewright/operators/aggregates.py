@@ -66,6 +66,22 @@ def anomalies(points: DataFrame, by: list[str], value: str, z: float = 2.0) -> D
     return scored.withColumn("z", F.when(F.col("sigma") > 0, (F.col(value) - F.col("mean")) / F.col("sigma"))).filter(F.abs("z") > z)
 
 
+def rolling_band(runs: DataFrame, by: list[str], order: str, value: str, rows: int = 20, k: float = 3.0, least: int = 3, floor: float = 0.01) -> DataFrame:
+    """Each run against the band of the ``rows`` runs before it: inside, below, above, or too few.
+
+    A window of bounded rows: a series of any length streams through, and holds no more than
+    these rows at a time. Missing values count for nothing and are never outside.
+    """
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(-rows, -1)
+    held = runs.withColumn("held", F.collect_list(value).over(before))
+    middle = held.withColumn("middle", _median(F.col("held")))
+    spread = middle.withColumn("mad", _median(F.transform("held", lambda x: F.abs(x - F.col("middle")))))
+    half = F.greatest(k * MAD_TO_SIGMA * F.col("mad"), floor * F.col("middle"))
+    off = F.col(value) - F.col("middle")
+    verdict = F.when(F.size("held") < least, "too-few").when(off > half, "above").when(off < -half, "below").otherwise("inside")
+    return spread.withColumn("verdict", verdict).drop("held")
+
+
 def trailing_band(runs: DataFrame, by: list[str], order: str, value: str, k: float = 3.0, least: int = 3, floor: float = 0.01) -> DataFrame:
     """Each run against the band of all runs before it in its series: inside, below, above, or too few.
 

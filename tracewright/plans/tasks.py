@@ -196,6 +196,15 @@ def agg_trailing_band(spark: SparkSession, d: str) -> DataFrame:
     return A.trailing_band(monthly(spark, d), ["series"], "pos", "total").select("series", "pos", "total", "verdict")
 
 
+@query(f"""WITH {_MONTHS}, b AS (SELECT series, pos, total, coalesce(list(total) FILTER (total IS NOT NULL) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) AS h FROM n),
+    c AS (SELECT *, list_median(h) AS middle FROM b),
+    e AS (SELECT *, greatest(3.0 * 1.4826 * list_median(list_transform(h, lambda v: abs(v - middle))), 0.01 * middle) AS half FROM c)
+    SELECT series, pos::INT AS pos, total, CASE WHEN len(h) < 3 THEN 'too-few' WHEN total > middle + half THEN 'above' WHEN total < middle - half THEN 'below' ELSE 'inside' END AS verdict FROM e""")
+def agg_rolling_band(spark: SparkSession, d: str) -> DataFrame:
+    """Each month against the band of the eight before it."""
+    return A.rolling_band(monthly(spark, d), ["series"], "pos", "total", 8).select("series", "pos", "total", "verdict")
+
+
 @query("WITH q AS (SELECT o_orderpriority AS run_id, count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) FILTER (o_orderstatus <> 'F') AS skipped FROM orders GROUP BY 1) SELECT run_id, processed AS built, skipped AS cached, round(skipped / (processed + skipped), 9) AS hit_ratio FROM q")
 def agg_cache_accounting(spark: SparkSession, d: str) -> DataFrame:
     f = F.col("o_orderstatus") == "F"
