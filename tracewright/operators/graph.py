@@ -125,16 +125,17 @@ def rebuild_set(cuts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     return wanted.unionByName(below.select("uid")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(uid, component): smallest uid that is connected, by label propagation with pointer jumping."""
-    both = shared_cut(edges.select(F.col("predecessor").alias("a"), F.col("successor").alias("b")).unionAll(edges.select("successor", "predecessor")).distinct())
-    labels = shared_cut(both.groupBy(F.col("a").alias("uid")).agg(F.min("b").alias("m")).select("uid", F.least("uid", "m").alias("component")))
+def components(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by…, uid, component): smallest uid that is connected, by label propagation with pointer jumping."""
+    by = by or []
+    both = shared_cut(edges.select(*by, F.col("predecessor").alias("a"), F.col("successor").alias("b")).unionAll(edges.select(*by, "successor", "predecessor")).distinct())
+    labels = shared_cut(both.groupBy(*by, F.col("a").alias("uid")).agg(F.min("b").alias("m")).select(*by, "uid", F.least("uid", "m").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("uid").alias("b"), "component"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "uid").select("uid", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("uid").alias("component"), F.col("component").alias("next"))
-        after = shared_cut(lower.join(jump, "component", "left").select("uid", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
-        labels = after.select("uid", "component")
+        near = both.join(labels.select(*by, F.col("uid").alias("b"), "component"), [*by, "b"]).groupBy(*by, F.col("a").alias("uid")).agg(F.min("component").alias("near"))
+        lower = labels.join(near, [*by, "uid"]).select(*by, "uid", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        jump = labels.select(*by, F.col("uid").alias("component"), F.col("component").alias("next"))
+        after = shared_cut(lower.join(jump, [*by, "component"], "left").select(*by, "uid", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
+        labels = after.select(*by, "uid", "component")
         if after.filter("old <> component").limit(1).count() == 0:
             return labels
 

@@ -81,6 +81,18 @@ def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames[0].unionAll(frames[1]).unionAll(frames[2]).unionAll(frames[3])
 
 
+def nation_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one wide run a nation: what its customers' orders are made of, and who supplies that."""
+    lines, orders, customers = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c)).alias(prefix)
+    bought = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", F.col("c_nationkey").cast("long").alias("run_id"))
+    rows = lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).select("run_id", named("s", "l_suppkey"), named("p", "l_partkey"), named("o", "o_orderkey"), named("c", "o_custkey"))
+    pair = lambda a, b: F.struct(F.col(a).alias("predecessor"), F.col(b).alias("successor"))
+    edges = rows.select("run_id", F.inline(F.array(pair("s", "p"), pair("p", "o"), pair("o", "c")))).distinct()
+    own = edges.select("run_id", F.explode(F.array("predecessor", "successor")).alias("uid")).distinct()
+    return own.join(supply_nodes(spark, sf_dir), "uid").select("run_id", "uid", "dur_us"), edges
+
+
 def process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A process log as text lines: every event starts a process, most end it, some never do."""
     e = read(spark, sf_dir, "events")
