@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import build_logs, graphs, layout, loads, logs, records, runs, structures, tasks, usage, wide
+from tracewright.plans import build_logs, graphs, layout, loads, logs, records, runs, stores, structures, tasks, usage, wide
 
-FAMILIES = (tasks, graphs, logs, usage, structures, wide, build_logs, runs, layout, loads, records)
+FAMILIES = (tasks, graphs, logs, usage, structures, wide, build_logs, runs, layout, loads, records, stores)
 
 
 def queries() -> dict:
