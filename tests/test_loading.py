@@ -63,3 +63,33 @@ def test_no_process(procs):
     assert load.count() == 0 and L.counts(load).count() == 0
     (row,) = L.log_summary(load).collect()
     assert (row["n"], row["cpu_us"], row["wall_span_us"], row["recognised"]) == (0, None, None, None)
+
+
+def test_evidence_of_elements(spark):
+    """Each rule fires for what it names, nothing for elements of no worth, and unused dependencies always."""
+    from tracewright.operators import correlate as R
+
+    s = 1_000_000
+    procs = spark.createDataFrame(
+        [
+            ("pin", "/usr/bin/make -j1", 0, 100 * s, 20 * s, 10),
+            ("ask", "/usr/bin/make -j8", 0, 100 * s, 20 * s, 2 * 1024 * 1024),
+            ("ask", "/usr/bin/ld /buildstream/p/ask.bst/o", 0, 3 * s, 1 * s, 5),
+            ("busy", "/usr/bin/cc a", 0, 10 * s, 20 * s, 5),
+            ("busy", "/usr/bin/cc b", 0, 10 * s, 20 * s, 5),
+            ("cheap", "/usr/bin/cc c", 0, 10 * s, 1 * s, 5),
+            ("none", "/usr/bin/ld /buildstream/p/none.bst/o", 0, 9 * s, 1 * s, 2 * 1024 * 1024),
+        ],
+        "uid string, cmd string, start_us long, end_us long, cpu_us long, rss_kb long",
+    ).withColumns({"invocation": F.lit("i"), "element": F.col("uid")})
+    savings = spark.createDataFrame([(u, w * s, 1000 * s) for u, w in (("pin", 60), ("ask", 60), ("busy", 60), ("cheap", 20), ("none", 1), ("dark", 70))], "uid string, saving_us long, total_us long")
+    unused = spark.createDataFrame([("none", 2), ("far", 1)], "uid string, n_unused long")
+    assert {(r["uid"], r["redundant_us"]) for r in R.worst_redundancy(procs).collect()} == {("ask", 9 * s), ("none", 9 * s)}
+    rows = {(r["uid"], r["evidence"], r["rank"]) for r in R.recommendations(R.element_figures(savings, L.process_load(procs), R.worst_redundancy(procs), unused)).collect()}
+    assert rows == {
+        ("pin", "pinned-to-one-job", 1), ("pin", "cpu-concentration", 2), ("pin", "serialization-point", 3),
+        ("ask", "underachieved-requested-jobs", 1), ("ask", "cpu-concentration", 2), ("ask", "serialization-point", 3), ("ask", "peak-memory", 4), ("ask", "redundant-operation", 5),
+        ("busy", "already-compute-bound", 1), ("busy", "cpu-concentration", 2),
+        ("cheap", "waiting-not-computing", 1), ("cheap", "cpu-concentration", 2), ("cheap", "serialization-point", 3),
+        ("none", "declared-not-used", 6), ("far", "declared-not-used", 6),
+    }

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import command_signature
+from tracewright.operators.loading import element_load
+
 
 def joined_elements(plane1: DataFrame, plane2: DataFrame) -> DataFrame:
     """Full outer join on uid, with where each row comes from."""
@@ -18,7 +21,8 @@ def binding_constraint(limits: DataFrame, by: list[str]) -> DataFrame:
     return limits.groupBy(*by).agg(F.min(F.struct("allows", "name")).alias("m")).select(*by, F.col("m.name").alias("name"), F.col("m.allows").alias("allows"))
 
 
-#: Evidence in the order of its weight.
+#: Evidence, and its ranks; the four that speak of parallelism exclude each other and share one.
+RANKS = (1, 1, 1, 1, 2, 3, 4, 5, 6)
 EVIDENCE = ("pinned-to-one-job", "underachieved-requested-jobs", "waiting-not-computing", "already-compute-bound", "cpu-concentration", "serialization-point", "peak-memory", "redundant-operation", "declared-not-used")
 
 
@@ -35,10 +39,34 @@ def recommendations(elements: DataFrame, busy_cores: float = 1.25, least_share:
         return F.when(gate & F.coalesce(condition, F.lit(False)), F.lit(name))
 
     found = F.array_compact(F.array(F.when(gate, first), on(F.col("top_binary_share") >= 0.5, EVIDENCE[4]), on(F.col("single_wall_us") >= weight, EVIDENCE[5]), on(F.col("peak_kb") >= memory_kb, EVIDENCE[6]), on(F.col("redundant_us") >= weight, EVIDENCE[7]), F.when(F.col("n_unused") > 0, EVIDENCE[8])))
-    rank = F.array_position(F.array(*[F.lit(e) for e in EVIDENCE]), F.col("evidence"))
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in zip(EVIDENCE, RANKS, strict=True) for x in pair]), F.col("evidence"))
     return elements.select("uid", F.explode(found).alias("evidence")).withColumn("rank", rank)
 
 
+def worst_redundancy(procs: DataFrame) -> DataFrame:
+    """(uid, redundant_us): of the commands that an element shares with others, the most that one of them costs one element.
+
+    procs: (uid, cmd, start_us, end_us). Summed by command and element first; a command that all
+    elements run is one row an element, not one a process.
+    """
+    wall = F.coalesce(F.col("end_us") - F.col("start_us"), F.lit(0))
+    own = procs.filter("uid IS NOT NULL").groupBy(command_signature(F.col("cmd")).alias("signature"), "uid").agg(F.sum(wall).alias("wall_us"))
+    shared = own.groupBy("signature").agg(F.count("*").alias("n"), F.max("wall_us").alias("worst_us")).filter("n > 1")
+    return own.join(shared, "signature").groupBy("uid").agg(F.max("worst_us").alias("redundant_us"))
+
+
+def element_figures(savings: DataFrame, load: DataFrame, redundancy: DataFrame, unused: DataFrame) -> DataFrame:
+    """One row for each element that any input knows, with all that ``recommendations`` asks for; nulls mean not known.
+
+    savings: (uid, saving_us, total_us); load: of ``loading.process_load`` over processes named
+    like the elements; redundancy: of ``worst_redundancy``; unused: (uid, n_unused).
+    """
+    programs = load.filter("grain = 'element and binary'").groupBy(F.col("element").alias("uid")).agg(F.max("cpu_us").alias("most_us"), F.max(F.when(F.col("n") == 1, F.col("wall_us"))).alias("single_wall_us"))
+    own = element_load(load).select(F.col("element").alias("uid"), "cpu_us", "cpu_per_wall", "requested_jobs", "peak_kb", (F.col("requested_jobs") == 1).alias("pinned"))
+    cpu = own.join(programs, "uid").withColumn("top_binary_share", F.when(F.col("cpu_us") > 0, F.col("most_us") / F.col("cpu_us"))).drop("cpu_us", "most_us")
+    return savings.select("uid", "saving_us", "total_us").join(cpu, "uid", "full_outer").join(redundancy, "uid", "full_outer").join(unused, "uid", "full_outer")
+
+
 def merge_candidates(elements: DataFrame, edges: DataFrame, toll_share: float = 0.5, least_toll_us: int = 1_000_000) -> DataFrame:
     """Groups of elements with the same dependencies whose toll outweighs their work; elements: (uid, work_us, toll_us)."""
     sets = edges.groupBy(F.col("successor").alias("uid")).agg(F.concat_ws(",", F.array_sort(F.collect_set("predecessor"))).alias("parents"))
