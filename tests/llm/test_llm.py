@@ -120,6 +120,21 @@ def test_chain_of_links_and_thresholds(spark):
     assert got[99] == 98 and got[97] == 97
 
 
+@pytest.mark.parametrize("n", [60, 3000])
+def test_components_of_a_long_chain(spark, n):
+    order = list(range(n))
+    random.Random(n).shuffle(order)
+    edges = [(min(p), max(p)) for p in itertools.pairwise(order)] + [(n + 5, n + 9), (n + 7, n + 9)]
+    roots = NJ.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.s: r.root for r in roots.collect()} == {**dict.fromkeys(order, 0), **dict.fromkeys((n + 5, n + 7, n + 9), n + 5)}
+    # rounds must not multiply the estimates of the plan: numbers of millions of digits filled the driver
+    assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+
+
+def test_components_without_edges(spark):
+    assert NJ.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_filter_is_exact():
     for n in range(1, 400):
         looked, needed = NJ.filter_sizes(n, 80, 0.1)

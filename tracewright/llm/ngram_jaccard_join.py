@@ -14,7 +14,7 @@ result gives every document the smallest id of its connected component. Steps:
    components grow, and pairs inside a component need no check. The last round pairs
    whatever shares a prefix token across components, so no link between components is lost.
 5. A pair's overlap is counted in every fragment apart and summed; the sum decides.
-6. Components by label propagation with pointer jumping.
+6. Components by hooking and pointer jumping, the least set of each as its root.
 
 A token is known by a 64-bit hash, a set by two: where two sets agree in the first one and
 not in the second, which is looked for, they go by the second.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import cut, id_text, slices, small_enough, unused
+from tracewright.llm._common import cut, id_text, settled, slices, small_enough, unused
 
 WORDS = 5
 #: Linked: PERCENT * size of the intersection's share of the union.
@@ -260,14 +260,20 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(s, root) of every end of an edge (a, b); label propagation with pointer jumping."""
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("s")).agg(F.min("b").alias("least_b")).select("s", F.least("least_b", "s").alias("root")))
+    """(s, root) of every end of an edge (a, b), ``root`` the least of its component.
+
+    A round takes a root's root (pointer jumping), offers the least of the neighbours' ones to
+    each end and to its present root (hooking), and keeps the least offer. So whole parts move at
+    once, and the rounds of a long chain grow with the logarithm of its length.
+    """
+    both = settled(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy(F.col("a").alias("s")).agg(F.min("b").alias("least_b")).select("s", F.least("least_b", "s").alias("root")))
     while True:
-        near = both.join(labels.select(F.col("s").alias("b"), "root"), "b").groupBy(F.col("a").alias("s")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "s").select("s", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("s").alias("root"), F.col("root").alias("next"))
-        after = cut(lower.join(jump, "root", "left").select("s", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        ahead = labels.join(labels.select(F.col("s").alias("root"), F.col("root").alias("next")), "root").select("s", "root", "next")
+        near = both.join(ahead.select(F.col("s").alias("b"), "next"), "b").groupBy(F.col("a").alias("s")).agg(F.min("next").alias("near"))
+        moves = ahead.join(near, "s").select("s", "root", F.least("next", "near").alias("to"))
+        own, hooked = moves.select("s", F.col("root").alias("old"), "to"), moves.select(F.col("root").alias("s"), F.lit(None).cast("long").alias("old"), "to")
+        after = settled(own.unionAll(hooked).groupBy("s").agg(F.max("old").alias("old"), F.min("to").alias("root")))
         labels = after.select("s", "root")
         if after.filter("root != old").limit(1).count() == 0:
             return labels
@@ -276,13 +282,13 @@ def components(edges: DataFrame) -> DataFrame:
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) between sets whose components are those of all linked pairs."""
     posts, parts = prefixes(sets, percent), segments(sets)
-    found = cut(verified(_with_center(posts.withColumn("root", F.col("s")), percent, False), parts, percent))
+    found = settled(verified(_with_center(posts.withColumn("root", F.col("s")), percent, False), parts, percent))
     for pairs_of in (lambda own: _with_center(own, percent, True), lambda own: _across(own, percent)):
         roots = components(found)
         if small_enough(roots, 16):
             roots = F.broadcast(roots)
         own = posts.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-        found = cut(found.unionAll(verified(pairs_of(own), parts, percent)))
+        found = settled(found.unionAll(verified(pairs_of(own), parts, percent)))
     return found
 
 
