@@ -122,6 +122,15 @@ def test_overlap_join_is_complete_and_unique(spark, seed):
     assert got == sorted((p[0], q[0]) for p in a for q in b if p[1] == q[1] and p[2] < q[3] and q[2] < p[3])
 
 
+def test_few_long_intervals_are_not_broadcast(spark):
+    """Two short tables of intervals over 100,000 bins each: by size before the bins either would be broadcast."""
+    left, right = spark.range(1).selectExpr("id AS k", "id AS a0", "id + 100000 AS a1"), spark.range(1).selectExpr("id AS k", "id + 5 AS b0", "id + 99000 AS b1")
+    points = spark.range(1).selectExpr("id AS k", "id + 7 AS at")
+    for df in (I.overlap_join(left, right, ["k"], ("a0", "a1"), ("b0", "b1"), 1), I.point_join(points, right, ["k"], "at", ("b0", "b1"), 1)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 1
+
+
 @pytest.mark.parametrize("bucket", (7, 50, 10_000))
 def test_sweeps_in_stretches_are_the_same(spark, bucket):
     rng = random.Random(bucket)
