@@ -498,3 +498,11 @@ def test_rolling_band_against_each_window(spark):
         middle = median(held)
         half = max(3.0 * A.MAD_TO_SIGMA * median(abs(v - middle) for v in held), 0.01 * middle)
         assert got[s, i] == ("inside" if x is None or abs(x - middle) <= half else "above" if x > middle else "below")
+
+
+def test_reported_times_do_not_depend_on_the_order_of_rows(spark):
+    from tracewright.plans.structures import reported
+
+    rows = [(7, "F", 0.1)] * 10 + [(7, "O", 5.0)] + [(8, "F", 2.999)]
+    told = lambda r: {x.element: x.configure_us for x in reported(spark.createDataFrame(r, "o_custkey long, o_orderstatus string, o_totalprice double")).collect()}
+    assert told(rows) == told(rows[::-1]) == {"e7.bst": 1, "e8.bst": 2}  # ten times 0.1 in doubles is less than 1

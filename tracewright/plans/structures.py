@@ -115,14 +115,19 @@ def p2_relabel(spark: SparkSession, d: str) -> DataFrame:
     return S.relabelled(_procs(spark, d), named).groupBy("element").agg(F.count("*").alias("n"))
 
 
+def reported(orders: DataFrame) -> DataFrame:
+    """(element, configure_us): summed as decimals, since a sum of doubles falls short of a whole number or not by the order of its rows."""
+    exact = F.sum(F.col("o_totalprice").cast("decimal(28,10)"))
+    return orders.filter("o_orderstatus = 'F'").groupBy(F.concat(F.lit("e"), "o_custkey", F.lit(".bst")).alias("element")).agg(F.floor(exact).cast("long").alias("configure_us"))
+
+
 @query(PROCS + """, k AS (SELECT invocation AS scope, pid, ppid, element, cpu_us, binary_name = 'cmake' AS own FROM procs),
     u AS (SELECT DISTINCT scope, pid FROM k WHERE own UNION SELECT k.scope, k.pid FROM u JOIN k ON k.scope = u.scope AND k.ppid = u.pid),
     c AS (SELECT element, CAST(sum(cpu_us) FILTER (u.pid IS NOT NULL) AS BIGINT) AS x FROM k LEFT JOIN u ON u.scope = k.scope AND u.pid = k.pid GROUP BY 1),
     r AS (SELECT 'e' || o_custkey || '.bst' AS element, CAST(floor(sum(o_totalprice)) AS BIGINT) AS y FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
     SELECT c.element, c.x AS configure_cpu_us, r.y AS configure_us, coalesce(c.x > 0, false) AND coalesce(r.y, 0) = 0 AS self_report_missing FROM c LEFT JOIN r USING (element)""")
 def cor_configure_views(spark: SparkSession, d: str) -> DataFrame:
-    told = T.read(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.concat(F.lit("e"), "o_custkey", F.lit(".bst")).alias("element")).agg(F.floor(F.sum("o_totalprice")).alias("configure_us"))
-    return S.configure_views(X.configure_split(_procs(spark, d)), told)
+    return S.configure_views(X.configure_split(_procs(spark, d)), reported(T.read(spark, d, "orders")))
 
 
 @query("""SELECT o_orderkey AS run_id, unnest(list_filter([CASE WHEN o_orderkey % 5 > 3 THEN 'build_failed' END, CASE WHEN o_orderkey % 7 = 1 THEN 'attribution_reconciliation' END, CASE WHEN o_custkey % 50 < o_orderkey % 30 THEN 'floor_below_longest_task' END,
